@@ -38,8 +38,57 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH r AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM r GROUP BY source),
+w AS (
+  SELECT *, CAST([3, 1, 2][CAST((place - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM p),
+b AS (
+  SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS budget,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+    sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharing
+  FROM w),
+l AS (SELECT *, (budget - before) / sharing AS reach FROM b),
+f AS (
+  SELECT *, cap / weight <= reach AS full_up,
+    (min(CASE WHEN NOT cap / weight <= reach THEN {'before': before, 'reach': reach} END) OVER ()).reach AS level
+  FROM l),
+t AS (SELECT *, CASE WHEN full_up OR level IS NULL THEN cap ELSE weight * level END AS target FROM f),
+q AS (
+  SELECT r.*, t.source_size, t.target, t.place, t.weight, t.budget,
+    sum(r.size) OVER (PARTITION BY t.place ORDER BY shuffle, doc_id NULLS FIRST, size) AS given
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, (given + pass * source_size) / weight AS finish FROM q, (VALUES (0), (1)) AS x(pass) WHERE size > 0),
+c AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, place, pass, shuffle, doc_id NULLS FIRST, size) AS used FROM e),
+k AS (SELECT source, doc_id, size, pass FROM c WHERE used <= budget GROUP BY ALL),
+n AS (SELECT source, doc_id, size, count(*) AS copies FROM k GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.copies, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.size = n.size
+"""
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.tokens import read_shards, write_shards
+
+    return read_shards(write_shards(table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
