@@ -79,6 +79,13 @@ FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.doc_id IS NOT
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.simhash import hex_fp, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fp("fp").alias("fingerprint"), "component_id")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.tokens import read_shards, write_shards
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_simhash": op8_simhash,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
