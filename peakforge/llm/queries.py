@@ -30,6 +30,12 @@ FROM f
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.quality import adaptive_filter
 
@@ -79,6 +85,43 @@ FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.doc_id IS NOT
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.licenses import scan
+
+    both = F.array_sort(F.array_union("base", "found"))
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), "score"
+    )
+
+
+def _op7_sql() -> str:
+    from peakforge.llm.licenses import PHRASES, TEMPLATES, words_of
+
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    rows = ", ".join(f"('{label}', {sorted(set(words_of(t)))})" for label, ts in TEMPLATES.items() for t in ts)
+    places = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
+    return f"""
+WITH t(label, words) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT r, doc_id, x, regexp_extract_all(x, {word}) AS w FROM d),
+p AS (SELECT r, doc_id, x, len(w) AS n_words, {" || ".join(places)} AS p FROM w),
+b AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), {word})) AS block FROM d),
+m AS (
+  SELECT r, label, len(list_intersect(block, words)) / len(words) AS share FROM b, t
+  WHERE len(list_intersect(block, words)) >= ceil(0.8 * len(words))),
+f AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM m GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
+  list_min(list_transform(p, lambda q: q.at)) AS first_word, list_max(list_transform(p, lambda q: q.at)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda q: q.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda q: q.label) || coalesce(found, []))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM p LEFT JOIN f USING (r)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.simhash import hex_fp, near_duplicates
 
@@ -94,9 +137,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql()}
