@@ -37,7 +37,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("nav header footer aside form head menu button select dialog fieldset datalist figcaption-ad".split())
+LEFT_OUT = frozenset("nav header footer aside form head menu button select dialog fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner sidebar side "
@@ -103,8 +103,6 @@ def blocks_of(html: str) -> list[Block]:
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("svg", "math", "object", "canvas"):
-                pass
             continue
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
@@ -172,7 +170,7 @@ def main_text(html: str | None) -> str:
         return ""
     scores = path_scores(blocks)
     values = np.array(list(scores.values()))
-    limit = min(values.mean() - 0.0 * values.std(), values.max()) * 0.5
+    limit = max(0.0, min(values.mean(), values.max() - values.std()))
     content = [b for b, _ in blocks if scores[b.path] >= limit]
     shared = content[0].nodes
     for b in content[1:]:

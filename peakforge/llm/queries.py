@@ -129,6 +129,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fp("fp").alias("fingerprint"), "component_id")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.tokens import read_shards, write_shards
 
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
+    "op9_main_text": op9_main_text,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql()}
