@@ -32,28 +32,26 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
-def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the features of lower-case words, and how many each word has.
+def subwords(words: list[str], buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed rows of lower-case words: those of all n-grams, the number of n-grams of each word, and those of the words.
 
-    A word has its 1- to 4-grams, with marks at both ends, and itself; rows come from polynomial hashes of code points.
+    N-grams run up to ``longest`` code points, with marks at both ends of a word; rows come from polynomial hashes.
     """
     text = "".join(f"<{w}>" for w in words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    size = np.array([len(w) + 2 for w in words])
+    size = np.array([len(w) + 2 for w in words], int)
     first = np.cumsum(size) - size
     left = np.repeat(first + size, size) - np.arange(len(c))  # code points from here to the end of the word
-    prime, grams, h = np.uint64(0x9E3779B97F4A7C15), [], np.zeros(len(c), np.uint64)
-    for n in range(1, 5):
+    prime, h = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(c), np.uint64)
+    grams = np.full((len(c), longest), -1, np.int32)
+    for n in range(1, min(longest, len(c)) + 1):
         h = h[: len(c) - n + 1] * prime + c[n - 1 :] + np.uint64(n)
-        grams.append(np.where(left[: len(h)] >= n, _row(h, buckets), -1))
-        grams[-1] = np.append(grams[-1], np.full(n - 1, -1))
-    power = np.multiply.accumulate(np.full(int(size.max(initial=1)), prime))
-    whole = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(first, size)], first) if words else np.zeros(0, np.uint64)
-    grams.append(np.full(len(c), -1))
-    grams[-1][first] = _row(whole, buckets)
-    flat = np.stack(grams, 1)
-    counts = np.add.reduceat((flat >= 0).sum(1), first) if words else np.zeros(0, int)
-    return flat[flat >= 0], counts
+        grams[: len(h), n - 1] = np.where(left[: len(h)] >= n, _row(h, buckets), -1)
+    if not words:
+        return grams.ravel(), size, size
+    power = np.multiply.accumulate(np.full(int(size.max()), prime))
+    whole = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(first, size)], first)
+    return grams[grams >= 0], np.add.reduceat((grams >= 0).sum(1), first), _row(whole, buckets)
 
 
 def _row(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,9 +96,9 @@ class Scorer:
                 words.append(w)
                 of.append(k)
         if words:
-            ids, counts = subwords(words, len(self.model.table))
-            sums = np.add.reduceat(self.model.table[ids], np.cumsum(counts) - counts)
-            np.add.at(self.rows, np.array(of), np.column_stack([sums, counts]))
+            grams, counts, whole = subwords(words, len(self.model.table))
+            sums = np.add.reduceat(self.model.table[grams], np.cumsum(counts) - counts) + self.model.table[whole]
+            np.add.at(self.rows, np.array(of), np.column_stack([sums, counts + 1]))
 
     def totals(self, texts: list[str | None], group: int = 200) -> np.ndarray:
         """For each text the sum of its words' logits and, last, its number of features."""
@@ -137,7 +135,8 @@ def train(
         at = 0
         while at < len(words):
             n = (3, 8, 20, 60, 200)[int(rng.integers(5))]
-            yield subwords(words[at : at + n], buckets)[0]
+            grams, _, whole = subwords(words[at : at + n], buckets)
+            yield np.concatenate([grams, whole])
             at += n
 
     data = [(p, names.index(lang)) for t, lang, h in zip(texts, langs, held, strict=True) if not h for p in pieces(t)]
