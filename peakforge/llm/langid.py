@@ -198,11 +198,13 @@ def fit(docs: DataFrame, *, per_lang: int = 300, **options) -> Model | None:
 _SCORERS: dict[int, Scorer] = {}  # one for each worker process, so that its words outlive a task
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; only the text is looked at."""
-    schema = docs.select(*docs.columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, their names after ``prefix``; only the text is looked at."""
+    extra = [prefix + c for c in ("lang_pred", "score", "rejected")]
+    if clash := set(extra) & set(docs.columns):
+        raise ValueError(f"columns are there already: {sorted(clash)}; give a prefix")
+    schema = docs.select(*docs.columns, *(F.lit(v).alias(c) for c, v in zip(extra, ("", 0.0, True), strict=True))).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -222,7 +224,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores = np.where(some, p.max(1), 0.0)
                 bad = ~some | (p.max(1) < m.threshold)
             cols = [*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *extra.names])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *extra])
 
     return docs.mapInArrow(run, schema)
 

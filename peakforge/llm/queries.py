@@ -30,6 +30,12 @@ FROM f
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.langid import identify
 
@@ -149,6 +155,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
