@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MASSES = {"C": 12.0, "H": 1.00782503223, "N": 14.00307400443, "O": 15.99491461957, "S": 31.9720711744, "P": 30.97376199842, "Cl": 34.968852682, "Br": 78.9183376, "F": 18.99840316273, "Si": 27.97692653465, "I": 126.9044719, "Na": 22.989769282}
 #: fixed electron mass in the same units
 ELECTRON = 0.000548579909065
+#: fixed natural shares of heavy isotopes and their mass steps
+HEAVY = {"C": (0.0107, 1.0033548378), "O": (0.00205, 2.0042450)}
 ELEMENT = r"([A-Z][a-z]?)([0-9]*)"
 
 
@@ -46,6 +48,22 @@ def ppm_error(observed: Column, target: Column) -> Column:
     return 1e6 * (observed - target) / target
 
 
-def tof_to_mass(mode: Column, tof: Column, p0: Column, p1: Column) -> Column:
-    """m/z of a flight time for the modes with a closed form: tof = p0 * sqrt(m) + p1, or p0 / sqrt(m) + p1."""
-    return F.when(mode == 0, F.pow((tof - p1) / p0, 2)).when(mode == 1, F.pow(p0 / (tof - p1), 2))
+def tof_to_mass(mode: Column, tof: Column, p: list[Column]) -> Column:
+    """m/z of a flight time for the calibration modes that invert in closed form; null for any other.
+
+    Mode 0: tof = p0 * sqrt(m) + p1; 1: p0 / sqrt(m) + p1; 2: p0 * m ** p2 + p1; 5: m = p0 * tof ** 2 + p1 * tof + p2.
+    """
+    return (
+        F.when(mode == 0, F.pow((tof - p[1]) / p[0], 2))
+        .when(mode == 1, F.pow(p[0] / (tof - p[1]), 2))
+        .when(mode == 2, F.pow((tof - p[1]) / p[0], 1 / p[2]))
+        .when(mode == 5, p[0] * tof * tof + p[1] * tof + p[2])
+    )
+
+
+def isotopologue_share(n: Column, k: int, share: float) -> Column:
+    """Probability that ``k`` of ``n`` atoms are the heavy isotope of natural ``share``."""
+    ways = F.lit(1.0)
+    for i in range(k):
+        ways = ways * (n - i) / (i + 1)
+    return F.when(n >= k, ways * F.pow(F.lit(share), k) * F.pow(F.lit(1 - share), n - k)).otherwise(0.0)

@@ -184,6 +184,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[len('WITH RECURSIVE ') :]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
