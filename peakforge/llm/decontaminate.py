@@ -113,28 +113,47 @@ class Index:
         return cls(q, ids, items, budgets, grams, first, count, item[order], place[order], maybe)
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best occurrence of ``item`` in ``text`` on diagonals low .. low + width - 1.
+def align(items: list[np.ndarray], texts: list[np.ndarray], lows: list[int], width: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the best occurrence of each item in its text on diagonals low .. low + width - 1.
 
-    A row of costs per letter of the item; the start of an occurrence rides along in the lower bits.
+    All pairs advance together, a row of costs per letter of the items; the start of an occurrence rides along in the
+    lower bits. Longer items come first, so those that are done drop off the end.
     """
-    big = 1 << 32
+    big, far = 1 << 32, 1 << 60
+    order = sorted(range(len(items)), key=lambda k: -len(items[k]))
+    sizes = np.array([len(items[k]) for k in order])
+    low, ends = np.array([lows[k] for k in order]), np.array([len(texts[k]) for k in order])
+    letters_ = np.zeros((len(order), sizes[0]), np.uint32)
+    shown = np.zeros((len(order), sizes[0] + width), np.uint32)  # text from the first diagonal on; 0 is no letter
+    for n, k in enumerate(order):
+        letters_[n, : sizes[n]] = items[k]
+        part = texts[k][max(0, low[n]) : max(0, low[n]) + shown.shape[1] - max(0, -low[n])]
+        shown[n, max(0, -low[n]) : max(0, -low[n]) + len(part)] = part
     step = np.arange(width, dtype=np.int64) * big
-    at = np.arange(low, low + width)
-    best = np.where((at >= 0) & (at <= len(text)), at - low, 1 << 60)
-    padded = np.zeros(max(0, len(item) + low + width) + 1, np.uint32)
-    have = text[: len(padded)]
-    padded[: len(have)] = have
-    for i, c in enumerate(item):
-        pos = low + i + np.arange(width)
-        same = (pos >= 0) & (padded[np.clip(pos, 0, len(padded) - 1)] == c)
-        row = best + np.where(same, 0, big)
-        row[:-1] = np.minimum(row[:-1], best[1:] + big)
-        best = np.minimum.accumulate(row - step) + step
-    ends = low + len(item) + np.arange(width)
-    best = np.where((ends >= 0) & (ends <= len(text)), best, 1 << 60)
-    k = int(np.argmin(best >> 32))
-    return int(best[k] >> 32), low + int(best[k] & (big - 1)), int(ends[k])
+    at = low[:, None] + np.arange(width)
+    best = np.where((at >= 0) & (at <= ends[:, None]), np.arange(width, dtype=np.int64), far)
+    done = np.empty_like(best)
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # items with more letters than i
+    for i in range(sizes[0]):
+        n = active[i]
+        best = best[:n]
+        row = best + np.where(shown[:n, i : i + width] == letters_[:n, i, None], 0, big)
+        np.minimum(row[:, :-1], best[:, 1:] + big, out=row[:, :-1])
+        row -= step
+        best = np.minimum.accumulate(row, 1, out=row)
+        best += step
+        over = n if i + 1 == sizes[0] else n - active[i + 1]
+        if over:
+            first = 0 if i + 1 == sizes[0] else active[i + 1]
+            done[first:n] = best[first:n]
+    stop = low[:, None] + sizes[:, None] + np.arange(width)
+    done = np.where((stop >= 0) & (stop <= ends[:, None]), done, far)
+    col = np.argmin(done >> 32, 1)
+    value = done[np.arange(len(order)), col]
+    out: list = [None] * len(order)
+    for n, k in enumerate(order):
+        out[k] = (int(value[n] >> 32), int(low[n] + (value[n] & (big - 1))), int(stop[n, col[n]]))
+    return out
 
 
 def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -163,19 +182,28 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     begins = np.append(0, ends[:-1] + 1)
     place = np.append(at, len(joined))
     first_of = np.cumsum([0] + [len(t or "") + 1 for t in texts])
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    pairs: dict[tuple[int, int, int], None] = {}
     for key, k in zip(keys[passed], which[passed], strict=True):
         budget, m = int(index.budgets[k]), int(size[k])
         d = (int(key) - int(k) * 2 * base - base) * (budget + 1)
-        doc = int(np.searchsorted(ends, max(0, d + m // 2)))
-        for t in {doc, int(np.searchsorted(ends, max(0, d - budget))), int(np.searchsorted(ends, min(len(c), d + m + 2 * budget)))}:
-            if t >= len(ends):
-                continue
-            a, b = int(begins[t]), int(ends[t])
-            edits, start, end = align(index.items[k], c[a:b][max(0, d - a - budget) : d - a + m + 4 * budget + 4], min(0, d - a - budget), 4 * budget + 3)
-            shift = a + max(0, d - a - budget)
+        near = np.searchsorted(ends, [max(0, d + m // 2), max(0, d - budget), min(len(c), d + m + 2 * budget)])
+        pairs.update(((int(t), int(k), d), None) for t in near if t < len(ends))
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    tried = list(pairs)
+    for first in range(0, len(tried), 256):
+        part = tried[first : first + 256]
+        budgets = [int(index.budgets[k]) for _, k, _ in part]
+        texts_, lows, shifts = [], [], []
+        for (t, k, d), budget in zip(part, budgets, strict=True):
+            a = int(begins[t])
+            begin = max(0, d - a - budget)
+            texts_.append(c[a : int(ends[t])][begin : d - a + int(size[k]) + 4 * budget + 4])
+            lows.append(min(0, d - a - budget))
+            shifts.append(a + begin)
+        aligned = align([index.items[k] for _, k, _ in part], texts_, lows, 4 * max(budgets) + 3)
+        for (t, k, _), budget, shift, (edits, start, end) in zip(part, budgets, shifts, aligned, strict=True):
             if edits <= budget and end > start:
-                found.setdefault((t, int(k)), []).append((edits, start + shift, end + shift))
+                found.setdefault((t, k), []).append((edits, start + shift, end + shift))
     out = []
     for (t, k), spans in found.items():
         taken: list[tuple[int, int]] = []
