@@ -54,16 +54,16 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *, width: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
+    """``docs`` with the 64 bits of each text's fingerprint as a signed long, in a further column ``name``."""
+    schema = docs.select(*docs.columns, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width, seed) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, name])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, schema)
 
 
 def tables(max_bits: int, m: int) -> list[np.ndarray]:
@@ -262,15 +262,21 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def clusters(prints: DataFrame, *, max_bits: int) -> DataFrame:
+    """(fp, first_id, root) of every distinct fingerprint of ``prints`` (doc_id, fp); root names the component."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    member = components(written(links(nodes, max_bits=max_bits), "simhash-links"))
+    rooted = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(rooted, "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs``; component_id is the smallest id that links reach."""
-    prints = written(fingerprints(docs, width=width, seed=seed), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = written(links(nodes, max_bits=max_bits), "simhash-links")
-    member = components(edges)
-    roots = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = written(roots.join(smallest, "root").select("fp", "component_id"), "simhash-components")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = written(fingerprints(rows, width=width, seed=seed).select("doc_id", "fp"), "simhash")
+    found = clusters(prints, max_bits=max_bits)
+    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of = written(found.join(smallest, "root").select("fp", "component_id"), "simhash-smallest")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -282,11 +288,15 @@ def hex_fp(fp: str) -> Column:
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, max_bits: int = 4) -> DataFrame:
     """``docs`` without all but one document of each component.
 
-    The document with the smallest id stays; of rows that repeat it, the one with the smallest text and source.
+    The document with the smallest id stays (a null id comes last); of rows with that id and fingerprint, the one
+    whose other columns are smallest. The rows are shuffled once, by id and fingerprint, which no group makes hot.
     """
-    found = near_duplicates(docs, width=width, max_bits=max_bits)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("keep_id"))
-    kept = docs.join(keep.distinct(), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    columns = docs.columns
+    tagged = written(fingerprints(docs, width=width, name="simhash_fp"), "simhash-tagged")
+    found = clusters(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("simhash_fp").alias("fp")), max_bits=max_bits)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "fp")).alias("k")
+    keep = found.groupBy("root").agg(first).select(F.col("k.first_id").alias("keep_id"), F.col("k.fp").alias("keep_fp"))
+    kept = tagged.join(keep, (F.col("simhash_fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     rest = [f.name for f in docs.schema if f.name != "doc_id" and isinstance(f.dataType, T.AtomicType)]
-    w = W.partitionBy("doc_id").orderBy(*rest)
-    return kept.withColumn("copy_rank", F.row_number().over(w)).where("copy_rank = 1").select(*docs.columns)
+    w = W.partitionBy("simhash_fp", "doc_id").orderBy(*rest)
+    return kept.withColumn("simhash_rank", F.row_number().over(w)).where("simhash_rank = 1").select(*columns)

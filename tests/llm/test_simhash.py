@@ -114,7 +114,7 @@ def test_links_span_the_components(spark, limits):
 
 def test_near_duplicates_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    extra = [(None, "a b c d e"), (900001, None), (900002, ""), (900003, " \n"), (900004, "A b C"), (900005, "a B c"), (900005, "a B c"), (900006, "wörd Ä " * 9000)]
+    extra = [(None, "a b c d e"), (900001, None), (900002, ""), (900003, " \n"), (900004, "A b C"), (900005, "a B c"), (900005, "a B c"), (900006, "wörd Ä " * 9000), (0, "another text under an id that is taken"), (None, "alone without an id")]
     rows = [tuple(r) for r in docs.collect()] + extra
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, fp int")
     got = sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=repr)
