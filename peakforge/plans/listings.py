@@ -10,11 +10,6 @@ from peakforge.plans.registry import query
 from peakforge.sources.fixtures import Tables
 
 
-def page(rows, order, *, size: int, number: int):
-    """Rows of one page of a total order, without pulling more than it needs to each task's end."""
-    return rows.withColumn("position", F.row_number().over(W.orderBy(*order))).where(F.col("position").between(size * (number - 1) + 1, size * number))
-
-
 @query(
     "target_chain",
     """SELECT s.batch, i.collection_id, i.compound_id, i.ion_id, i.isotope_id FROM (SELECT DISTINCT batch, batch_no FROM samples) s
@@ -22,7 +17,6 @@ def page(rows, order, *, size: int, number: int):
     "samples isotopes",
 )
 def _(t: Tables):
-    b = t.samples.select("batch", (F.col("batch_no") % 4).alias("mechanism")).distinct()
     b = t.samples.select("batch", "batch_no").distinct().select("batch", (F.col("batch_no") % 4).alias("mechanism"))
     return b.join(t.isotopes.where("collection_type <> 'CALIBRANTS'"), "mechanism").select("batch", "collection_id", "compound_id", "ion_id", "isotope_id")
 
