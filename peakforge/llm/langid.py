@@ -30,6 +30,7 @@ from peakforge.llm.common import crc_mod
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
+MAX_LANGS = 1000  # distinct labels, a bound on what the driver counts and a model holds
 
 
 def subwords(words: list[str], buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,10 +181,14 @@ def train(
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """About ``per_lang`` labelled training rows of each language, chosen by a hash of the id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang"))
+    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not counts:
+        return rows.select("text", "lang", F.lit(False).alias("held"))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(per_lang / r["count"]))))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.select("doc_id", "text", "lang").join(counts, "lang").where(unit < per_lang / F.col("rows_of_lang"))
-    return chosen.select("text", "lang", (crc_mod(F.col("doc_id"), 5) == 1).alias("held"))
+    return rows.where(unit < F.element_at(share, F.col("lang"))).select("text", "lang", (crc_mod(F.col("doc_id"), 5) == 1).alias("held"))
 
 
 def fit(docs: DataFrame, *, per_lang: int = 300, **options) -> Model | None:
