@@ -16,7 +16,7 @@ def plain(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
-    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf":
+    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iuf":
         return float(v)
     return str(v)
 
