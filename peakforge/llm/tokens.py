@@ -15,6 +15,7 @@ their texts; an empty table gives no shard and no rows; other columns are ignore
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,11 +38,17 @@ NO_ID = np.iinfo(np.int64).min
 class Encoder:
     """Ids of texts by a tokenizer file.
 
-    Tokens of this vocabulary never span ASCII white space, so a text is encoded piece by piece between it, and
-    pieces seen before are looked up. The table of pieces is emptied at ``max_pieces``, which bounds its memory.
+    Tokens of this vocabulary never span ASCII white space, so a text is taken apart there and pieces seen before are
+    looked up. A new piece of plain Latin characters is cut into runs as the file's pre-tokenizer does, and runs that
+    are new go to the library's model; any other piece goes through the whole tokenizer. Pieces are kept in two
+    tables of at most ``max_pieces``; the older one is dropped when the newer one is full.
     """
 
-    def __init__(self, path: str | None = None, max_pieces: int = 400_000):
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level vocabularies show bytes
+
+    def __init__(self, path: str | None = None, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -49,19 +56,59 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.max_pieces = max_pieces
 
-    def encode(self, text: str | None) -> np.ndarray:
-        pieces = (text or "").encode().split()
+    def _piece(self, piece: str) -> bytes:
+        if not self.PLAIN.fullmatch(piece) or "<|" in piece:
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        out, runs = b"", self.runs
+        for run in self.RUNS.findall(piece.lower()):
+            if run not in runs:
+                shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.BYTES)
+                runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            out += runs[run]
+        return out
+
+    def _learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > self.max_pieces:
-            self.known = {}
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+            self.known, self.older = {}, self.known
+        if len(self.runs) > self.max_pieces:
+            self.runs = {}
+        known, older = self.known, self.older
+        for p in pieces:
+            known[p] = older[p] if p in older else self._piece(p.decode())
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text."""
+        raw = (text or "").encode()
+        if b"<|" not in raw:
+            raw = raw.lower()  # A-Z, as the tokenizer does; not where a special token could arise
+        pieces = raw.split()
+        for _ in range(3):
+            ids = list(map(self.known.get, pieces))
+            try:
+                return np.frombuffer(b"".join(ids), "<u4")
+            except TypeError:  # some are not known yet
+                self._learn({p for p, x in zip(pieces, ids, strict=True) if x is None})
+        return np.frombuffer(b"".join([self._piece(p.decode()) for p in pieces]), "<u4")  # more pieces than the tables hold
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [self.encode(t) for t in texts]
+
+
+_ENCODERS: dict[str | None, Encoder] = {}  # one for each worker process, so that its pieces outlive a task
+
+
+def encoder(path: str | None) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -186,7 +233,7 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, *, tokenizer: str
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(out_dir)
-        task, encoder, done = TaskContext.get(), Encoder(tokenizer), []
+        task, ids_of, done = TaskContext.get(), encoder(tokenizer).encode_all, []
         held, names, size = [], [], 0
         end = np.array([end_id], "<u4")
 
@@ -198,14 +245,15 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, *, tokenizer: str
             done.append({"part": task.partitionId(), "seq": len(done), "path": f"{out_dir}/{name}", "n_docs": len(held), "n_ids": size})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([encoder.encode(text.as_py()), end])
-                held.append(ids)
-                names.append(doc_id)
-                size += len(ids)
-                if size >= shard_ids:
-                    flush()
-                    held, names, size = [], [], 0
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of(part.column("text").to_pylist()), strict=True):
+                    held.append(np.concatenate([ids, end]))
+                    names.append(doc_id)
+                    size += len(ids) + 1
+                    if size >= shard_ids:
+                        flush()
+                        held, names, size = [], [], 0
         if held:
             flush()
         yield pa.RecordBatch.from_pylist(done, MANIFEST)

@@ -43,7 +43,7 @@ def test_shard_over_many_blocks():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("aB'sllé ſİ\x1c\x85  \n\t\r\x0b 12.,!<|endoftext|>́̈한日🙂Σς"), max_size=60))
+@given(st.text(st.sampled_from("aB'sllé ſİ\x1c\x85  \n\t\r\x0b 12.,!<|endoftext|><|ENDOFTEXT|>́̈한日🙂Σς"), max_size=60))
 def test_pieces_equal_whole_text(text):
     global ENCODER, PLAIN
     if "ENCODER" not in globals():
@@ -51,7 +51,18 @@ def test_pieces_equal_whole_text(text):
         from tokenizers import Tokenizer
 
         ENCODER, PLAIN = tokens.Encoder(), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    assert ENCODER.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    got = [x.tolist() for x in ENCODER.encode_all([text, None, text[::-1]])]
+    assert got == [PLAIN.encode(t, add_special_tokens=False).ids for t in (text, "", text[::-1])]
+
+
+def test_full_tables_of_pieces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    small, plain = tokens.Encoder(max_pieces=6), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(12):
+        text = " ".join(f"w{j % 7} x{j}" for j in range(k, k + 5))
+        assert small.encode_all([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_query_against_plain_encoding(spark, plain):
