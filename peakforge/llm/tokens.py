@@ -85,8 +85,8 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
         raw = (text or "").encode()
-        if b"<|" not in raw:
-            raw = raw.lower()  # A-Z, as the tokenizer does; not where a special token could arise
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()  # A-Z, as the tokenizer does; not before accents (U+0300-U+037F) or where a special token could arise
         pieces = raw.split()
         for _ in range(3):
             ids = list(map(self.known.get, pieces))

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from peakforge.llm import tokens
@@ -42,6 +42,7 @@ def test_shard_over_many_blocks():
         assert [shard.find(int(a[i]), k) for k in range(len(at))] == at.tolist()
 
 
+@example("T̈ H̱x aT̈")
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("aB'sllé ſİ\x1c\x85  \n\t\r\x0b 12.,!<|endoftext|><|ENDOFTEXT|>́̈한日🙂Σς"), max_size=60))
 def test_pieces_equal_whole_text(text):
