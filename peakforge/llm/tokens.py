@@ -48,7 +48,7 @@ class Encoder:
     RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level vocabularies show bytes
 
-    def __init__(self, path: str | None = None, max_pieces: int = 300_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -69,7 +69,8 @@ class Encoder:
         for run in self.RUNS.findall(piece.lower()):
             if run not in runs:
                 shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.BYTES)
-                runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                ids = [t.id for t in self.model.tokenize(shown)]
+                runs[run] = struct.pack(f"<{len(ids)}I", *ids)
             out += runs[run]
         return out
 
