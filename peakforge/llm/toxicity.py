@@ -50,6 +50,7 @@ class Net:
     p: dict = field(default_factory=dict)
     past: dict = field(default_factory=dict)
     scale: tuple[float, float, float] = (-2.0, 1.0, 0.0)  # of the document's logistic function
+    known_starts: tuple | None = None
     share: float = 0.0  # of toxic documents, the score of texts without words
 
     def start(self) -> Net:
@@ -100,22 +101,38 @@ class Net:
         """Both directions' projected inputs of words, side by side."""
         return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], 1)
 
+    def project_all(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], part: int = 20_000) -> np.ndarray:
+        """Projected inputs of many words, and that of padding as the last row; works part by part to save memory."""
+        grams, counts, whole = words
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty((len(counts) + 1, 6 * self.hidden), np.float32)
+        for k in range(0, len(counts), part):
+            m = min(k + part, len(counts))
+            out[k:m] = self.project(self.inputs(grams[ends[k] : ends[m]], counts[k:m], whole[k:m]))
+        out[-1] = self.pad_row()
+        return out
+
     def pad_row(self) -> np.ndarray:
         """Projected input of padding: its update gate is closed, so states pass through."""
         row = np.zeros(6 * self.hidden, np.float32)
         row[: self.hidden] = row[3 * self.hidden : 4 * self.hidden] = 50
         return row
 
+    def starts(self, counts: np.ndarray) -> np.ndarray:
+        """Where the n-grams of each word begin; kept, as all steps of a training ask for the same."""
+        if self.known_starts is None or self.known_starts[0] is not counts:
+            self.known_starts = (counts, np.cumsum(counts) - counts)
+        return self.known_starts[1]
+
     def step(self, words, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step of gradient descent on windows ``at`` (rows of ``words``, -1 for padding) with labels ``y``."""
         grams, counts, whole = words
         used, inv = np.unique(at[at >= 0], return_inverse=True)
         if not len(used):
             return
-        starts = (np.cumsum(counts) - counts)[used]
+        starts = self.starts(counts)[used]
         counts, whole = counts[used], whole[used]
-        flat = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        grams = grams[flat]
+        grams = grams[np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
         x = self.inputs(grams, counts, whole)
         rows = np.concatenate([self.project(x), self.pad_row()[None]])
         local = np.full(at.shape, len(used))
@@ -243,10 +260,12 @@ def train(texts: list[str], labels: list[int], held: list[bool], *, epochs: int
         return net
     index: dict[str, int] = {}
     rows = [np.array([index.setdefault(NOT_LETTERS.sub("", c.lower()), len(index)) for c in texts[k].split()], int) for k in fit]
-    words = subwords(list(index), net.buckets, GRAMS)
-    grams, counts, _ = words
+    listed = list(index)
+    parts = [subwords(listed[k : k + 20_000], net.buckets, GRAMS) for k in range(0, len(listed), 20_000)]
+    words = grams, counts, _ = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     sizes = np.array([len(r) for r in rows])
     windows, n = window_rows(np.concatenate(rows), sizes, -1)
+    windows = windows.astype(np.int32)
     first, yf = np.cumsum(n) - n, y[fit]
     # how much a word stands out: the strongest log ratio of documents of either kind with one of its features
     starts = np.cumsum(counts) - counts
@@ -257,12 +276,12 @@ def train(texts: list[str], labels: list[int], held: list[bool], *, epochs: int
             flat = np.repeat(starts[u] - np.concatenate([[0], np.cumsum(counts[u])[:-1]]), counts[u]) + np.arange(counts[u].sum())
             seen[k, np.unique(grams[flat])] += 1
     rates = (seen + 1) / (np.bincount(yf, minlength=2)[:, None] + 2)
-    strength = np.maximum.reduceat(np.log(rates[1] / rates[0])[grams], starts)
+    strength = np.maximum.reduceat(np.log(rates[1] / rates[0]).astype(np.float32)[grams], starts)
     value = np.append(strength, -9.0)[windows].max(1)
     balance = min(8.0, (yf == 0).sum() / max(1, (yf == 1).sum()))
     for epoch in range(epochs):
         if epoch:
-            proj = np.concatenate([net.project(net.inputs(*words)), net.pad_row()[None]])
+            proj = net.project_all(words)
             h, value = 3 * net.hidden, np.empty(len(windows))
             for k in range(0, len(windows), 4096):
                 x = proj[windows[k : k + 4096].T]
@@ -325,7 +344,7 @@ _READERS: dict[int, Reader] = {}  # one for each worker process, so that its wor
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) of every document; only the text is looked at."""
-    net.past = {}
+    net.past, net.known_starts = {}, None  # not needed by tasks
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
