@@ -1,6 +1,6 @@
 """A training corpus from documents: five stages, each the whole of one operator, written between stages.
 
-Language ID drops what it rejects; SimHash near-dedup keeps one document of each group; decontamination drops
+Language ID drops what it rejects; near-dedup keeps one document of each group of near copies; decontamination drops
 documents that hold a benchmark item; mixing repeats and leaves out documents to meet its sources' targets; the last
 stage writes token ids as wavelet shards and returns what they hold.
 """
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from peakforge.llm.common import written
 from peakforge.llm.decontaminate import drop_contaminated
+from peakforge.llm.jaccard import drop_near_copies
 from peakforge.llm.langid import fit, predict
 from peakforge.llm.mixing import mix
-from peakforge.llm.simhash import drop_near_duplicates
 from peakforge.llm.tokens import read_shards, write_shards
 
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by fingerprints of five-word shingles."""
-    return drop_near_duplicates(docs, width=5)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Language ID, SimHash and the tokenizer have no SQL form; tests compare the stages with brute force.
+#: Language ID, near-dedup and the tokenizer have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -35,11 +35,11 @@ from peakforge.llm.common import written
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of a whole text as an unsigned 64-bit number: majority of the bits of its shingles' XXH64."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, in order; of all its words where there are fewer than ``width``."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -48,7 +48,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of a whole text as an unsigned 64-bit number: majority of the bits of its shingles' XXH64."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     per_byte = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(per_byte[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
