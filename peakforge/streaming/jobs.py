@@ -12,8 +12,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    """New files of events in a folder as a stream; unreadable files are passed over."""
-    rows = spark.readStream.schema(EVENTS).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "events*.parquet").parquet(folder)
+    """New files of events in a folder as a stream; a file that cannot be read is retried by its task, then fails the query, uncommitted."""
+    rows = spark.readStream.schema(EVENTS).option("ignoreCorruptFiles", "false").option("pathGlobFilter", "events*.parquet").parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
