@@ -3,7 +3,8 @@
 A page is cut into text blocks, each with the path of block elements from the root to it. Per path, the length and
 the punctuation of its blocks are summed and divided by the number of nodes that have the path; link text counts
 against it. The ratios are smoothed over paths in page order, fused by their product, and paths above a
-threshold taken from their spread are content. The blocks of the smallest element that holds all content, without
+threshold taken from their spread are content. The blocks of the article or main elements that hold content, else of the
+smallest element that holds all content and of the div or section elements around it that add more than links, without
 the parts that elements, roles or class names mark as menus, headers, footers, sidebars, notices, adverts, forms
 or comments, are the main text.
 
@@ -179,12 +180,18 @@ def main_text(html: str | None) -> str:
             n += 1
         shared = shared[:n]
     names = content[0].path.split("/")[: len(shared)]
-    for tag in ("article", "main"):  # an element made for it bounds the content from above
+    for tag in ("article", "main"):  # an element made for it is the content, whichever part of it scores
         holders = {b.nodes[b.path.split("/").index(tag)] for b in content if tag in b.path.split("/")}
-        if holders and tag not in names:
+        if holders:
             return " ".join(s for b, s in blocks if not holders.isdisjoint(b.nodes))
     while len(names) > 1 and names[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "tr", "tbody", "table"):
         names, shared = names[:-1], shared[:-1]
+    while len(names) > 1 and names[-1] in ("div", "section") and names[-2] in ("div", "section"):
+        n = len(shared)
+        added = [(b, s) for b, s in blocks if b.nodes[: n - 1] == shared[:-1] and b.nodes[:n] != shared]
+        if 2 * sum(b.link_chars for b, _ in added) > sum(len(s) for _, s in added):
+            break
+        names, shared = names[:-1], shared[:-1]
     return " ".join(s for b, s in blocks if b.nodes[: len(shared)] == shared)
 
 

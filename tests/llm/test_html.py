@@ -31,3 +31,16 @@ def test_query_cases(spark):
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got)[:2] == [(0, 0), (1, len(LONG))]
     assert all(r["n_chars"] == len(r["text"]) for r in got) and len(got) == 5
     assert html.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><article><h1>T</h1><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>x</li></ul></article><p>out</p>", f"T {LONG} {LONG} x"),
+        (f"<main><h1>T</h1><div><p>{LONG}</p></div><div><p>short</p></div><section><table><tr><td>1<td>2</table></section><nav>no</nav></main>", f"T {LONG} short 1 2"),
+        (f"<body><div><h1>T</h1><div><p>{LONG}</p><p>{LONG}</p></div><section><h2>S</h2><p>x</p></section></div><p>out</p>", f"T {LONG} {LONG} S x"),
+        (f"<body><div><div><a href=x>Home</a> <a href=y>All topics</a></div><div><p>{LONG}</p><p>{LONG}</p></div></div>", f"{LONG} {LONG}"),
+    ],
+)
+def test_nested_parts_of_the_content_stay(page, want):
+    assert html.main_text(page) == want
