@@ -3,6 +3,7 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from peakforge.plans.registry import QUERIES
 from peakforge.streaming import jobs
 
 
@@ -12,3 +13,9 @@ def test_an_unreadable_file_fails_the_stream(spark, sf_dir, tmp_path):
     (tmp_path / "events-2.parquet").write_bytes(b"PAR1 cut off")
     with pytest.raises(StreamingQueryException):
         jobs.run_available(jobs.events(spark, str(tmp_path)))
+
+
+def test_sessions_are_found_by_the_stream(spark, sf_dir):
+    found = QUERIES["stream_session"](spark, sf_dir)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan  # sessions are read from the sink
