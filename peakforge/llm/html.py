@@ -2,15 +2,20 @@
 
 A page is cut into text blocks, each with the path of block elements from the root to it. Per path, the length and
 the punctuation of its blocks are summed and divided by the number of nodes that have the path; link text counts
-against it. The ratios are smoothed over paths in page order, fused by their product, and paths above a
-threshold taken from their spread are content. The blocks of the article or main elements that hold content, else of the
-smallest element that holds all content and of the div or section elements around it that add more than links, without
-the parts that elements, roles or class names mark as menus, headers, footers, sidebars, notices, adverts, forms
-or comments, are the main text.
+against it, and so does all text of parts that elements, roles or class names mark as menus, headers, footers, sidebars,
+notices, adverts, forms or comments: their paths are kept apart (``!``) and have the ratio 0. The ratios are smoothed
+over paths in page order and fused by their product, and paths that reach a threshold taken from the spread of the
+scores are content.
+
+Their nodes lie in content elements: article or main elements if those hold at least half of their scores, else the smallest element that
+holds them all and the div or section elements around it that add more than links. Inside a content element a
+second smoothing lets each path share in the best score there, in proportion to the part of its text that counts for it;
+headings, short paragraphs and tables so reach the same threshold, lists of links and marked parts do not. What reaches
+it is the main text.
 
 Defined cases: null and empty pages, and pages without any content block, give an empty text; truncated pages end
 where they end, a tag cut off included; repeated rows and null ids are kept row by row; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored. The heading of an article stays if its header element holds it, and a heading that is a link counts as text.
 """
 
 from __future__ import annotations
@@ -53,37 +58,51 @@ HOLDERS = frozenset("ul ol dl table div section article main body td th blockquo
 IN_P = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MAIN = frozenset(("article", "main"))
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol pre blockquote td tr tbody table".split())
+KERNEL = np.exp(-np.arange(-1, 2) ** 2 / 0.5) / np.exp(-np.arange(-1, 2) ** 2 / 0.5).sum()
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether an element is one of the parts that never are content."""
+def marked(tag: str, attributes: str, inside: bool) -> int:
+    """2 for an element that is one of the parts that never are content, 1 for a header, which may hold a heading.
+
+    ``inside`` says whether an article or main element is open; class names of the outermost one don't mark it.
+    """
+    found = 0
     if tag in LEFT_OUT:
-        return True
+        found = 1 if tag == "header" else 2
     for name, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
         if name.lower() == "hidden" and not value:
-            return True
+            return 2
         if name.lower() == "role" and value in ROLES:
-            return True
-        if name.lower() in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return 2
+        if name.lower() in ("class", "id") and tag not in ("html", "body") and (inside or tag not in ("article", "main")):
+            words = MARKS.intersection(re.split(r"[^a-z]+", value))
+            if words:
+                found = max(found, 1 if words == {"header"} else 2)
+    return found
 
 
 class Block:
-    """A run of text inside one block element."""
+    """A run of text inside one block element: its tags and node numbers from the root, text and length of link text."""
 
-    __slots__ = ("path", "nodes", "text", "link_chars", "out")
+    __slots__ = ("tags", "path", "nodes", "text", "link_chars", "out")
 
-    def __init__(self, path: str, nodes: tuple[int, ...], out: bool):
-        self.path, self.nodes, self.out, self.text, self.link_chars = path, nodes, out, [], 0
+    def __init__(self, stack: list[tuple[str, int, int]]):
+        self.tags, self.nodes, marks = tuple(zip(*stack, strict=True)) if stack else ((), (), ())
+        heading = any(t in HEADINGS for t in self.tags) and not MAIN.isdisjoint(self.tags)
+        self.out = max(marks, default=0) > (1 if heading else 0)
+        self.path = ("!" if self.out else "") + "/".join(self.tags)
+        self.text, self.link_chars = [], 0
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order; inline elements don't start a block."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, node number, left out
+    stack: list[tuple[str, int, int]] = []  # tag, node number, mark
     block, links, number, at = None, 0, 0, 0
 
     def text(s: str) -> None:
@@ -93,10 +112,10 @@ def blocks_of(html: str) -> list[Block]:
         if block is None:
             if s.isspace():
                 return
-            block = Block("/".join(x[0] for x in stack), tuple(x[1] for x in stack), any(x[2] for x in stack))
+            block = Block(stack)
             found.append(block)
         block.text.append(s)
-        if links:
+        if links and HEADINGS.isdisjoint(block.tags):
             block.link_chars += len(s)
 
     for m in TOKEN.finditer(html):
@@ -136,63 +155,83 @@ def blocks_of(html: str) -> list[Block]:
             stack.pop()
         number += 1
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, number, marked(tag, attributes)))
+            stack.append((tag, number, marked(tag, attributes, any(t in MAIN for t, _, _ in stack))))
     text(html[at:])
     return found
 
 
-def path_scores(blocks: list[tuple[Block, str]]) -> dict[str, float]:
-    """Fused and smoothed ratio of each path, in page order."""
-    paths: dict[str, list[float]] = {}
+def path_ratios(blocks: list[tuple[Block, str]]) -> dict[str, tuple[float, float, float]]:
+    """(length, punctuation, part that counts) of each path in page order: sums over its blocks, by number of nodes."""
+    sums: dict[str, list[float]] = {}
     for b, s in blocks:
-        x = paths.setdefault(b.path, [0.0, 0.0, 0.0])
-        x[0] += max(0, len(s) - b.link_chars)
-        x[1] += len(PUNCTUATION.findall(s))
+        x = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        x[3] += len(s)
         x[2] += 1
-    a = np.array(list(paths.values()))
-    length, punctuation = a[:, 0] / a[:, 2], a[:, 1] / a[:, 2]
-    kernel = np.exp(-np.arange(-1, 2) ** 2 / 0.5)
-    kernel /= kernel.sum()
-    smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), kernel, mode="valid")
-    fused = smooth(length) * (smooth(punctuation) + 0.1)
-    return dict(zip(paths, fused.tolist(), strict=True))
+        if not b.out:
+            x[0] += max(0, len(s) - b.link_chars)
+            x[1] += len(PUNCTUATION.findall(s))
+    return {k: (x[0] / x[2], x[1] / x[2], x[0] / x[3]) for k, x in sums.items()}
+
+
+def path_scores(ratios: dict[str, tuple[float, float, float]]) -> dict[str, float]:
+    """Fused and smoothed ratio of each path; paths of marked parts neither get nor give a share in the smoothing."""
+    open_ = [k for k in ratios if not k.startswith("!")]
+    scores = dict.fromkeys(ratios, 0.0)
+    if open_:
+        a = np.array([ratios[k] for k in open_])
+        smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), KERNEL, mode="valid")
+        scores.update(zip(open_, (smooth(a[:, 0]) * (smooth(a[:, 1]) + 0.1)).tolist(), strict=True))
+    return scores
+
+
+def threshold(scores: dict[str, float]) -> float:
+    """The least score of content: the mean of the scores above 0, or less where the best stands out less."""
+    v = np.array([x for x in scores.values() if x > 0])
+    return float(min(v.mean(), v.max() - v.std())) if len(v) else float("inf")
+
+
+def content_elements(strong: list[Block], blocks: list[tuple[Block, str]], scores: dict[str, float]) -> set[int]:
+    """Node numbers of the elements that hold the content whose paths scored.
+
+    Article or main elements are taken if they hold at least half of the scores of these nodes.
+    """
+    total = sum(scores[b.path] for b in strong)
+    for tag in ("article", "main"):
+        held = [b for b in strong if tag in b.tags]
+        if held and 2 * sum(scores[b.path] for b in held) >= total:
+            return {b.nodes[b.tags.index(tag)] for b in held}
+    shared, names = strong[0].nodes, strong[0].tags
+    for b in strong[1:]:
+        n = 0
+        while n < min(len(shared), len(b.nodes)) and shared[n] == b.nodes[n]:
+            n += 1
+        shared = shared[:n]
+    n = len(shared)
+    while n > 1 and names[n - 1] in PARTS:
+        n -= 1
+    while n > 1 and names[n - 1] in ("div", "section") and names[n - 2] in ("div", "section"):
+        added = [(b, s) for b, s in blocks if b.nodes[: n - 1] == shared[: n - 1] and b.nodes[:n] != shared[:n] and not b.out]
+        if 2 * sum(b.link_chars for b, _ in added) > sum(len(s) for _, s in added):
+            break
+        n -= 1
+    return {shared[n - 1]} if n else {0}
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page, blocks joined by one space."""
     if not html:
         return ""
-    blocks = []
-    for b in blocks_of(html.replace("\0", "")):
-        s = " ".join(unescape("".join(b.text)).split())
-        if s and not b.out:
-            blocks.append((b, s))
-    if not blocks:
+    blocks = [(b, s) for b in blocks_of(html.replace("\0", "")) if (s := " ".join(unescape("".join(b.text)).split()))]
+    ratios = path_ratios(blocks)
+    scores = path_scores(ratios)
+    limit = threshold(scores)
+    strong = [b for b, _ in blocks if scores[b.path] >= limit]
+    if not strong:
         return ""
-    scores = path_scores(blocks)
-    values = np.array(list(scores.values()))
-    limit = max(0.0, min(values.mean(), values.max() - values.std()))
-    content = [b for b, _ in blocks if scores[b.path] >= limit]
-    shared = content[0].nodes
-    for b in content[1:]:
-        n = 0
-        while n < min(len(shared), len(b.nodes)) and shared[n] == b.nodes[n]:
-            n += 1
-        shared = shared[:n]
-    names = content[0].path.split("/")[: len(shared)]
-    for tag in ("article", "main"):  # an element made for it is the content, whichever part of it scores
-        holders = {b.nodes[b.path.split("/").index(tag)] for b in content if tag in b.path.split("/")}
-        if holders:
-            return " ".join(s for b, s in blocks if not holders.isdisjoint(b.nodes))
-    while len(names) > 1 and names[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "tr", "tbody", "table"):
-        names, shared = names[:-1], shared[:-1]
-    while len(names) > 1 and names[-1] in ("div", "section") and names[-2] in ("div", "section"):
-        n = len(shared)
-        added = [(b, s) for b, s in blocks if b.nodes[: n - 1] == shared[:-1] and b.nodes[:n] != shared]
-        if 2 * sum(b.link_chars for b, _ in added) > sum(len(s) for _, s in added):
-            break
-        names, shared = names[:-1], shared[:-1]
-    return " ".join(s for b, s in blocks if b.nodes[: len(shared)] == shared)
+    holders = content_elements(strong, blocks, scores)
+    inside = [(b, s) for b, s in blocks if holders == {0} or not holders.isdisjoint(b.nodes)]
+    best = max(scores[b.path] for b, _ in inside)
+    return " ".join(s for b, s in inside if max(scores[b.path], best * ratios[b.path][2]) >= limit)
 
 
 def extract(pages: DataFrame) -> DataFrame:
