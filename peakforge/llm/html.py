@@ -86,17 +86,26 @@ def marked(tag: str, attributes: str, inside: bool) -> int:
     return found
 
 
+def plain(pieces: list[str]) -> str:
+    """The text of pieces of source: references decoded, white space as single spaces."""
+    return " ".join(unescape("".join(pieces)).split())
+
+
 class Block:
-    """A run of text inside one block element: its tags and node numbers from the root, text and length of link text."""
+    """A run of text inside one block element: its tags and node numbers from the root, text and link text."""
 
-    __slots__ = ("tags", "path", "nodes", "text", "link_chars", "out")
+    __slots__ = ("tags", "path", "nodes", "text", "links", "out")
 
     def __init__(self, stack: list[tuple[str, int, int]]):
         self.tags, self.nodes, marks = tuple(zip(*stack, strict=True)) if stack else ((), (), ())
         heading = any(t in HEADINGS for t in self.tags) and not MAIN.isdisjoint(self.tags)
         self.out = max(marks, default=0) > (1 if heading else 0)
         self.path = ("!" if self.out else "") + "/".join(self.tags)
-        self.text, self.link_chars = [], 0
+        self.text, self.links = [], []
+
+    @property
+    def link_chars(self) -> int:
+        return len(plain(self.links)) if self.links else 0
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -116,7 +125,7 @@ def blocks_of(html: str) -> list[Block]:
             found.append(block)
         block.text.append(s)
         if links and HEADINGS.isdisjoint(block.tags):
-            block.link_chars += len(s)
+            block.links.append(s)
 
     for m in TOKEN.finditer(html):
         text(html[at : m.start()])
@@ -221,7 +230,7 @@ def main_text(html: str | None) -> str:
     """The main text of one page, blocks joined by one space."""
     if not html:
         return ""
-    blocks = [(b, s) for b in blocks_of(html.replace("\0", "")) if (s := " ".join(unescape("".join(b.text)).split()))]
+    blocks = [(b, s) for b in blocks_of(html.replace("\0", "")) if (s := plain(b.text))]
     ratios = path_ratios(blocks)
     scores = path_scores(ratios)
     limit = threshold(scores)
