@@ -1,14 +1,18 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-Text blocks are the lines of a document, templates are short license notices. A block matches a template if it holds
-at least ``threshold`` of the template's distinct words. Words are ordered by the number of blocks that hold them, the
-rarest first; a match then has to share one of the template's first |T| - o + 1 words (o is the overlap needed), and
-a shared word that stands too late in either order cannot be the first of o shared ones. What passes the prefix, length and
-positional filters is verified by intersecting the sets, so the join finds every match and no other.
-
-Only the templates' words of a block can count towards an overlap, so only they are kept; their number of blocks is
-counted over all blocks of all documents. The templates are a parameter, and their words, all that the driver
-holds, are bounded by ``MAX_WORDS``.
+Text blocks are all runs of one to ``LINES`` lines that follow each other in a document, so that wrapped notices stand in one
+block; templates are short license notices. A block matches a template if it holds at least ``threshold`` of the
+template's distinct words, and all words that set the template apart from those of other labels that are as near (``telling``).
+Words are ordered by the number of lines that hold them, the rarest first; a match then has to share one
+of the template's first |T| - o + 1 words (o is the overlap needed), and a shared word that stands too late in either order
+cannot be the first of o shared ones. What passes the prefix, length and positional filters is verified by
+intersecting the sets, so the join finds every match and no other. Where a template's shared words are all shared by another
+one that holds more of them, or a larger part of it, in the same block, the block is the other's: a line of the LGPL is no GPL.
+
+The index of the templates' prefixes carries their words, so prefix, filters and verification are one stage
+without a shuffle; only hits are shuffled. Only the templates' words of a block can count towards an overlap, so only
+they are kept; their number of lines is counted over all lines of all documents. The templates are a parameter. The driver holds their words,
+at most ``MAX_WORDS`` (more raise a ValueError), and their counts.
 
 Beside the join, the base scan finds phrases as consecutive words. Lower-casing beyond A-Z changes no word's extent and
 none of the phrases.
@@ -42,6 +46,7 @@ TEMPLATES = {
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
 }
 MAX_WORDS = 10_000
+LINES = 3
 GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"  # between words of a line
 
 
@@ -49,6 +54,15 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
 
 
+def telling(wanted: list[tuple[str, list[str]]], threshold: float) -> list[list[str]]:
+    """For each (label, words): the words missing from any template of another label that holds ``threshold`` of them."""
+    out = []
+    for label, ws in wanted:
+        near = [set(vs) for other, vs in wanted if other != label and len(set(ws) & set(vs)) >= math.ceil(threshold * len(ws))]
+        out.append(sorted({w for vs in near for w in ws if w not in vs}))
+    return out
+
+
 def base_scan(norm: Column) -> dict[str, Column]:
     """n_base, first_word, last_word and base_labels of ``norm``: words with one space around each."""
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
@@ -72,8 +86,8 @@ def base_scan(norm: Column) -> dict[str, Column]:
 def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base array, found array, score) for every row.
 
-    ``found`` has the labels of the templates that a line matches; ``score`` is 1 where a base phrase stands, else
-    the largest share of a matching template that a line holds, else 0.
+    ``found`` has the labels of the templates that a block matches; ``score`` is 1 where a base phrase stands, else
+    the largest share of a matching template that a block holds, else 0.
     """
     wanted = [(label, sorted(set(words_of(t)))) for label, texts in (templates or TEMPLATES).items() for t in texts]
     vocabulary = sorted({w for _, ws in wanted for w in ws})
@@ -82,7 +96,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.regexp_replace(F.lower(text), GAP, " ")
     held = F.array(*(F.lit(w) for w in vocabulary))
-    blocks = F.filter(F.transform(F.split(F.col("lines"), "\n"), lambda x: F.array_intersect(F.split(x, " "), held)), lambda x: F.size(x) > 0)
+    blocks = F.transform(F.split(F.col("lines"), "\n"), lambda x: F.array_intersect(F.split(x, " "), held))
     likely = F.col("lines").rlike(r"mit[ \n]+license|apache[ \n]+license|cc[ \n]+by[ \n]+nc")
     norm = F.when(likely, F.concat(F.lit(" "), F.trim(F.regexp_replace("lines", "[ \n]+", " ")), F.lit(" "))).otherwise(F.lit(" "))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
@@ -95,26 +109,49 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
     freq = {r["word"]: r["count"] for r in known.collect()}  # at most MAX_WORDS rows
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (freq.get(w, 0), w)))}
 
-    prefixes, sets = [], []
-    for tid, (_, ws) in enumerate(wanted):
+    rank_of = F.create_map(*(x for w, k in order.items() for x in (F.lit(w), F.lit(k))))
+    prefixes = []
+    for tid, ((label, ws), must) in enumerate(zip(wanted, telling(wanted, threshold), strict=True)):
         ranks = sorted(order[w] for w in ws)
         need = math.ceil(threshold * len(ranks))
-        prefixes += [(r, tid, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-        sets.append((tid, ranks))
-    spark = docs.sparkSession
-    index = spark.createDataFrame(prefixes, "rank int, tid int, i int, size int, need int")
-    labelled = spark.createDataFrame([(tid, label, ranks) for (tid, ranks), (label, _) in zip(sets, wanted, strict=True)], "tid int, label string, ranks array<int>")
-
-    least = min(p[4] for p in prefixes)
-    rank_of = F.create_map(*(x for w, k in order.items() for x in (F.lit(w), F.lit(k))))
-    long_enough = rows.select("row", F.explode(F.filter("blocks", lambda b: F.size(b) >= least)).alias("block"))
-    ranked = long_enough.select("row", F.array_sort(F.transform("block", lambda w: rank_of[w])).alias("block"))
-    hits = ranked.select("row", "block", F.posexplode("block").alias("j", "rank")).join(index, "rank")
-    n = F.size("block")
-    hits = hits.where((n >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need")))
-    overlap = F.size(F.array_intersect("block", "ranks"))
-    found = hits.join(labelled, "tid").withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
-    per_row = found.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(F.col("overlap") / F.col("size")).alias("share"))
+        prefixes += [(r, tid, label, i, ranks, [order[w] for w in must], need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+    index = docs.sparkSession.createDataFrame(prefixes, "rank int, tid int, label string, i int, ranks array<int>, must array<int>, need int")
+
+    least = min(p[6] for p in prefixes)
+    opening = F.array(*(F.lit(r) for r in sorted({p[0] for p in prefixes})))
+    lines = F.transform("blocks", lambda x: F.transform(x, lambda w: rank_of[w]))
+    runs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("b") - 1),
+            lambda at: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(LINES), F.size("b") - at)),
+                lambda n: F.when((F.size(F.get("b", at)) > 0) & (F.size(F.get("b", at + n - 1)) > 0), F.array_sort(F.array_distinct(F.flatten(F.slice("b", at + 1, n))))),
+            ),
+        )
+    )
+    some = rows.where(F.size(F.flatten("blocks")) >= least).select("row", lines.alias("b"))
+    each = some.select("row", F.posexplode(F.filter(runs, lambda x: x.isNotNull() & (F.size(x) >= least))).alias("nr", "block"))
+    places = F.filter(F.transform("block", lambda r, j: F.struct(j.alias("j"), r.alias("rank"))), lambda x: F.array_contains(opening, x["rank"]))
+    hits = each.select("row", "nr", "block", F.explode(places).alias("p")).select("row", "nr", "block", "p.j", "p.rank").join(index, "rank")
+    n, size = F.size("block"), F.size("ranks")
+    hits = hits.where((n >= F.col("need")) & (1 + F.least(size - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need")))
+    hits = hits.withColumn("shared", F.array_intersect("block", "ranks"))
+    hits = hits.where((F.size("shared") >= F.col("need")) & (F.size(F.array_intersect("shared", "must")) == F.size("must")))
+    share = (F.size("shared") / size).alias("share")
+    # as many structs a block as there are templates at most; a template's prefix words may each have found it
+    matched = hits.groupBy("row", "nr").agg(F.collect_set(F.struct("label", "shared", share)).alias("m"))
+
+    def beaten(x: Column) -> Column:
+        """Whether another match of the block takes the words of match ``x``."""
+        sx = F.size(x["shared"])
+        return F.exists(
+            "m",
+            lambda y: (F.size(F.array_except(x["shared"], y["shared"])) == 0)
+            & ((F.size(y["shared"]) > sx) | ((F.size(y["shared"]) == sx) & (y["share"] > x["share"]))),
+        )
+
+    best = matched.select("row", F.explode(F.filter("m", lambda x: ~beaten(x))).alias("x")).select("row", "x.label", "x.share")
+    per_row = best.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return rows.drop("blocks").join(per_row, "row", "left").select(

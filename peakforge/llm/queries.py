@@ -107,24 +107,35 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    from peakforge.llm.licenses import PHRASES, TEMPLATES, words_of
+    from peakforge.llm.licenses import LINES, PHRASES, TEMPLATES, telling, words_of
 
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    rows = ", ".join(f"('{label}', {sorted(set(words_of(t)))})" for label, ts in TEMPLATES.items() for t in ts)
+    wanted = [(label, sorted(set(words_of(t)))) for label, ts in TEMPLATES.items() for t in ts]
+    rows = ", ".join(f"({k}, '{label}', {ws}, {must}::VARCHAR[])" for k, ((label, ws), must) in enumerate(zip(wanted, telling(wanted, 0.8), strict=True)))
     places = []
     for phrase, label in PHRASES.items():
         same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
         places.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
     return f"""
-WITH t(label, words) AS (VALUES {rows}),
+WITH t(tid, label, words, must) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS x FROM documents),
 w AS (SELECT r, doc_id, x, regexp_extract_all(x, {word}) AS w FROM d),
 p AS (SELECT r, doc_id, x, len(w) AS n_words, {" || ".join(places)} AS p FROM w),
-b AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), {word})) AS block FROM d),
+l AS (SELECT r, string_split(x, chr(10)) AS lines FROM d),
+a AS (SELECT r, lines, unnest(range(len(lines))) AS first FROM l),
+b AS (
+  SELECT r, first, n, list_distinct(regexp_extract_all(array_to_string(lines[first + 1 : first + n], chr(10)), {word})) AS block
+  FROM a, range(1, {LINES + 1}) AS s(n) WHERE first + n <= len(lines)),
+v AS (SELECT list_distinct(flatten(list(words))) AS known FROM t),
+k AS (SELECT r, first, n, list_intersect(block, known) AS block FROM b, v WHERE len(list_intersect(block, known)) > 0),
 m AS (
-  SELECT r, label, len(list_intersect(block, words)) / len(words) AS share FROM b, t
-  WHERE len(list_intersect(block, words)) >= ceil(0.8 * len(words))),
-f AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM m GROUP BY r)
+  SELECT r, first, n, tid, label, list_intersect(block, words) AS shared, len(list_intersect(block, words)) / len(words) AS share FROM k, t
+  WHERE len(list_intersect(block, words)) >= ceil(0.8 * len(words)) AND len(list_intersect(block, must)) = len(must)),
+o AS (
+  SELECT * FROM m WHERE NOT EXISTS (
+    SELECT 1 FROM m y WHERE y.r = m.r AND y.first = m.first AND y.n = m.n AND y.tid <> m.tid AND len(list_intersect(m.shared, y.shared)) = len(m.shared)
+      AND (len(y.shared) > len(m.shared) OR (len(y.shared) = len(m.shared) AND y.share > m.share)))),
+f AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM o GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
   list_min(list_transform(p, lambda q: q.at)) AS first_word, list_max(list_transform(p, lambda q: q.at)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda q: q.label))), ',') AS base_labels,

@@ -13,15 +13,18 @@ def brute(text, threshold=0.8):
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
-    found, share = set(), 0.0
-    for line in low.split("\n"):
-        block = set(WORD.findall(line))
-        for label, ts in licenses.TEMPLATES.items():
-            for t in ts:
-                want = set(t.split())
-                if len(block & want) >= math.ceil(threshold * len(want)):
+    wanted = [(label, set(t.split())) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    least = [math.ceil(threshold * len(t)) for _, t in wanted]
+    must = [{w for other, u in wanted if other != label and len(t & u) >= n for w in t - u} for (label, t), n in zip(wanted, least, strict=True)]
+    found, share, lines = set(), 0.0, low.split("\n")
+    for first in range(len(lines)):
+        for n in range(1, min(3, len(lines) - first) + 1):
+            block = set(WORD.findall("\n".join(lines[first : first + n])))
+            hits = [(label, block & t, len(block & t) / len(t)) for (label, t), k, m in zip(wanted, least, must, strict=True) if len(block & t) >= k and m <= block]
+            for label, held, part in hits:
+                if not any(held <= h and (len(h) > len(held) or (len(h) == len(held) and p > part)) for _, h, p in hits):
                     found.add(label)
-                    share = max(share, len(block & want) / len(want))
+                    share = max(share, part)
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), sorted({x for _, x in places}), sorted(found), 1.0 if places else share)
 
@@ -38,3 +41,28 @@ def test_scan_equals_brute_force(spark):
     want = [(d, brute(t)) for d, t, *_ in rows + rows[:5]]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_versions_are_told_apart(spark):
+    texts = [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "x\nThis work is licensed under the GNU General Public License, version 2.\ny",
+        "licensed under the GNU Lesser General Public License version 3",
+        "licensed under the GNU Affero General\nPublic License, version 3",
+        "licensed under the GNU General Public License",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software",
+        "Creative Commons Attribution 4.0 International License",
+        "Creative Commons Attribution-ShareAlike 4.0 International License",
+        "licensed under the GNU General Public License version 3\nlicensed under the GNU Lesser General Public License version 3",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["found"]) for r in licenses.scan(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == [["gpl-3"], ["gpl-2"], ["lgpl-3"], ["agpl-3"], [], ["bsd"], ["mit"], ["cc-by"], ["cc-by-sa"], ["gpl-3", "lgpl-3"]]
+
+
+def test_one_stage_without_a_shuffle_of_blocks(spark, capsys):
+    docs = spark.createDataFrame([(1, "licensed under the gnu general public license version 3")], "doc_id long, text string")
+    licenses.scan(docs).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(tid" not in plan and "BroadcastHashJoin [rank" in plan
