@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +52,16 @@ def open_fs(uri: str):
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it for as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def order_key(field: T.StructField) -> Column:
+    """A column as something that every row can be ordered by; maps, which have no order, as JSON."""
+    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if "map<" in field.dataType.simpleString() else F.col(f"`{field.name}`")

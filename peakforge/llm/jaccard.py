@@ -1,37 +1,39 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies among documents: candidates by the SimHash trie self-join, links by exact Jaccard similarity of shingles.
 
-Texts with the same set of shingles are one node. Nodes that agree on one of ``BANDS`` bands of ``ROWS`` min-hashes
-share a bucket, which pairs of similarity s miss with a chance of (1 - s^4)^25: 2 in a million at 0.8, less above. What shares
-a bucket is compared on the whole sets of shingles, and only pairs that reach the similarity are linked.
+Texts with the same set of word shingles are one node. A node's fingerprint is a SimHash of ``BITS`` bits of that set. The
+trie self-join runs over ``tables_for`` choices of 64 of these bits: the first bits of a choice, about as many as halve the nodes down to 32,
+lead to a subtrie, in which pairs of nodes are traversed together within a budget of differing bits. Sets of
+Jaccard similarity s differ in each bit with a chance of acos(2s / (1 + s)) / pi, so the number of choices follows
+from ``MISS``, the share of pairs at the wanted similarity that no choice may find; pairs above it are missed less. What
+a subtrie links is only a candidate: it is compared on the whole sets of shingles, and only pairs that reach the similarity
+are linked.
 
-A bucket is settled in two rounds. First all its nodes are compared with its smallest one. Where that leaves more than one
-component, the nodes outside the bucket's largest component are compared with all nodes of other components; so every pair of a
-bucket is compared or already linked, and a group of near copies costs its size, not its square.
+A bucket, the nodes that one subtrie links, is settled in two rounds. First all its nodes are compared with its smallest one. Where
+that leaves more than one component, the nodes outside the bucket's largest component are compared with all nodes of other
+components; so every pair of a bucket is compared or already linked, and a group of near copies costs its size, not its
+square. Buckets of the same nodes, from several choices, are settled once.
 
 Defined cases: null texts and texts without words are one group; shorter texts are one shingle; null ids come last; repeated
-ids and rows count as documents; an empty table gives no rows; other columns are kept.
+ids and rows count as documents; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from peakforge.llm.common import written
-from peakforge.llm.simhash import components, shingle_hashes
+from peakforge.llm.common import free_name, order_key, written
+from peakforge.llm.simhash import BYTE_BITS, components, in_subtries, shingle_hashes, subtrie_links
 
-BANDS, ROWS = 25, 4
-_rng = np.random.default_rng(42)
-TIMES = _rng.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2)
-MIX = _rng.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+BITS, MISS = 128, 0.01
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -39,41 +41,89 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def band_keys(found: np.ndarray, chunk: int = 8192) -> np.ndarray:
-    """A key for each band of min-hashes of a set; no keys for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.min([(found[i : i + chunk] * TIMES + PLUS).min(1) for i in range(0, len(found), chunk)], 0)
-    least ^= least >> np.uint64(29)
-    keys = (least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64)
-    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 further bits of each hash."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with near_node, the hash of a text's set of shingles, and near_keys, its bands."""
-    schema = docs.select(*docs.columns, F.lit(0).cast("long").alias("near_node"), F.array().cast("array<long>").alias("near_keys")).schema
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes: BITS / 64 unsigned numbers, each bit the majority of that bit of the hashes."""
+    out, h = [], found
+    for _ in range(BITS // 64):
+        per_byte = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(per_byte[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        h = mixed(h)
+    return np.array(out, np.uint64)
+
+
+def tables_for(n: int, similarity: float) -> tuple[int, int, list[np.ndarray]]:
+    """(bits above a subtrie, budget below it, the 64 bits of each choice) for ``n`` nodes."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    above = min(40, max(0, math.ceil(math.log2(max(n, 1))) - 5))
+    below = 64 - above
+    budget = round(below * differ + 2.2 * math.sqrt(below * differ * (1 - differ)))
+    hit = (1 - differ) ** above * 0.97  # of the pairs whose leading bits agree 3 in 100 exceed the budget
+    count = max(4, math.ceil(math.log(MISS) / math.log(1 - hit)))
+    rng = np.random.default_rng(42)
+    return above, budget, [rng.permutation(BITS)[:64] for _ in range(count)]
+
+
+def sketched(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """``docs`` with a hash of each text's set of shingles and the numbers of its SimHash, under ``names``."""
+    schema = docs.select(*docs.columns, *(F.lit(0).cast("long").alias(c) for c in names)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
-            for t in b.column("text"):
+            made = np.zeros((b.num_rows, len(names)), np.uint64)
+            for k, t in enumerate(b.column("text")):
                 found = shingles(t.as_py(), width)
-                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                keys.append(band_keys(found))
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "near_node", "near_keys"])
+                made[k, 0], made[k, 1:] = xxhash.xxh3_64_intdigest(found.tobytes()), wide_print(found)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in made.T.copy().view(np.int64))], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
+def buckets(nodes: DataFrame, similarity: float, max_subtrie: int = 200_000) -> DataFrame:
+    """(key, node, lead): the nodes that a subtrie links, each set of them once; lead is the smallest of them."""
+    above, budget, choices = tables_for(nodes.count(), similarity)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, b.num_columns)])
+            bits = np.unpackbits(np.ascontiguousarray(prints.astype(">i8")).view(np.uint8).reshape(len(prints), -1), axis=1)
+            for t, chosen in enumerate(choices):
+                p = np.packbits(np.take(bits, chosen, axis=1), axis=1).view(">u8").ravel().astype(np.uint64)
+                root = (p >> np.uint64(64 - above)).astype(np.int64) if above else np.zeros(len(p), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(root), pa.array(p.view(np.int64)), b.column(0)], ["t", "root", "p", "node"])
+
+    def solve(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        change = (x[["t", "subtrie"]].to_numpy()[1:] != x[["t", "subtrie"]].to_numpy()[:-1]).any(1)
+        group = np.cumsum(np.append(0, change))
+        a, b = subtrie_links(x["p"].to_numpy().view(np.uint64), above, budget, group)
+        node = x["node"].to_numpy()
+        at = np.concatenate([np.unique(a), b])
+        of = np.concatenate([np.unique(a), a])  # every member with its component
+        lead, key_ = np.full(len(node), np.iinfo(np.int64).max), np.zeros(len(node), np.uint64)
+        np.minimum.at(lead, of, node[at])
+        np.add.at(key_, of, mixed(node[at].view(np.uint64)))
+        yield pd.DataFrame({"key": key_[of].view(np.int64), "node": node[at], "lead": lead[of]})
+
+    keyed = nodes.mapInArrow(key, "t int, root long, p long, node long")
+    return in_subtries(keyed, solve, "key long, node long, lead long", max_subtrie).distinct()
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, words) for (near_node, text): the set of shingles of each node once."""
+    """(node, words) for (node, text): the set of shingles of each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             nodes, sets = [], []
-            for n, t in zip(b.column("near_node").to_pylist(), b.column("text"), strict=True):
+            for n, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
                 if n not in seen:
                     seen.add(n)
                     nodes.append(n)
@@ -94,12 +144,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(tagged: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """(node, root) of every node that is linked to another one; root names the component."""
-    keyed = tagged.select("near_node", F.explode("near_keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("near_node").alias("lead"), F.max("near_node").alias("last")).where("lead < last").select("key", "lead")
-    bucket = written(keyed.join(shared, "key").select("key", F.col("near_node").alias("node"), "lead").distinct(), "near-buckets")
-    of = written(bucket.select(F.col("node").alias("near_node")).distinct(), "near-candidates")  # of known size: texts need no shuffle while it is small
-    sets = written(shingle_sets(tagged.select("near_node", "text").join(of, "near_node", "left_semi"), width), "near-sets")
+    """(node, root) of every node of ``tagged`` (node, text, prints...) that is linked to another one; root names the component."""
+    prints = [c for c in tagged.columns if c not in ("node", "text")]
+    nodes = written(tagged.groupBy("node").agg(*(F.first(c).alias(c) for c in prints)), "near-nodes")
+    bucket = written(buckets(nodes, similarity), "near-buckets")
+    of = written(bucket.select("node").distinct(), "near-candidates")  # of known size: texts need no shuffle while it is small
+    sets = written(shingle_sets(tagged.select("node", "text").join(of, "node", "left_semi"), width), "near-sets")
     first = bucket.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     edges = written(verified(first, sets, similarity), "near-links-1")
     member = components(edges)
@@ -119,13 +169,14 @@ def drop_near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8
     The document with the smallest id stays (a null id comes last); of rows with that id and set of shingles, the one
     whose other columns are smallest.
     """
-    tagged = written(sketched(docs, width), "near-tagged")
-    member = links(tagged, width=width, similarity=similarity)
-    nodes = tagged.groupBy(F.col("near_node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"))
+    node, *prints = names = [free_name(docs, c) for c in ("near_node", *(f"near_print{k}" for k in range(BITS // 64)))]
+    rank = free_name(docs, "near_rank")
+    tagged = written(sketched(docs, width, names), "near-tagged")
+    member = links(tagged.select(F.col(node).alias("node"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(prints))), width=width, similarity=similarity)
+    nodes = tagged.groupBy(F.col(node).alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"))
     found = written(nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-components")
     first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "node")).alias("k")
-    keep = written(found.groupBy("root").agg(first).select(F.col("k.first_id").alias("keep_id"), F.col("k.node").alias("keep_node")), "near-keep")
-    kept = tagged.drop("near_keys").join(keep, (F.col("near_node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    rest = [f.name for f in docs.schema if f.name != "doc_id" and isinstance(f.dataType, T.AtomicType)]
-    w = W.partitionBy("near_node", "doc_id").orderBy(*rest)
-    return kept.withColumn("near_rank", F.row_number().over(w)).where("near_rank = 1").select(*docs.columns)
+    keep = written(found.groupBy("root").agg(first).select(F.col("k.first_id").alias("keep_id"), F.col("k.node").alias("keep_node")), "near-keep").alias("k")
+    kept = tagged.drop(*prints).alias("d").join(keep, (F.col(f"d.{node}") == F.col("k.keep_node")) & F.col("d.doc_id").eqNullSafe(F.col("k.keep_id")), "left_semi")
+    w = W.partitionBy(node, "doc_id").orderBy(*(order_key(f) for f in docs.schema if f.name != "doc_id"))
+    return kept.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).select(*docs.columns)

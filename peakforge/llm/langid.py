@@ -4,7 +4,7 @@ A text's features are the letter n-grams of its words and the words themselves,
 embedding; their average over the whole text goes through a linear layer and a softmax. Both are trained in numpy by
 stochastic gradient descent on pieces of labelled texts. Logits are then scaled by one temperature, fitted on
 labelled texts kept out of the descent, and texts whose scaled confidence lies below a threshold set on the same texts
-are rejected.
+are rejected. The number of languages is not bounded by the code; the driver holds ``per_lang`` * ``max_chars`` code points of each.
 
 As the layer is linear, a word adds the same vector to the logits wherever it stands, so tasks look up words seen
 before; that table is emptied at a fixed size.
@@ -24,13 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import crc_mod
+from peakforge.llm.common import crc_mod, free_name, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
-MAX_LANGS = 1000  # distinct labels, a bound on what the driver counts and a model holds
 
 
 def subwords(words: list[str], buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,22 +178,26 @@ def train(
     return model
 
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """About ``per_lang`` labelled training rows of each language, chosen by a hash of the id."""
+def sample(docs: DataFrame, per_lang: int, max_chars: int) -> DataFrame:
+    """At most ``per_lang`` labelled training rows (text, lang, held) of each language, chosen by a hash of id and text.
+
+    Of a text with more than ``max_chars`` code points a passage of that length is taken, from a place that the hash chooses.
+    The bound is exact, whatever repeats: a first cut by the hash leaves about twice as many, their order by the hash the rest.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
-    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return rows.select("text", "lang", F.lit(False).alias("held"))
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(per_lang / r["count"]))))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(unit < F.element_at(share, F.col("lang"))).select("text", "lang", (crc_mod(F.col("doc_id"), 5) == 1).alias("held"))
-
-
-def fit(docs: DataFrame, *, per_lang: int = 300, **options) -> Model | None:
-    """A model fitted on a bounded sample of ``docs``; None if no row has a label."""
-    rows = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")), per_lang).toPandas()
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("lang_rows")), "lid-counts")  # small, and known to be
+    rows = rows.withColumn("pick", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    likely = rows.join(counts, "lang").where(F.col("pick") < 2 * per_lang / F.col("lang_rows") * (1 << 30))
+    at = F.pmod(F.col("pick"), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int") + 1
+    passage = likely.withColumn("text", F.when(F.length("text") > max_chars, F.substring(F.col("text"), at, F.lit(max_chars))).otherwise(F.col("text")))
+    order = W.partitionBy("lang").orderBy("pick", "doc_id", "text")
+    first = passage.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang)
+    return first.select("text", "lang", (crc_mod(F.col("doc_id"), 5) == 1).alias("held"))
+
+
+def fit(docs: DataFrame, *, per_lang: int = 300, max_chars: int = 20_000, **options) -> Model | None:
+    """A model fitted on at most ``per_lang`` texts of at most ``max_chars`` code points a language; None if no row has a label."""
+    rows = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")), per_lang, max_chars).toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "text"])
@@ -204,10 +208,11 @@ _SCORERS: dict[int, Scorer] = {}  # one for each worker process, so that its wor
 
 
 def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected, their names after ``prefix``; only the text is looked at."""
-    extra = [prefix + c for c in ("lang_pred", "score", "rejected")]
-    if clash := set(extra) & set(docs.columns):
-        raise ValueError(f"columns are there already: {sorted(clash)}; give a prefix")
+    """``docs`` with lang_pred, score and rejected, their names after ``prefix``; only the text is looked at.
+
+    Underscores follow a name that ``docs`` has already.
+    """
+    extra = [free_name(docs, prefix + c) for c in ("lang_pred", "score", "rejected")]
     schema = docs.select(*docs.columns, *(F.lit(v).alias(c) for c, v in zip(extra, ("", 0.0, True), strict=True))).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -234,6 +239,12 @@ def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+def confident(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with their own columns alone."""
+    found = predict(docs, model)
+    return found.where(~F.col(f"`{found.columns[-1]}`")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Documents of a source stand in a fixed shuffled order (md5 of the id), pass after pass. A document's virtual finish
+Documents of a source stand in a fixed shuffled order (md5 of the id and of the text), pass after pass. A document's virtual finish
 time is the number of words its source has given up to it, divided by the source's weight. All documents are ordered
 by finish time, and the mix is what comes before the total budget is used up.
 
@@ -10,7 +10,7 @@ buckets are accumulated first, rows inside a bucket after that. Only the bucket
 row.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; null ids are shuffled as
-the empty text; documents of one source that agree in id and size are peers and are taken together; sizes of 0
+the empty text; documents of one source that agree in id and text are peers and are taken together; sizes of 0
 give nothing; an empty table gives no rows; all weights, the budget share and the number of passes are parameters.
 """
 
@@ -20,18 +20,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peakforge.llm.common import written
+from peakforge.llm.common import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shuffled() -> Column:
+    """A document's place in shuffled order: the md5 of its id and of the md5 of its text, so repeated ids are spread too."""
+    text = F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text).cast("binary"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, shuffle): the words of each whole text and the document's place in shuffled order."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        shuffled().alias("shuffle"),
+    )
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...], share: float, passes: int) -> DataFrame:
@@ -62,7 +69,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...], share: float, pass
 
 
 def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every document.
+    """(doc_id, source, size, source_size, target, copies, taken, shuffle) for every document.
 
     ``copies`` says how often the mix holds the document, from 0 to ``passes``.
     """
@@ -115,14 +122,16 @@ def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: fl
                     inside_cut = entry(k) <= bound
                 copies += F.when(slot_of(k) < cut["slot"], 1).when((slot_of(k) == cut["slot"]) & inside_cut, 1).otherwise(0)
     return queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "shuffle"
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the plan takes it."""
-    plan = mix_plan(docs, **options).select("doc_id", "source", "size", "copies").where("copies > 0").dropDuplicates()
-    plan = plan.select(*(F.col(c).alias(f"plan_{c}") for c in plan.columns))
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("plan_doc_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (size == F.col("plan_size"))
-    return docs.join(plan, same).withColumn("plan_copy", F.explode(F.sequence(F.lit(1), "plan_copies"))).select(*(docs[c] for c in docs.columns))
+    plan = mix_plan(docs, **options).select("shuffle", "source", "copies").where("copies > 0").dropDuplicates()
+    place, copies, copy = (free_name(docs, c) for c in ("plan_place", "plan_copies", "plan_copy"))
+    p = plan.select(F.col("shuffle").alias(place), F.col("source").alias("plan_source"), F.col("copies").alias(copies)).alias("p")
+    rows = docs.withColumn(place, shuffled()).alias("d")
+    same = (F.col(f"d.{place}") == F.col(f"p.{place}")) & F.col("d.source").cast("string").eqNullSafe(F.col("p.plan_source"))
+    taken = rows.join(p, same).select("d.*", F.col(f"p.{copies}").alias(copies))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,6 +11,7 @@ empty table gives no rows; repeated ids are judged row by row; other columns are
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from peakforge.llm.common import written
 
 GAMMA = 1.02
+UNIT = 1000
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: metric -> (numerator, denominator); a document is judged by its upper fences, and by both for word length.
@@ -129,12 +131,25 @@ def quantiles(sketch: DataFrame, group: list[str], qs: dict[str, float]) -> Data
     return ranked.groupBy(*group, "metric").agg(F.first("total").alias("n"), *(bucket_value(v).alias(k) for k, v in out.items()))
 
 
+def blend(sketch: DataFrame, wide: DataFrame, shared: list[str], group: list[str], prior: int) -> DataFrame:
+    """The sketch of each ``group`` with that of the wider group around it (columns ``shared``), scaled to ``prior`` documents.
+
+    Counts are in units of 1 / ``UNIT`` documents, whole numbers, so that sums don't depend on their order.
+    """
+    size = wide.groupBy(*shared, "metric").agg(F.sum("n").alias("all_n"))
+    same = lambda x, y: functools.reduce(lambda a, b: a & b, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in [*shared, "metric"]])
+    scaled = wide.alias("w").join(size.alias("s"), same("w", "s")).select("w.*", F.round(F.col("n") * prior * UNIT / F.col("all_n")).cast("long").alias("part"))
+    groups = sketch.select(*group, "metric").distinct()
+    around = groups.alias("g").join(scaled.alias("w"), same("g", "w")).select(*(f"g.{c}" for c in group), "g.metric", "w.bucket", F.col("w.part").alias("n"))
+    return merge(sketch.withColumn("n", F.col("n") * UNIT).select(*around.columns).union(around), group)
+
+
 def adaptive_filter(
     docs: DataFrame,
     *,
     min_words: int = 10,
     max_repeat_percent: int = 20,
-    min_group: int = 200,
+    prior: int = 200,
     fence: float = 4.0,
     slack: float = 0.02,
     word_slack: float = 1.0,
@@ -142,32 +157,20 @@ def adaptive_filter(
     """Counts, base_failed and kept for every document.
 
     A document is kept if it passes the base rules and every metric lies within the fences of its (lang, source):
-    quartile + ``fence`` * interquartile range + slack. A group with fewer than ``min_group`` documents that
-    pass the base rules takes the merged sketch of its language, and that of all documents if that is too small too.
+    quartile + ``fence`` * interquartile range + slack. The quartiles are those of the group's sketch blended with that of
+    its language, which counts as ``prior`` documents; a language's sketch is blended with that of all documents alike. So a
+    small group leans on its language, a large one on itself, and no size switches from one to the other.
     """
     counts = written(with_counts(docs), "quality-counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = counts.withColumn("base_failed", failed)
     values = {k: F.col(a) / F.greatest(F.col(b), F.lit(1)) for k, (a, b) in METRICS.items()}
     fine = written(sketches(rows.where(~F.col("base_failed")), ["lang", "source"], values), "quality-sketch")
-    qs = {"q1": 0.25, "q3": 0.75}
-    every = quantiles(merge(fine, []), [], qs)
-    by_lang = quantiles(merge(fine, ["lang"]), ["lang"], qs)
-    own = quantiles(fine, ["lang", "source"], qs)
+    by_lang = written(blend(merge(fine, ["lang"]), merge(fine, []), [], ["lang"], prior), "quality-sketch-lang")
+    own = quantiles(blend(fine, by_lang, ["lang"], ["lang", "source"], prior), ["lang", "source"], {"q1": 0.25, "q3": 0.75})
     pad = F.when(F.col("metric") == "word_length", F.lit(word_slack)).otherwise(F.lit(slack))
     reach = fence * (F.col("q3") - F.col("q1")) + pad
-
-    def fences(q: DataFrame, name: str) -> DataFrame:
-        return q.select(*(c for c in q.columns if c in ("lang", "source")), "metric", F.struct("n", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")).alias(name))
-
-    a, b = fences(own, "own").alias("a"), fences(by_lang, "wide").alias("b")
-    enough = lambda c: F.col(f"{c}.n") >= min_group
-    chosen = (
-        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric")))
-        .select("a.lang", "a.source", "a.metric", "own", "wide")
-        .join(fences(every, "all_docs"), "metric")
-        .select("lang", "source", "metric", F.when(enough("own"), F.col("own")).when(enough("wide"), F.col("wide")).otherwise(F.col("all_docs")).alias("f"))
-    )
+    chosen = own.select("lang", "source", "metric", F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")).alias("f"))
     table = written(
         chosen.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "f"))).alias("fences")),  # as many entries as there are metrics
         "quality-fences",

@@ -64,7 +64,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH r AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle,
+  SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', md5(coalesce(text, '')))) AS shuffle,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 p AS (
@@ -90,10 +90,10 @@ q AS (
 e AS (SELECT *, (given + pass * source_size) / weight AS finish FROM q, (VALUES (0), (1)) AS x(pass) WHERE size > 0),
 c AS (
   SELECT *, sum(size) OVER (ORDER BY finish, place, pass, shuffle, doc_id NULLS FIRST, size) AS used FROM e),
-k AS (SELECT source, doc_id, size, pass FROM c WHERE used <= budget GROUP BY ALL),
-n AS (SELECT source, doc_id, size, count(*) AS copies FROM k GROUP BY ALL)
+k AS (SELECT source, shuffle, pass FROM c WHERE used <= budget GROUP BY ALL),
+n AS (SELECT source, shuffle, count(*) AS copies FROM k GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.copies, 0) AS BIGINT) AS taken
-FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.size = n.size
+FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.shuffle = n.shuffle
 """
 
 

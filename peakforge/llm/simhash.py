@@ -18,7 +18,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,9 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from peakforge.llm.common import written
+from peakforge.llm.common import free_name, order_key, written
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -212,38 +211,51 @@ def links(nodes: DataFrame, *, max_bits: int = 4, subtrie: int = 2048, max_subtr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(root), pa.array(p.view(np.int64))], ["t", "root", "p"])
 
     keyed = nodes.select("fp").mapInArrow(key, "t int, root long, p long")
+
+    def solve(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for t, y in x.groupby("t", sort=False):
+            a, b = subtrie_links(y["p"].to_numpy().view(np.uint64), sizes[t], max_bits, y["subtrie"].to_numpy())
+            fps, back = y["p"].to_numpy().view(np.uint64), np.argsort(orders[t])
+            yield pd.DataFrame({"a": permuted(fps[a], back).view(np.int64), "b": permuted(fps[b], back).view(np.int64)})
+
+    return in_subtries(keyed, solve, "a long, b long", max_subtrie)
+
+
+def in_subtries(keyed: DataFrame, solve: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str, max_subtrie: int) -> DataFrame:
+    """What ``solve`` returns for runs of whole subtries of ``keyed`` (t, root, p and further columns).
+
+    ``solve`` gets sorted rows with a further column, subtrie, that numbers their subtries. A subtrie of more than
+    ``max_subtrie`` rows is dealt out as pairs of parts, each a subtrie of its own.
+    """
     large = written(keyed.groupBy("t", "root").count().where(F.col("count") > max_subtrie), "trie-large").alias("l")
     parts = F.ceil(F.col("count") / (max_subtrie // 2)).cast("int")
     mine = F.pmod(F.xxhash64("p"), parts).cast("int")
     others = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    dealt = keyed.join(large, ["t", "root"], "left").select("t", "root", "p", F.explode(F.when(F.col("count").isNull(), alone).otherwise(others)).alias("part"))
-    run = dealt.select("t", "root", "part.i", "part.j", "p").repartition("t", "root", "i", "j").sortWithinPartitions("t", "root", "i", "j", F.col("p") < 0, "p")
+    columns, place = keyed.columns, ["t", "root", "i", "j"]
+    dealt = keyed.join(large, ["t", "root"], "left").select(*columns, F.explode(F.when(F.col("count").isNull(), alone).otherwise(others)).alias("part"))
+    run = dealt.select(*columns, "part.i", "part.j").repartition(*place).sortWithinPartitions(*place, F.col("p") < 0, "p")
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for t, y in x.groupby("t", sort=False):
-                fps = y["p"].to_numpy().view(np.uint64)
-                change = np.ones(len(y), bool)
-                change[1:] = (y[["root", "i", "j"]].to_numpy()[1:] != y[["root", "i", "j"]].to_numpy()[:-1]).any(1)
-                a, b = subtrie_links(fps, sizes[t], max_bits, np.cumsum(change))
-                back = np.argsort(orders[t])
-                yield pd.DataFrame({"a": permuted(fps[a], back).view(np.int64), "b": permuted(fps[b], back).view(np.int64)})
+    def numbered(x: pd.DataFrame) -> pd.DataFrame:
+        keys = x[place].to_numpy()
+        change = np.zeros(len(x), np.int64)
+        change[1:] = (keys[1:] != keys[:-1]).any(1)
+        return x.assign(subtrie=np.cumsum(change))
 
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
             held.append(pdf)
             if sum(map(len, held)) >= 100_000:  # whole subtries so far are solved, the last one may go on
-                x = pd.concat(held, ignore_index=True)
-                keys = x[["t", "root", "i", "j"]].to_numpy()
-                last = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+                x = numbered(pd.concat(held, ignore_index=True))
+                last = int(np.searchsorted(x["subtrie"].to_numpy(), x["subtrie"].iloc[-1]))
                 if last:
                     yield from solve(x.iloc[:last])
-                held = [x.iloc[last:]]
+                held = [x.iloc[last:].drop(columns="subtrie")]
         if held:
-            yield from solve(pd.concat(held, ignore_index=True))
+            yield from solve(numbered(pd.concat(held, ignore_index=True)))
 
-    return run.mapInPandas(join, "a long, b long")
+    return run.mapInPandas(join, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,12 +310,12 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, max_bits: int = 4)
     The document with the smallest id stays (a null id comes last); of rows with that id and fingerprint, the one
     whose other columns are smallest. The rows are shuffled once, by id and fingerprint, which no group makes hot.
     """
-    columns = docs.columns
-    tagged = written(fingerprints(docs, width=width, name="simhash_fp"), "simhash-tagged")
-    found = clusters(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("simhash_fp").alias("fp")), max_bits=max_bits)
+    columns, fp, rank = docs.columns, free_name(docs, "simhash_fp"), free_name(docs, "simhash_rank")
+    tagged = written(fingerprints(docs, width=width, name=fp), "simhash-tagged")
+    found = clusters(tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), max_bits=max_bits)
     first = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "fp")).alias("k")
     keep = found.groupBy("root").agg(first).select(F.col("k.first_id").alias("keep_id"), F.col("k.fp").alias("keep_fp"))
-    kept = tagged.join(keep, (F.col("simhash_fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    rest = [f.name for f in docs.schema if f.name != "doc_id" and isinstance(f.dataType, T.AtomicType)]
-    w = W.partitionBy("simhash_fp", "doc_id").orderBy(*rest)
-    return kept.withColumn("simhash_rank", F.row_number().over(w)).where("simhash_rank = 1").select(*columns)
+    k = keep.alias("k")
+    kept = tagged.alias("d").join(k, (F.col(f"d.{fp}") == F.col("k.keep_fp")) & F.col("d.doc_id").eqNullSafe(F.col("k.keep_id")), "left_semi")
+    w = W.partitionBy(fp, "doc_id").orderBy(*(order_key(f) for f in docs.schema if f.name != "doc_id"))
+    return kept.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).select(*columns)

@@ -260,7 +260,8 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, *, tokenizer: str
         yield pa.RecordBatch.from_pylist(done, MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal and null ids are dealt out by a hash of the text, so they need not lie in one task
+    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return written(ranged.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "wavelet-manifest")
 
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakforge.llm.common import crc_mod, written
@@ -315,17 +316,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(w.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2000, other_rows: int = 4000, **options) -> Net:
-    """A network fitted on a bounded sample of labelled documents: about so many rows of either label."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, other_rows: int, max_chars: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, toxic) of at most so many labelled documents of either label, and how many labels there are of each.
+
+    Rows are chosen by a hash; ids that repeat in ``docs`` or ``labels`` count row by row against the bound. A label holds for
+    a whole text, so texts of more than ``max_chars`` code points are left out of the sample, not cut.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).dropDuplicates()
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.when(F.col("toxic") == 1, unit < toxic_rows / max(1, total.get(1, 0))).otherwise(unit < other_rows / max(1, total.get(0, 0)))
-    chosen = written(rows.where(keep), "toxic-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
-    got = got.sort_values(["doc_id", "toxic", "text"])
+    bound = F.when(F.col("toxic") == 1, toxic_rows).otherwise(other_rows)
+    pick = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    share = F.when(F.col("toxic") == 1, 2 * toxic_rows / max(1, total.get(1, 0))).otherwise(2 * other_rows / max(1, total.get(0, 0)))
+    chosen = written(rows.withColumn("pick", pick).where(F.col("pick") < share * (1 << 30)), "toxic-sample")  # small, and known to be
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    order = W.partitionBy("toxic").orderBy("pick", "doc_id", "text")
+    got = texts.join(chosen, "doc_id").withColumn("place", F.row_number().over(order))
+    most = max(toxic_rows, other_rows)
+    return got.where(F.col("place") <= most).where(F.col("place") <= bound).select("doc_id", "text", "toxic"), total
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2000, other_rows: int = 4000, max_chars: int = 40_000, **options) -> Net:
+    """A network fitted on a sample of at most so many labelled documents of at most ``max_chars`` code points."""
+    got, total = sample(docs, labels, toxic_rows, other_rows, max_chars)
+    got = got.toPandas().sort_values(["doc_id", "toxic", "text"])
     held = (got["doc_id"].astype(str).map(lambda s: zlib.crc32(s.encode())) % 4 == 3).tolist()
     net = train(got["text"].tolist(), got["toxic"].tolist(), held, **options)
     return to_share(net, total.get(1, 0) / max(1, sum(total.values())))

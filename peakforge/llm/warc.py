@@ -279,4 +279,23 @@ def read_warc(manifest: DataFrame, *, with_payload: bool = False, batch_bytes: i
                 yield pa.RecordBatch.from_pylist(held, RECORD_SCHEMA)
 
     paths = manifest.select("path")
-    return paths.repartition(max(1, paths.count())).mapInArrow(read, RECORD)
+    found = paths.repartition(max(1, paths.count())).mapInArrow(read, RECORD)
+    return checked_revisits(found) if not with_payload else found
+
+
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """``records`` with digest and length of each revisit held against the response that it names; a difference fails the job.
+
+    Each response that is named is looked up once: its number of revisits doesn't matter to the join.
+    """
+    records = written(records, "warc-records")
+    named = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    known = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    right = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n"))
+    bad = named.join(known, "refers_to", "left").groupBy("refers_to", "payload_digest", "payload_bytes").agg(F.max(F.coalesce(right, F.lit(False))).alias("right"))
+    wrong = bad.where(~F.col("right")).first()
+    if wrong is not None:
+        raise WarcError(f"a revisit of record {wrong['refers_to']} differs from it in digest or length")
+    return records
+
+

@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from peakforge.llm import jaccard
 
@@ -49,11 +52,45 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string")
     got = pipeline.near_dedup(spark, docs, "")
     assert got.columns == docs.columns
-    assert sorted(r["doc_id"] for r in got.collect()) == brute(rows)
+    kept, want = sorted(r["doc_id"] for r in got.collect()), brute(rows)
+    assert set(want) <= set(kept)  # no link that is not there
+    assert len(kept) - len(want) <= 0.02 * (len(rows) - len(want))  # and hardly one missed
     assert pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
 def test_near_dedup_of_the_sample_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"] and r["text"].encode().lower().decode()) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(docs).collect()) == brute(rows)
+    kept, want = {r["doc_id"] for r in jaccard.drop_near_copies(docs).collect()}, set(brute(rows))
+    assert want <= kept and len(kept - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_recall_by_similarity():
+    """Pairs of sets of known similarity among noise: the share that some subtrie links, by band of similarity."""
+    rng, n = np.random.default_rng(5), 20_000
+    above, budget, choices = jaccard.tables_for(n, 0.8)
+    assert above >= 8
+    for similarity, least in ((0.8, 0.95), (0.85, 0.98), (0.9, 0.99)):
+        hit, pairs = 0, 400
+        for _ in range(pairs):
+            size = int(rng.integers(40, 400))
+            shared = round(2 * similarity * size / (1 + similarity))
+            words = rng.integers(0, 2**64, 2 * size - shared, np.uint64)
+            prints = np.array([jaccard.wide_print(words[:size]), jaccard.wide_print(words[size - shared :])])
+            bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(2, -1), axis=1)
+            apart = bits[0] != bits[1]
+            hit += any(not apart[c[:above]].any() and apart[c].sum() <= budget for c in choices)
+        assert hit >= least * pairs, (similarity, hit / pairs)
+
+
+def test_hot_subtries_are_dealt_in_parts(spark):
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base, f"x{rng.randrange(10**6)}"])) for k in range(300)] + [(1000 + k, f"only {k} of these words here") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("near_node", F.lit("clash"))
+    assert jaccard.drop_near_copies(docs).columns == ["doc_id", "text", "near_node"]
+    tagged = jaccard.sketched(docs.select("text"), 5, ["node", "p0", "p1"])
+    nodes = tagged.select("node", "p0", "p1").distinct()
+    parts = jaccard.buckets(nodes, 0.8, max_subtrie=40)
+    member = jaccard.components(parts.select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    assert max(r["count"] for r in member.groupBy("root").count().collect()) >= 290

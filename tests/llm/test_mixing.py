@@ -19,6 +19,11 @@ def fill(sizes, weights, budget, passes=2):
     return [min(w * low, c) for w, c in zip(weights, caps, strict=True)]
 
 
+def place(d, t):
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    return md5(f"{'' if d is None else d} {md5(t or '')}")
+
+
 def brute(rows, weights=(3, 1, 2), share=1.5, passes=2):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
@@ -27,7 +32,7 @@ def brute(rows, weights=(3, 1, 2), share=1.5, passes=2):
     budget = min(share, passes) * sum(totals.values())
     line = []
     for k, n in enumerate(names):
-        own = sorted((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d is not None, d or 0, size(t)) for d, t, s in rows if s == n)
+        own = sorted((place(d, t), d is not None, d or 0, size(t)) for d, t, s in rows if s == n)
         for x in set(own):
             given = sum(y[3] for y in own if y <= x)
             for e in range(passes):
@@ -42,7 +47,7 @@ def brute(rows, weights=(3, 1, 2), share=1.5, passes=2):
     targets = dict(zip(names, fill([totals[n] for n in names], [w[n] for n in names], budget, passes), strict=True))
     out = []
     for d, t, s in rows:
-        x = (hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d is not None, d or 0, size(t))
+        x = (place(d, t), d is not None, d or 0, size(t))
         out.append((d, size(t), totals[s], round(targets[s], 3), copies.get((s, x), 0) * size(t)))
     return sorted(out, key=repr)
 
