@@ -12,19 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from peakforge.llm.common import written
 from peakforge.llm.decontaminate import drop_contaminated
 from peakforge.llm.jaccard import drop_near_copies
-from peakforge.llm.langid import fit, predict
+from peakforge.llm.langid import confident, fit
 from peakforge.llm.mixing import mix
 from peakforge.llm.tokens import read_shards, write_shards
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is told with enough confidence."""
-    found = predict(docs, fit(docs), prefix="lid_")
-    return found.where("NOT lid_rejected").select(*docs.columns)
+    return confident(docs, fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: a trie self-join of SimHashes finds pairs, linked at a five-word Jaccard similarity of 0.8 or more."""
     return drop_near_copies(docs)
 
 
