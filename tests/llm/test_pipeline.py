@@ -9,8 +9,8 @@ import pytest
 
 import corpus_pipeline as pipeline
 from peakforge.llm.common import written
+from tests.llm.test_jaccard import brute as brute_near
 from tests.llm.test_mixing import brute as brute_mix
-from tests.llm.test_simhash import brute_components
 
 
 @pytest.fixture(scope="module")
@@ -36,15 +36,11 @@ def test_language_keeps_clean_documents(stages):
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
-    from peakforge.llm.simhash import fingerprint
-
+    """Groups are those that exact five-word Jaccard similarities of 0.8 or more connect, found by comparing all pairs."""
     before, after = stages[1]
-    before = before.sort_values("doc_id").reset_index(drop=True)
-    comp = brute_components([fingerprint(t, 5) for t in before["text"]])
-    first = {}
-    for c, d in zip(comp, before["doc_id"], strict=True):
-        first[c] = min(d, first.get(c, d))
-    assert sorted(after["doc_id"]) == sorted(first.values())
+    rows = [(d, (t or "").encode().lower().decode()) for d, t in zip(before["doc_id"].tolist(), before["text"], strict=True)]
+    want, kept = set(brute_near(rows)), set(after["doc_id"])
+    assert len(rows) > len(want) and want <= kept and len(kept - want) <= 0.02 * (len(rows) - len(want))
 
 
 def test_decontamination(stages, spark, sf_dir):
