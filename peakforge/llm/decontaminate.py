@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -385,6 +386,16 @@ def blocks(benchmark: DataFrame, *, q: int, rate: float, min_chars: int, block_c
         yield index
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 100, size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of at most so many rows with texts of about ``size`` bytes; a longer text stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = int(np.searchsorted(np.cumsum(lengths[at : at + rows]), size)) or 1
+        yield batch.slice(at, n)
+        at += n
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, q: int = 9, rate: float = 0.09, min_chars: int = 30, block_chars: int = 2_000_000
 ) -> DataFrame:
@@ -401,8 +412,7 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k in range(0, b.num_rows, 100):
-                    part = b.slice(k, 100)
+                for part in pieces(b):
                     ids = part.column("doc_id").to_pylist()
                     found = [(ids[t], *rest) for t, *rest in search(part.column("text").to_pylist(), shared.value)]
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in found], schema)
@@ -438,8 +448,7 @@ def drop_contaminated(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k in range(0, b.num_rows, 100):
-                    part = b.slice(k, 100)
+                for part in pieces(b):
                     clean = np.ones(part.num_rows, bool)
                     clean[[t for t, *_ in search(part.column("text").to_pylist(), shared.value)]] = False
                     yield part.filter(pa.array(clean))

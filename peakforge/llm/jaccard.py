@@ -2,7 +2,7 @@
 
 Texts with the same set of word shingles are one node. A node's fingerprint is a SimHash of ``BITS`` bits of that set. The
 trie self-join runs over ``tables_for`` choices of 64 of these bits: the first bits of a choice, about as many as halve the nodes down to 32,
-lead to a subtrie, in which pairs of nodes are traversed together within a budget of differing bits. Sets of
+lead to a subtrie, in which pairs of nodes are traversed together within a budget of differing bits; leaves that meet are held against a budget of all bits. Sets of
 Jaccard similarity s differ in each bit with a chance of acos(2s / (1 + s)) / pi, so the number of choices follows
 from ``MISS``, the share of pairs at the wanted similarity that no choice may find; pairs above it are missed less. What
 a subtrie links is only a candidate: it is compared on the whole sets of shingles, and only pairs that reach the similarity
@@ -60,8 +60,8 @@ def wide_print(found: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def tables_for(n: int, similarity: float) -> tuple[int, int, list[np.ndarray]]:
-    """(bits above a subtrie, budget below it, the 64 bits of each choice) for ``n`` nodes."""
+def tables_for(n: int, similarity: float) -> tuple[int, int, int, list[np.ndarray]]:
+    """(bits above a subtrie, budget below it, budget of all bits, the bits of each choice: 64 of the trie and the rest) for ``n`` nodes."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     above = min(40, max(0, math.ceil(math.log2(max(n, 1))) - 5))
     below = 64 - above
@@ -69,7 +69,8 @@ def tables_for(n: int, similarity: float) -> tuple[int, int, list[np.ndarray]]:
     hit = (1 - differ) ** above * 0.97  # of the pairs whose leading bits agree 3 in 100 exceed the budget
     count = max(4, math.ceil(math.log(MISS) / math.log(1 - hit)))
     rng = np.random.default_rng(42)
-    return above, budget, [rng.permutation(BITS)[:64] for _ in range(count)]
+    most = round(BITS * differ + 3.5 * math.sqrt(BITS * differ * (1 - differ)))
+    return above, budget, most, [rng.permutation(BITS) for _ in range(count)]
 
 
 def sketched(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
@@ -89,21 +90,22 @@ def sketched(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
 
 def buckets(nodes: DataFrame, similarity: float, max_subtrie: int = 200_000) -> DataFrame:
     """(key, node, lead): the nodes that a subtrie links, each set of them once; lead is the smallest of them."""
-    above, budget, choices = tables_for(nodes.count(), similarity)
+    above, budget, most, choices = tables_for(nodes.count(), similarity)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, b.num_columns)])
             bits = np.unpackbits(np.ascontiguousarray(prints.astype(">i8")).view(np.uint8).reshape(len(prints), -1), axis=1)
             for t, chosen in enumerate(choices):
-                p = np.packbits(np.take(bits, chosen, axis=1), axis=1).view(">u8").ravel().astype(np.uint64)
+                p, rest = np.packbits(np.take(bits, chosen, axis=1), axis=1).view(">u8").astype(np.uint64).T.copy()
                 root = (p >> np.uint64(64 - above)).astype(np.int64) if above else np.zeros(len(p), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(root), pa.array(p.view(np.int64)), b.column(0)], ["t", "root", "p", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(root), pa.array(p.view(np.int64)), pa.array(rest.view(np.int64)), b.column(0)], ["t", "root", "p", "rest", "node"])
 
     def solve(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         change = (x[["t", "subtrie"]].to_numpy()[1:] != x[["t", "subtrie"]].to_numpy()[:-1]).any(1)
         group = np.cumsum(np.append(0, change))
-        a, b = subtrie_links(x["p"].to_numpy().view(np.uint64), above, budget, group)
+        p, rest = (x[c].to_numpy().view(np.uint64) for c in ("p", "rest"))
+        a, b = subtrie_links(p, above, budget, group, more=rest, most=most)
         node = x["node"].to_numpy()
         at = np.concatenate([np.unique(a), b])
         of = np.concatenate([np.unique(a), a])  # every member with its component
@@ -112,7 +114,7 @@ def buckets(nodes: DataFrame, similarity: float, max_subtrie: int = 200_000) ->
         np.add.at(key_, of, mixed(node[at].view(np.uint64)))
         yield pd.DataFrame({"key": key_[of].view(np.int64), "node": node[at], "lead": lead[of]})
 
-    keyed = nodes.mapInArrow(key, "t int, root long, p long, node long")
+    keyed = nodes.mapInArrow(key, "t int, root long, p long, rest long, node long")
     return in_subtries(keyed, solve, "key long, node long, lead long", max_subtrie).distinct()
 
 

@@ -123,15 +123,24 @@ class Forest:
         return ends[np.searchsorted(ends, np.arange(n), side="right")]
 
 
-def subtrie_links(fps: np.ndarray, depth: int, budget: int, group: np.ndarray, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def subtrie_links(
+    fps: np.ndarray, depth: int, budget: int, group: np.ndarray, chunk: int = 1 << 16, more: np.ndarray | None = None, most: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (positions a, b) among the sorted distinct fingerprints of some subtries with roots at ``depth``.
 
     ``group`` numbers the subtrie of each position, in order. A node is a range [lo, hi) of positions that agree
-    above its level; a pair of nodes at one level carries the bits that differ above it.
+    above its level; a pair of nodes at one level carries the bits that differ above it. ``more`` has further bits of each
+    fingerprint: leaves that are compared may then differ in ``most`` bits in all.
     """
     n = len(fps)
     forest = Forest(n)
-    near = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(fps[1:] ^ fps[:-1]) <= budget))
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(fps[a] ^ fps[b])
+        return differ <= budget if more is None else (differ <= budget) & (differ + np.bitwise_count(more[a] ^ more[b]) <= most)
+
+    every = np.arange(n)
+    near = np.flatnonzero((group[1:] == group[:-1]) & close(every[1:], every[:-1]))
     forest.merge(near, near + 1)
     lo = np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1)
     hi = np.append(lo[1:], n)
@@ -154,7 +163,7 @@ def subtrie_links(fps: np.ndarray, depth: int, budget: int, group: np.ndarray, c
             which = np.repeat(np.arange(len(size)), size)
             k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             a, b = a0[which] + k // nb[which], b0[which] + k % nb[which]
-            linked = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= budget)
+            linked = (a < b) & close(a, b)
             forest.merge(a[linked], b[linked])
             ul, uh, vl, vh, bits = ul[~small], uh[~small], vl[~small], vh[~small], bits[~small]
         if not len(ul):

@@ -68,7 +68,7 @@ def test_near_dedup_of_the_sample_tables(spark, sf_dir):
 def test_recall_by_similarity():
     """Pairs of sets of known similarity among noise: the share that some subtrie links, by band of similarity."""
     rng, n = np.random.default_rng(5), 20_000
-    above, budget, choices = jaccard.tables_for(n, 0.8)
+    above, budget, most, choices = jaccard.tables_for(n, 0.8)
     assert above >= 8
     for similarity, least in ((0.8, 0.95), (0.85, 0.98), (0.9, 0.99)):
         hit, pairs = 0, 400
@@ -79,7 +79,7 @@ def test_recall_by_similarity():
             prints = np.array([jaccard.wide_print(words[:size]), jaccard.wide_print(words[size - shared :])])
             bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(2, -1), axis=1)
             apart = bits[0] != bits[1]
-            hit += any(not apart[c[:above]].any() and apart[c].sum() <= budget for c in choices)
+            hit += any(not apart[c[:above]].any() and apart[c[:64]].sum() <= budget and apart.sum() <= most for c in choices)
         assert hit >= least * pairs, (similarity, hit / pairs)
 
 
