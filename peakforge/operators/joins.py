@@ -7,35 +7,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, targets: DataFrame, *, low: Column, high: Column, width: float, how: str = "inner", point: str = "mz") -> DataFrame:
+def range_join(
+    points: DataFrame, targets: DataFrame, *, low: Column, high: Column, width: float | None = None, ppm: float | None = None, how: str = "inner", point: str = "mz",
+    on: tuple[str, ...] = (), salts: int = 1,
+) -> DataFrame:
     """Rows of ``points`` whose ``point`` lies in [low, high] of a row of ``targets``, both ends included.
 
-    ``low`` and ``high`` are columns of ``targets``; only that side is exploded to buckets of ``width``, so each
-    pair meets once, by an equi join that Catalyst may broadcast, shuffle or split.
+    ``low`` and ``high`` are columns of ``targets``; only that side is exploded to the buckets that its window touches, so each
+    pair meets once, by an equi join that Catalyst may broadcast, shuffle or split. Buckets are as wide as the window: ``width`` units,
+    or for windows of ``ppm`` on each side steps of 2 * ppm on a logarithmic scale. ``on`` names columns of both sides that have to
+    be equal; they are part of the key. With ``salts`` the points of a bucket are dealt to so many keys and each target stands in
+    all of them: for libraries too large to broadcast against points that crowd in few buckets.
     """
-    bucket = lambda c: F.floor(c / width)
+    if ppm is not None:
+        bucket = lambda c: F.floor(F.ln(F.greatest(c, F.lit(1e-9))) / (2 * ppm * 1e-6))
+    else:
+        bucket = lambda c: F.floor(c / width)
+    keys = ["_bucket", *on]
     t = targets.withColumns({"_low": low, "_high": high}).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
-    p = points.withColumn("_bucket", bucket(F.col(point)))
-    p = p.withColumnRenamed(point, "_point")
+    p = points.withColumn("_bucket", bucket(F.col(point))).withColumnRenamed(point, "_point")
+    if salts > 1:
+        keys.append("_salt")
+        p = p.withColumn("_salt", F.pmod(F.xxhash64(*p.columns), F.lit(salts)))
+        t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     exact = F.col("_point").between(F.col("_low"), F.col("_high"))
     if how == "left_semi":
-        joined = p.join(t.select("_bucket", "_low", "_high"), (p["_bucket"] == t["_bucket"]) & exact, "left_semi")
-        return joined.withColumnRenamed("_point", point).drop("_bucket")
-    return p.join(t, "_bucket").where(exact).drop("_bucket", "_low", "_high").withColumnRenamed("_point", f"peak_{point}" if point in targets.columns else point)
+        t = t.select(*keys, "_low", "_high")
+        joined = p.join(t, [p[k] == t[k] for k in keys] + [exact], "left_semi")
+        return joined.withColumnRenamed("_point", point).drop("_bucket", "_salt")
+    return p.join(t, keys).where(exact).drop("_bucket", "_salt", "_low", "_high").withColumnRenamed("_point", f"peak_{point}" if point in targets.columns else point)
 
 
 def candidates(peaks: DataFrame, isotopes: DataFrame, window: float = 0.5) -> DataFrame:
     """Each target with the peaks within ``window`` of its m/z: (sid, isotope_id, ion_id, target_mz, peak...)."""
     t = isotopes.select("isotope_id", "ion_id", F.col("mz").alias("target_mz"))
-    return range_join(peaks, t, low=F.col("target_mz") - window, high=F.col("target_mz") + window, width=max(1.0, 2 * window))
+    return range_join(peaks, t, low=F.col("target_mz") - window, high=F.col("target_mz") + window, width=2 * window)
 
 
 def nearest_peak(peaks: DataFrame, isotopes: DataFrame, *, key: str, target: str, window: float) -> DataFrame:
-    """The nearest peak to each target in each sample; ties go to the lower m/z."""
-    c = candidates(peaks.select(key, "peak_id", "mz", "intensity", "snr"), isotopes, window)
+    """The nearest peak to each target in each sample; ties go to the lower m/z.
+
+    Candidates are dealt out by sample and ion, which all that follows for an ion can use: its isotopes, their statistics and roll-up.
+    """
+    c = candidates(peaks.select(key, "peak_id", "mz", "intensity", "snr"), isotopes, window).repartition(key, "ion_id")
     order = F.struct(F.abs(F.col("mz") - F.col("target_mz")), "mz", "peak_id")
-    best = c.groupBy(key, target).agg(F.min_by(F.struct("ion_id", "target_mz", "peak_id", "mz", "intensity", "snr"), order).alias("b"))
-    return best.select(key, target, "b.*")
+    best = c.groupBy(key, "ion_id", target).agg(F.min_by(F.struct("target_mz", "peak_id", "mz", "intensity", "snr"), order).alias("b"))
+    return best.select(key, target, "ion_id", "b.*")
 
 
 def ppm_window(target: Column, ppm: float) -> tuple[Column, Column]:

@@ -16,12 +16,13 @@ MASS_SNR_K, FALLBACK_SIGMA, K_DETECT, MISS_PENALTY, REL_DETECT = 2.36, 2.0, 3.0,
 def with_expected(nearest: DataFrame, isotopes: DataFrame) -> DataFrame:
     """All isotopes of every (sample, ion) that has a match, those without a peak with intensity 0."""
     t = isotopes.withColumnRenamed("mz", "target_mz").drop("compound_name", "formula")
-    keys = nearest.select("sid", "ion_id").distinct()
-    peak = nearest.select("sid", "isotope_id", "peak_id", F.col("mz").alias("peak_mz"), "intensity", "snr")
-    rows = keys.join(t, "ion_id").join(peak, ["sid", "isotope_id"], "left")
-    return rows.withColumns(
-        {"found": F.col("peak_id").isNotNull(), "peak_mz": F.coalesce("peak_mz", "target_mz"), "intensity": F.coalesce("intensity", F.lit(0.0))}
-    )
+    one = F.struct("isotope_id", F.struct("peak_id", F.col("mz").alias("peak_mz"), "intensity", "snr").alias("p"))
+    seen = nearest.groupBy("sid", "ion_id").agg(F.map_from_entries(F.collect_list(one)).alias("seen"))  # as many entries as the ion has isotopes
+    rows = seen.join(t, "ion_id").withColumn("p", F.element_at("seen", F.col("isotope_id")))
+    return rows.select(
+        "sid", *(c for c in t.columns), "p.peak_id", F.coalesce("p.peak_mz", "target_mz").alias("peak_mz"), F.coalesce("p.intensity", F.lit(0.0)).alias("intensity"),
+        "p.snr", F.col("p.peak_id").isNotNull().alias("found"),
+    )
 
 
 def score_term(abundance_error: Column, mz_error: Column) -> Column:
@@ -81,8 +82,8 @@ def select_to_persist(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"best": F.max("score").over(ion), "rank": first}).where("score > 0 OR (best <= 0 AND rank = 1)").drop("best", "rank")
 
 
-def fit_score_v2(rows: DataFrame, sigma: Column | None = None) -> DataFrame:
-    """(sid, ion_id, fit_score): abundance-weighted geometric mean of mass and intensity likelihoods.
+def fit_terms(rows: DataFrame, sigma: Column | None = None) -> DataFrame:
+    """``rows`` with the weight and the log likelihood of each isotope, null where it does not count.
 
     An absent isotope counts as ``MISS_PENALTY`` where the base peak's signal-to-noise says that it should show.
     """
@@ -100,8 +101,20 @@ def fit_score_v2(rows: DataFrame, sigma: Column | None = None) -> DataFrame:
     likely = F.when(F.col("rank") == 1, mass).when(F.col("intensity") > 0, mass * inten).when(visible, F.lit(MISS_PENALTY))
     rows = rows.withColumn("l", F.when(F.col("base_int") > 0, F.greatest(likely, F.lit(1e-6))))
     weight = F.when(F.col("l").isNotNull() & (F.col("pr") > 0), F.col("pr"))
-    mean = F.exp(F.sum(weight * F.ln("l")) / F.sum(weight))
-    return rows.groupBy("sid", "ion_id").agg(F.coalesce(mean, F.lit(0.0)).alias("fit_score"))
+    return rows.withColumns({"fit_weight": weight, "fit_log": weight * F.ln("l")}).drop("rank", "inv", "base_int", "base_snr", "base_rel", "base_inv", "pr", "l")
+
+
+def fit_score_v2(rows: DataFrame, sigma: Column | None = None) -> DataFrame:
+    """(sid, ion_id, fit_score): abundance-weighted geometric mean of mass and intensity likelihoods."""
+    mean = F.exp(F.sum("fit_log") / F.sum("fit_weight"))
+    return fit_terms(rows, sigma).groupBy("sid", "ion_id").agg(F.coalesce(mean, F.lit(0.0)).alias("fit_score"))
+
+
+def with_fit(rows: DataFrame, sigma: Column | None = None) -> DataFrame:
+    """``rows`` with their ion's fit_score, by windows on the partitioning that the statistics of the ion have already."""
+    ion = W.partitionBy("sid", "ion_id")
+    mean = F.exp(F.sum("fit_log").over(ion) / F.sum("fit_weight").over(ion))
+    return fit_terms(rows, sigma).withColumn("fit_score", F.coalesce(mean, F.lit(0.0))).drop("fit_log", "fit_weight")
 
 
 def mass_accuracy(rows: DataFrame, *, min_anchors: int = 8) -> DataFrame:
@@ -114,27 +127,32 @@ def mass_accuracy(rows: DataFrame, *, min_anchors: int = 8) -> DataFrame:
 
 
 def match_assign(peaks: DataFrame, isotopes: DataFrame, window: float = 0.5) -> DataFrame:
-    """Greedy one-to-one assignment inside an ion: (sid, ion_id, isotope_id, peak_id, mz).
+    """Greedy one-to-one assignment inside an ion: (sid, ion_id, isotope_id, peak_id, mz, intensity, snr).
 
     Isotopes come in order of abundance; each takes its nearest unused peak that keeps the m/z order of those
     already taken. A fold over the ion's few isotopes inside each (sample, ion) group.
     """
     from peakforge.operators.joins import candidates
 
-    c = candidates(peaks.select("sid", "peak_id", "mz"), isotopes, window).join(isotopes.select("isotope_id", "relative_abundance"), "isotope_id")
-    near = F.struct(F.abs(F.col("mz") - F.col("target_mz")).alias("d"), F.col("mz").alias("mz"), F.col("peak_id").alias("peak_id"))
+    c = candidates(peaks.select("sid", "peak_id", "mz", "intensity", "snr"), isotopes, window).join(isotopes.select("isotope_id", "relative_abundance"), "isotope_id")
+    near = F.struct(F.abs(F.col("mz") - F.col("target_mz")).alias("d"), F.col("mz").alias("mz"), F.col("peak_id").alias("peak_id"), F.col("intensity").alias("intensity"), F.col("snr").cast("double").alias("snr"))
     per = c.groupBy("sid", "ion_id", "isotope_id", "target_mz", "relative_abundance").agg(F.array_sort(F.collect_list(near)).alias("peaks"))
     one = F.struct((-F.col("relative_abundance")).alias("a"), F.col("target_mz").alias("t"), F.col("isotope_id").alias("isotope_id"), F.col("peaks").alias("peaks"))
     groups = per.groupBy("sid", "ion_id").agg(F.array_sort(F.collect_list(one)).alias("order"))
-    kind = "array<struct<isotope_id:bigint,t:double,mz:double,peak_id:string>>"
+    kind = "array<struct<isotope_id:bigint,t:double,mz:double,peak_id:string,intensity:double,snr:double>>"
 
     def step(taken: Column, iso: Column) -> Column:
         fits = F.filter(
             iso["peaks"],
             lambda p: F.forall(taken, lambda q: (q["peak_id"] != p["peak_id"]) & F.when(q["t"] < iso["t"], p["mz"] > q["mz"]).otherwise(p["mz"] < q["mz"])),
         )
-        new = F.transform(F.slice(fits, 1, 1), lambda p: F.struct(iso["isotope_id"].alias("isotope_id"), iso["t"].alias("t"), p["mz"].alias("mz"), p["peak_id"].alias("peak_id")))
+        new = F.transform(F.slice(fits, 1, 1), lambda p: F.struct(iso["isotope_id"].alias("isotope_id"), iso["t"].alias("t"), p["mz"].alias("mz"), p["peak_id"].alias("peak_id"), p["intensity"].alias("intensity"), p["snr"].alias("snr")))
         return F.concat(taken, new)
 
     done = groups.withColumn("taken", F.aggregate("order", F.array().cast(kind), step))
-    return done.select("sid", "ion_id", F.explode("taken").alias("x")).select("sid", "ion_id", "x.isotope_id", "x.peak_id", "x.mz")
+    return done.select("sid", "ion_id", F.explode("taken").alias("x")).select("sid", "ion_id", "x.isotope_id", "x.peak_id", "x.mz", "x.intensity", "x.snr")
+
+
+def match_isotopes(peaks: DataFrame, isotopes: DataFrame, window: float = 0.5) -> DataFrame:
+    """The whole matcher: candidates, one-to-one assignment, statistics, and defaults for isotopes without a peak."""
+    return match_stats(with_expected(match_assign(peaks, isotopes, window), isotopes))

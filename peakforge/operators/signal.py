@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 
 def sum_spectrum(signal: DataFrame, *, scans: bool = False) -> DataFrame:
-    """Total intensity per (sid, mz), or its mean over the sample's scans."""
+    """Total intensity per (sid, mz), or its mean over the sample's ``n`` scans beside the total."""
     total = signal.groupBy("sid", "mz").agg(F.sum("intensity").alias("intensity"))
     if not scans:
         return total
     n = signal.groupBy("sid").agg(F.countDistinct("ts").alias("n"))
-    return total.join(n, "sid").select("sid", "mz", (F.col("intensity") / F.col("n")).alias("intensity"))
+    return total.join(n, "sid").select("sid", "mz", (F.col("intensity") / F.col("n")).alias("intensity"), F.col("intensity").alias("total"), "n")
 
 
 def gap_bin(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -> DataFrame:

@@ -84,9 +84,9 @@ def _(t: Tables):
     "ions samples",
 )
 def _(t: Tables):
-    n_samples = t.samples.count()
     g = t.ions.where("intensity > 0").groupBy("ion_id").agg(F.count("*").alias("n"), F.median("intensity").alias("med"))
-    return g.where((F.col("n") >= 0.3 * n_samples) & (F.col("med") >= 3e4)).select("ion_id", "n", F.round("med", 4).alias("med"))
+    total = t.samples.agg(F.count("*").alias("total"))  # one row
+    return g.join(total, (F.col("n") >= 0.3 * F.col("total")) & (F.col("med") >= 3e4)).select("ion_id", "n", F.round("med", 4).alias("med"))
 
 
 DAILY = "d AS (SELECT sid, ion, strftime(ts, '%Y-%m-%d') AS day, sum(height) AS h FROM scans GROUP BY ALL)"
@@ -184,7 +184,7 @@ def _(t: Tables):
     from peakforge.operators.joins import range_join
 
     i = t.isotopes.where("k = 0").select("isotope_id", F.col("mz").alias("target_mz"))
-    near = range_join(t.peaks.select("mz", "intensity"), i, low=F.col("target_mz") - 0.25, high=F.col("target_mz") + 0.25, width=1.0)
+    near = range_join(t.peaks.select("mz", "intensity"), i, low=F.col("target_mz") - 0.25, high=F.col("target_mz") + 0.25, width=0.5)
     return near.groupBy("isotope_id").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 2).alias("tic"))
 
 
@@ -235,9 +235,13 @@ def _(t: Tables):
     return confidence.discrimination_auc(t.labelled).select("instrument", F.round("auc", 6).alias("auc"), "pos", "neg")
 
 
-@query("apply_calibration", "SELECT doc_id, round(1e0 / (1e0 + exp(-(5.738e0 * confidence - 3.3625e0))), 6) AS probability FROM labelled", "labelled")
+#: fixed values of the shipped calibration: slope and offset
+SLOPE, OFFSET = 5.738, -3.3625
+
+
+@query("apply_calibration", f"SELECT doc_id, round(1e0 / (1e0 + exp(-({SLOPE}e0 * confidence + {OFFSET}e0))), 6) AS probability FROM labelled", "labelled")
 def _(t: Tables):
-    return t.labelled.select("doc_id", F.round(1 / (1 + F.exp(-(5.738 * F.col("confidence") - 3.3625))), 6).alias("probability"))
+    return t.labelled.select("doc_id", F.round(confidence.sigmoid(F.col("confidence"), SLOPE, OFFSET), 6).alias("probability"))
 
 
 @query(

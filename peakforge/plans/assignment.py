@@ -72,8 +72,8 @@ def _(t: Tables):
 
 @query(
     "assign_owner_links",
-    """SELECT m.sid, m.isotope_id, o.isotope_id AS owner FROM matches m LEFT JOIN (SELECT sid, ion_id, isotope_id FROM (SELECT *, row_number() OVER (PARTITION BY sid, ion_id
-    ORDER BY relative_abundance DESC, target_mz, isotope_id) AS rn FROM matches) WHERE rn = 1) o USING (sid, ion_id) WHERE m.found""",
+    """SELECT sid, isotope_id, owner FROM (SELECT *, first_value(isotope_id) OVER (PARTITION BY sid, ion_id ORDER BY relative_abundance DESC, target_mz, isotope_id) AS owner
+    FROM matches) WHERE found""",
     "matches",
 )
 def _(t: Tables):
@@ -120,7 +120,7 @@ def _(t: Tables):
     "gated",
 )
 def _(t: Tables):
-    good = t.gated.where("collection_type = 'CALIBRANTS' AND found AND score >= 0.6")
+    good = t.gated_of("collection_type = 'CALIBRANTS'").where("found AND score >= 0.6")
     best = good.groupBy("sid", "peak_id").agg(F.min_by("isotope_id", F.struct(-F.round("score", 9), "isotope_id")).alias("isotope_id"))
     return best
 

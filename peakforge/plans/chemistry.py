@@ -44,12 +44,6 @@ def _(t: Tables):
     return formulas(t).select("formula", chem.unsaturation(F.col("counts")).cast("double").alias("dbe"))
 
 
-@query("heuristic_filter", f"WITH {COMPOUNDS} SELECT formula FROM f WHERE {H} / {C} BETWEEN 0.2e0 AND 3.1e0 AND {O} / {C} <= 1.2e0", "isotopes")
-def _(t: Tables):
-    n = F.col("counts")
-    return formulas(t).where((n["H"] / n["C"]).between(0.2, 3.1) & (n["O"] / n["C"] <= 1.2)).select("formula")
-
-
 @query("within_composition_bound", f"WITH {COMPOUNDS} SELECT formula FROM f WHERE {C} <= 12 AND 12e0 * {C} + 1.00782503223e0 * {H} + 15.99491461957e0 * {O} <= 2e2", "isotopes")
 def _(t: Tables):
     n = F.col("counts")
@@ -100,23 +94,6 @@ def _(t: Tables):
     return rows.select("formula", F.col("w.m").alias("mechanism"), "h", F.round(mass, 6).alias("mz"))
 
 
-@query(
-    "enumerate_compositions",
-    """WITH t AS (SELECT DISTINCT ion_id, mz FROM isotopes WHERE k = 0 AND mz < 2.2e2)
-    SELECT ion_id, c, o, h FROM (SELECT ion_id, mz, c, o, CAST(round((mz - 12e0 * c - 15.99491461957e0 * o) / 1.00782503223e0) AS BIGINT) AS h FROM t, range(0, 19) cc(c), range(0, 13) oo(o))
-    WHERE h BETWEEN 0 AND 2 * c + 2 AND abs(12e0 * c + 15.99491461957e0 * o + 1.00782503223e0 * h - mz) <= mz * 2e1 * 1e-6""",
-    "isotopes",
-)
-def _(t: Tables):
-    ions = t.isotopes.where("k = 0 AND mz < 2.2e2").select("ion_id", "mz").distinct()
-    rows = ions.withColumn("c", F.explode(F.sequence(F.lit(0), F.least(F.lit(18), F.floor(F.col("mz") / 12 * 1.001).cast("int")))))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(12), F.floor((F.col("mz") * 1.001 - 12 * F.col("c")) / 15.9949).cast("int"))))))
-    rest = F.col("mz") - 12.0 * F.col("c") - chem.MASSES["O"] * F.col("o")
-    rows = rows.withColumn("h", F.round(rest / chem.MASSES["H"]).cast("long")).where("h BETWEEN 0 AND 2 * c + 2")
-    off = F.abs(12.0 * F.col("c") + chem.MASSES["O"] * F.col("o") + chem.MASSES["H"] * F.col("h") - F.col("mz"))
-    return rows.where(off <= F.col("mz") * 20.0 * 1e-6).select("ion_id", F.col("c").cast("long").alias("c"), F.col("o").cast("long").alias("o"), "h")
-
-
 @query("mass_bounds", "SELECT isotope_id, round(mz - mz * 1e-5, 8) AS low, round(mz + mz * 1e-5, 8) AS high FROM isotopes", "isotopes")
 def _(t: Tables):
     half = F.col("mz") * 1e-5

@@ -111,9 +111,9 @@ def _(t: Tables):
     return t.samples.where("tic > 0").select("sid").join(t.peaks.select("sid"), "sid", "left_semi")
 
 
-@query("unevaluated_isotopes", "SELECT isotope_id FROM isotopes WHERE ion_id NOT IN (SELECT ion_id FROM gated WHERE score > 0 AND sid % 5 = 0)", "isotopes gated")
+@query("unevaluated_isotopes", "SELECT isotope_id FROM isotopes WHERE ion_id NOT IN (SELECT ion_id FROM gated WHERE score > 0)", "isotopes gated")
 def _(t: Tables):
-    done = t.gated.where("score > 0 AND sid % 5 = 0").select("ion_id")
+    done = t.gated.where("score > 0").select("ion_id")
     return t.isotopes.join(done, "ion_id", "left_anti").select("isotope_id")
 
 
@@ -187,13 +187,13 @@ def _(t: Tables):
 
 @query(
     "by_mass_window",
-    "SELECT p.peak_id, i.ion_id FROM peaks p JOIN isotopes i ON p.mz BETWEEN i.mz - i.mz * 3e-6 AND i.mz + i.mz * 3e-6 WHERE i.k = 0 AND p.snr >= 40",
+    "SELECT p.peak_id, i.ion_id FROM peaks p JOIN isotopes i ON p.mz BETWEEN i.mz - i.mz * 3e-6 AND i.mz + i.mz * 3e-6 WHERE i.k = 0",
     "peaks isotopes",
 )
 def _(t: Tables):
     i = t.isotopes.where("k = 0").select("ion_id", F.col("mz").alias("target_mz"))
     low, high = F.col("target_mz") - F.col("target_mz") * 3e-6, F.col("target_mz") + F.col("target_mz") * 3e-6
-    return joins.range_join(t.peaks.where("snr >= 40").select("peak_id", "mz"), i, low=low, high=high, width=1.0).select("peak_id", "ion_id")
+    return joins.range_join(t.peaks.select("peak_id", "mz"), i, low=low, high=high, ppm=3.0).select("peak_id", "ion_id")
 
 
 @query(
@@ -331,9 +331,10 @@ def _(t: Tables):
     return t.isotopes.groupBy("collection_id", "collection_type").agg(F.countDistinct("compound_id").alias("n"))
 
 
-@query("samples_for_ion", "SELECT DISTINCT s.sid FROM samples s JOIN nearest n USING (sid) WHERE n.ion_id % 50 = 7 AND s.instrument = 'tof'", "samples nearest")
+@query("samples_for_ion", "SELECT DISTINCT n.ion_id, n.sid FROM samples s JOIN nearest n USING (sid) WHERE s.instrument = 'tof'", "samples nearest")
 def _(t: Tables):
-    return t.samples.where("instrument = 'tof'").join(t.nearest.where("ion_id % 50 = 7").select("sid"), "sid", "left_semi").select("sid")
+    some = t.samples.where("instrument = 'tof'").select("sid")
+    return t.nearest.select("ion_id", "sid").distinct().join(some, "sid", "left_semi").select("ion_id", "sid")
 
 
 @query("affected_samples", "SELECT f.file_id, s.sid, s.batch FROM files f JOIN samples s USING (sid) WHERE f.status = 'P'", "files samples")

@@ -63,7 +63,7 @@ def _(t: Tables):
 @query("within_window_semi", "SELECT peak_id FROM peaks p WHERE EXISTS (SELECT 1 FROM isotopes i WHERE i.mz BETWEEN p.mz - 1e-2 AND p.mz + 1e-2)", "peaks isotopes")
 def _(t: Tables):
     i = t.isotopes.select(F.col("mz").alias("target_mz"))
-    hit = joins.range_join(t.peaks.select("peak_id", "mz"), i, low=F.col("target_mz") - 0.01, high=F.col("target_mz") + 0.01, width=1.0, how="left_semi")
+    hit = joins.range_join(t.peaks.select("peak_id", "mz"), i, low=F.col("target_mz") - 0.01, high=F.col("target_mz") + 0.01, width=0.02, how="left_semi")
     return hit.select("peak_id")
 
 
@@ -75,7 +75,7 @@ def _(t: Tables):
 def _(t: Tables):
     i = t.isotopes.where("collection_type = 'CALIBRANTS'").select(F.col("mz").alias("target_mz"))
     low, high = F.col("target_mz") - F.col("target_mz") * 5e-6, F.col("target_mz") + F.col("target_mz") * 5e-6
-    return joins.range_join(t.peaks.select("peak_id", "mz"), i, low=low, high=high, width=1.0, how="left_semi").select("peak_id")
+    return joins.range_join(t.peaks.select("peak_id", "mz"), i, low=low, high=high, ppm=5.0, how="left_semi").select("peak_id")
 
 
 @query(
@@ -88,7 +88,7 @@ def _(t: Tables):
 def _(t: Tables):
     i = t.isotopes.where("collection_type = 'CALIBRANTS'").select("isotope_id", F.col("mz").alias("target_mz"))
     low, high = F.col("target_mz") - F.col("target_mz") * 1e-5, F.col("target_mz") + F.col("target_mz") * 1e-5
-    c = joins.range_join(t.peaks.select("sid", "peak_id", "mz", "intensity"), i, low=low, high=high, width=1.0)
+    c = joins.range_join(t.peaks.select("sid", "peak_id", "mz", "intensity"), i, low=low, high=high, ppm=10.0)
     best = c.groupBy("sid", "isotope_id").agg(F.max(F.struct("intensity", "peak_id")).alias("b"))
     return best.select("sid", "isotope_id", "b.peak_id", "b.intensity")
 
@@ -102,7 +102,7 @@ def _(t: Tables):
 def _(t: Tables):
     i = t.isotopes.where("k = 0").select("isotope_id", F.col("mz").alias("target_mz"))
     low, high = F.col("target_mz") - F.col("target_mz") * 5e-6, F.col("target_mz") + F.col("target_mz") * 5e-6
-    c = joins.range_join(t.peaks.select("sid", "ts", "mz", "intensity"), i, low=low, high=high, width=1.0)
+    c = joins.range_join(t.peaks.select("sid", "ts", "mz", "intensity"), i, low=low, high=high, ppm=5.0)
     return c.groupBy("sid", "isotope_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("intensity"), 4).alias("intensity"))
 
 
@@ -324,6 +324,10 @@ FIT = """fit AS (SELECT sid, ion_id, coalesce(exp(sum(w * ln(l)) / sum(w)), 0e0)
     FROM matches WINDOW w AS (PARTITION BY sid, ion_id ORDER BY relative_abundance DESC, target_mz, isotope_id)))))) GROUP BY sid, ion_id)"""
 
 
+FIT_ROWS = FIT.replace("fit AS (SELECT sid, ion_id, coalesce(exp(sum(w * ln(l)) / sum(w)), 0e0) AS fit_score FROM", "fit AS (SELECT *, coalesce(exp(sum(w * ln(l)) OVER ion / sum(w) OVER ion), 0e0) AS fit_score FROM")
+FIT_ROWS = FIT_ROWS.removesuffix(" GROUP BY sid, ion_id)") + " WINDOW ion AS (PARTITION BY sid, ion_id))"
+
+
 @query("fit_score_v2", f"WITH {FIT} SELECT sid, ion_id, round(fit_score, 6) AS fit_score FROM fit", "matches")
 def _(t: Tables):
     return matching.fit_score_v2(t.matches).select("sid", "ion_id", r("fit_score"))
@@ -331,24 +335,23 @@ def _(t: Tables):
 
 @query(
     "score_ions_by_fit",
-    f"""WITH {FIT} SELECT m.sid, m.isotope_id, round(f.fit_score, 6) AS fit_score, CASE WHEN f.fit_score >= 0.8e0 THEN 'identified' WHEN f.fit_score >= 0.5e0 THEN 'candidate'
-    ELSE 'below_assignability' END AS tier FROM matches m JOIN fit f USING (sid, ion_id)""",
+    f"""WITH {FIT_ROWS} SELECT sid, isotope_id, round(fit_score, 6) AS fit_score, CASE WHEN fit_score >= 0.8e0 THEN 'identified' WHEN fit_score >= 0.5e0 THEN 'candidate'
+    ELSE 'below_assignability' END AS tier FROM fit""",
     "matches",
 )
 def _(t: Tables):
-    f = matching.fit_score_v2(t.matches)
-    return t.matches.join(f, ["sid", "ion_id"]).select("sid", "isotope_id", r("fit_score"), matching.tier(F.col("fit_score")).alias("tier"))
+    return matching.with_fit(t.matches).select("sid", "isotope_id", r("fit_score"), matching.tier(F.col("fit_score")).alias("tier"))
 
 
 @query(
     "peak_owner",
-    f"""WITH {FIT}, c AS (SELECT m.sid, m.peak_id, m.isotope_id, m.ion_id, f.fit_score, abs(m.mz_error) AS e FROM matches m JOIN fit f USING (sid, ion_id) WHERE m.found)
+    f"""WITH {FIT_ROWS}, c AS (SELECT sid, peak_id, isotope_id, ion_id, fit_score, abs(mz_error) AS e FROM fit WHERE found)
     SELECT sid, peak_id, isotope_id, round(fit_score, 6) AS fit_score, n FROM (SELECT *, row_number() OVER (PARTITION BY sid, peak_id ORDER BY round(fit_score, 9) DESC, round(e, 9), isotope_id) AS rn,
     count(*) OVER (PARTITION BY sid, peak_id) AS n FROM c) WHERE rn = 1""",
     "matches",
 )
 def _(t: Tables):
-    c = t.matches.where("found").join(matching.fit_score_v2(t.matches), ["sid", "ion_id"])
+    c = matching.with_fit(t.matches).where("found").select("sid", "peak_id", "isotope_id", "fit_score", "mz_error")
     peak = W.partitionBy("sid", "peak_id")
     rank = F.row_number().over(peak.orderBy(F.desc(F.round("fit_score", 9)), F.round(F.abs("mz_error"), 9), "isotope_id"))
     return c.withColumns({"rn": rank, "n": F.count("*").over(peak)}).where("rn = 1").select("sid", "peak_id", "isotope_id", r("fit_score"), "n")
@@ -385,7 +388,7 @@ def _(t: Tables):
     "matches",
 )
 def _(t: Tables):
-    good = t.matches.where("found AND collection_type = 'CALIBRANTS' AND abs(mz_error) <= 15")
+    good = t.matches_of("collection_type = 'CALIBRANTS'").where("found AND abs(mz_error) <= 15")
     per = good.groupBy("sid").agg(
         F.median(F.col("target_mz") / F.col("peak_mz")).alias("factor"), F.median(F.col("peak_mz") / F.col("target_mz")).alias("obs"), F.median("mz_error").alias("before"), F.count("*").alias("n")
     )

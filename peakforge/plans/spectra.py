@@ -17,11 +17,15 @@ def _(t: Tables):
 
 @query(
     "average_spectrum",
-    "WITH n AS (SELECT sid, count(DISTINCT ts) AS n FROM peaks GROUP BY sid) SELECT sid, round(mz, 6) AS mz, round(sum(intensity) / any_value(n), 4) AS intensity FROM peaks JOIN n USING (sid) GROUP BY sid, mz",
+    """WITH n AS (SELECT sid, count(DISTINCT ts) AS n FROM peaks GROUP BY sid) SELECT sid, mz, ((CAST(sum(CAST(round(intensity * 100) AS BIGINT)) AS BIGINT) * 200 + any_value(n)) // (2 * any_value(n))) / 1e4 AS intensity
+    FROM peaks JOIN n USING (sid) GROUP BY sid, mz""",
     "peaks",
 )
 def _(t: Tables):
-    return signal.sum_spectrum(t.peaks, scans=True).select("sid", F.round("mz", 6).alias("mz"), F.round("intensity", 4).alias("intensity"))
+    # hundredths as whole numbers, divided and rounded once: neither the order of the sums nor a tie can change the result
+    cents = t.peaks.withColumn("intensity", F.round(F.col("intensity") * 100).cast("long"))
+    mean = F.expr("((total * 200 + n) div (2 * n)) / 1e4")
+    return signal.sum_spectrum(cents, scans=True).select("sid", "mz", mean.alias("intensity"))
 
 
 @query(
@@ -159,28 +163,32 @@ def _(t: Tables):
 
 @query(
     "tof_snr",
-    """WITH a AS (SELECT p.peak_id, any_value(p.intensity) AS h, stddev_pop(b.intensity) AS s FROM peaks p JOIN peaks b ON b.sid = p.sid AND abs(b.mz - p.mz) BETWEEN 1e-2 AND 1e0
-    WHERE p.snr >= 48 GROUP BY p.peak_id) SELECT peak_id, CASE WHEN s > 1e-9 THEN round(h / s, 6) END AS snr FROM a""",
+    """WITH a AS (SELECT p.peak_id, any_value(p.intensity) AS h, stddev_pop(b.intensity) AS s FROM peaks p LEFT JOIN peaks b ON b.sid = p.sid
+    AND abs(b.mz - p.mz) > 2 * p.mz * 1e-4 AND abs(b.mz - p.mz) <= 2e1 * p.mz * 1e-4 GROUP BY p.peak_id) SELECT peak_id, CASE WHEN s > 1e-9 THEN round(h / s, 6) END AS snr FROM a""",
     "peaks",
 )
 def _(t: Tables):
-    top = t.peaks.where("snr >= 48").select("sid", "peak_id", F.col("mz").alias("target_mz"), F.col("intensity").alias("h"))
-    base = t.peaks.select(F.col("sid").alias("other"), "mz", "intensity")
-    near = joins.range_join(base, top, low=F.col("target_mz") - 1.0, high=F.col("target_mz") + 1.0, width=2.0).where("other = sid AND abs(mz - target_mz) BETWEEN 1e-2 AND 1e0")
-    a = near.groupBy("peak_id").agg(F.first("h").alias("h"), F.stddev_pop("intensity").alias("s"))
-    return a.select("peak_id", F.when(F.col("s") > 1e-9, F.round(F.col("h") / F.col("s"), 6)).alias("snr"))
+    # the noise of a peak is the spread of what lies between 2 and 20 of its widths beside it in its own sample
+    width = F.col("target_mz") * 1e-4
+    top = t.peaks.select("sid", "peak_id", F.col("mz").alias("target_mz"))
+    base = t.peaks.select("sid", "mz", "intensity")
+    near = joins.range_join(base, top, low=F.col("target_mz") - 20 * width, high=F.col("target_mz") + 20 * width, ppm=2000.0, on=("sid",))
+    off = F.abs(F.col("mz") - F.col("target_mz"))
+    noise = near.where((off > 2 * width) & (off <= 20 * width)).groupBy("peak_id").agg(F.stddev_pop("intensity").alias("s"))
+    rows = t.peaks.groupBy("peak_id").agg(F.first("intensity").alias("h")).join(noise, "peak_id", "left")
+    return rows.select("peak_id", F.when(F.col("s") > 1e-9, F.round(F.col("h") / F.col("s"), 6)).alias("snr"))
 
 
 @query(
     "asof_nearest",
-    """WITH q AS (SELECT sid, file_id, created + INTERVAL 26 YEAR AS asked FROM files WHERE created >= TIMESTAMP '1998-01-01' AND created < TIMESTAMP '1998-02-01'),
+    """WITH q AS (SELECT sid, file_id, created + INTERVAL 26 YEAR AS asked FROM files),
     u AS (SELECT sid, ts, max(height) AS height FROM scans GROUP BY sid, ts),
     c AS (SELECT q.sid, q.asked, u.ts, u.height, row_number() OVER (PARTITION BY q.sid, q.file_id ORDER BY abs(epoch_us(u.ts) - epoch_us(q.asked)), u.ts) AS n FROM q JOIN u ON u.sid = q.sid)
     SELECT sid, asked, ts AS scan_time, height FROM c WHERE n = 1""",
     "files scans",
 )
 def _(t: Tables):
-    q = t.files.where("created >= TIMESTAMP '1998-01-01' AND created < TIMESTAMP '1998-02-01'").selectExpr("sid", "CAST(created + INTERVAL 26 YEARS AS TIMESTAMP) AS asked")
+    q = t.files.selectExpr("sid", "CAST(created + INTERVAL 26 YEARS AS TIMESTAMP) AS asked")
     scans = t.scans.groupBy("sid", F.col("ts").alias("asked")).agg(F.max("height").alias("height"))
     return joins.asof_nearest(q, scans, key="sid", time="asked", value="height").where("scan_time IS NOT NULL")
 
@@ -257,11 +265,13 @@ def _(t: Tables):
 
 @query(
     "cluster_timeseries",
-    "SELECT sid, ion, d.day, round(coalesce(h, 0e0), 4) AS height FROM (SELECT DISTINCT sid, ion FROM scans) k CROSS JOIN (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM scans) d LEFT JOIN (SELECT sid, ion, strftime(ts, '%Y-%m-%d') AS day, sum(height) AS h FROM scans GROUP BY ALL) x USING (sid, ion, day)",
+    "SELECT sid, ion, d.day, round(coalesce(h, 0e0), 4) AS height FROM (SELECT DISTINCT sid, ion FROM scans) k CROSS JOIN (SELECT strftime(unnest(range(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) + INTERVAL 1 DAY, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM scans) d LEFT JOIN (SELECT sid, ion, strftime(ts, '%Y-%m-%d') AS day, sum(height) AS h FROM scans GROUP BY ALL) x USING (sid, ion, day)",
     "scans",
 )
 def _(t: Tables):
     rows = t.scans.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).groupBy("sid", "ion", "day").agg(F.sum("height").alias("h"))
-    bounds = t.scans.agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("days"))  # the days of the recording, one row
-    grid = t.scans.select("sid", "ion").distinct().join(F.broadcast(bounds)).select("sid", "ion", F.explode("days").alias("day"))
+    days = t.scans.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).select(F.explode(F.sequence("low", "high")).alias("d"))
+    # every (sample, ion) with every day of the recording: the days are dealt to keys of their own, so the grid is an equi join
+    keys = t.scans.select("sid", "ion").distinct().withColumn("all", F.lit(1))
+    grid = keys.join(days.select(F.lit(1).alias("all"), F.date_format("d", "yyyy-MM-dd").alias("day")), "all").drop("all")
     return grid.join(rows, ["sid", "ion", "day"], "left").select("sid", "ion", "day", F.round(F.coalesce("h", F.lit(0.0)), 4).alias("height"))

@@ -80,6 +80,20 @@ class Tables:
 
         return match_stats(with_expected(self.nearest, self.isotopes))
 
+    def matches_of(self, condition: str) -> DataFrame:
+        """The rows of ``matches`` for the ions whose isotopes meet ``condition``: ions are independent, so the rest is never matched."""
+        from peakforge.operators.joins import nearest_peak
+        from peakforge.operators.matching import match_stats, with_expected
+
+        some = self.isotopes.where(condition)
+        return match_stats(with_expected(nearest_peak(self.peaks, some, key="sid", target="isotope_id", window=0.5), some))
+
+    def gated_of(self, condition: str) -> DataFrame:
+        """The rows of ``gated`` for such ions."""
+        from peakforge.operators.matching import apply_match_params
+
+        return apply_match_params(self.matches_of(condition).join(self.samples.select("sid", "instrument", "batch"), "sid"))
+
     @cached_property
     def gated(self) -> DataFrame:
         from peakforge.operators.matching import apply_match_params
