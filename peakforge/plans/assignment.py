@@ -181,24 +181,6 @@ def _(t: Tables):
     return runs.groupBy("sid", "bin").agg(one.alias("m")).select("sid", F.explode(kept).alias("k")).select("sid", F.col("k.id").alias("peak_id"))
 
 
-@query(
-    "ms2_parent_clusters",
-    """WITH b AS (SELECT *, sum(fresh) OVER (PARTITION BY sid ORDER BY mz, peak_id ROWS UNBOUNDED PRECEDING) AS bin FROM (SELECT *, CASE WHEN mz - lag(mz) OVER w > 1e-3 THEN 1 ELSE 0 END AS fresh
-    FROM peaks WHERE snr >= 40 WINDOW w AS (PARTITION BY sid ORDER BY mz, peak_id))) SELECT sid, CAST(bin AS BIGINT) AS bin, round(median(mz), 4) AS parent, count(*) AS n FROM b GROUP BY sid, bin""",
-    "peaks",
-)
-def _(t: Tables):
-    w = W.partitionBy("sid").orderBy("mz", "peak_id")
-    rows = t.peaks.where("snr >= 40").withColumn("fresh", F.when(F.col("mz") - F.lag("mz").over(w) > 1e-3, 1).otherwise(0))
-    rows = rows.withColumn("bin", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("sid", "bin").agg(F.round(F.median("mz"), 4).alias("parent"), F.count("*").alias("n"))
-
-
-@query("ms2_summary", "SELECT sid, count(DISTINCT ts) AS scans, count(*) AS centroids, round(avg(snr), 6) AS energy FROM peaks WHERE snr >= 3 GROUP BY sid", "peaks")
-def _(t: Tables):
-    return t.peaks.where("snr >= 3").groupBy("sid").agg(F.countDistinct("ts").alias("scans"), F.count("*").alias("centroids"), F.round(F.avg("snr"), 6).alias("energy"))
-
-
 @query(
     "background_subtract_bins",
     """WITH b AS (SELECT CAST(floor(mz) AS BIGINT) AS bin, sid, sum(intensity) AS x FROM peaks GROUP BY ALL) SELECT b.sid, b.bin, round(b.x - g.x, 2) AS net FROM b LEFT JOIN (SELECT * FROM b WHERE sid = 1) g ON g.bin = b.bin""",

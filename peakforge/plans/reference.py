@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from peakforge.operators.joins import asof_nearest
 from peakforge.plans.registry import query
 from peakforge.sources import reference
 from peakforge.sources.fixtures import Tables
@@ -38,3 +39,33 @@ def _(t: Tables):
     base = folder(t)
     reference.ingest_version(t.isotopes.where("k = 0").select("formula").distinct(), base, "library", "v1")
     return reference.ingest_version(t.isotopes.select("formula").distinct(), base, "library", "v2")
+
+
+@query("read_reference_xml", "SELECT CAST(p_partkey AS VARCHAR) AS accession, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'C' || p_size || 'H4' END AS chemical_formula FROM part")
+def _(t: Tables):
+    path = folder(t)
+    text = F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit("H4")))
+    rows = t.raw("part").select(F.col("p_partkey").cast("string").alias("accession"), F.col("p_name").alias("name"), text.alias("chemical_formula"))
+    rows.write.format("xml").option("rootTag", "hmdb").option("rowTag", "metabolite").save(path)
+    return reference.read_xml(t.spark, path)
+
+
+@query(
+    "read_sidecar_timeseries",
+    """WITH s AS (SELECT user_id AS sid, ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY ALL), q AS (SELECT DISTINCT user_id AS sid, ts AS asked FROM events WHERE event_type = 'purchase'),
+    l AS (SELECT sid, ts, 'temperature' AS sensor, v AS value FROM s UNION ALL SELECT sid, ts, 'pressure', 2 * v FROM s WHERE v <= 20),
+    c AS (SELECT q.sid, q.asked, l.sensor, l.value, row_number() OVER (PARTITION BY q.sid, q.asked, l.sensor ORDER BY abs(epoch_us(l.ts) - epoch_us(q.asked)), l.ts) AS n FROM q JOIN l USING (sid))
+    SELECT sid, asked, sensor, round(value, 4) AS value FROM c WHERE n = 1""",
+)
+def _(t: Tables):
+    path = folder(t)
+    wide = t.scans.where("ion = 'view'").groupBy("sid", "ts").agg(F.max("height").alias("temperature"))
+    wide = wide.select("sid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "temperature", F.when(F.col("temperature") > 20, "n/a").otherwise((2 * F.col("temperature")).cast("string")).alias("pressure"))
+    wide.write.option("header", True).csv(path)
+    long = reference.read_sidecar(t.spark, path)
+    asked = t.scans.where("ion = 'purchase'").select("sid", F.col("ts").alias("asked")).distinct()
+    sensors = long.select("sid", "sensor").distinct()
+    asks = asked.join(sensors, "sid").select(F.struct("sid", "sensor").alias("key"), "asked")
+    values = long.select(F.struct("sid", "sensor").alias("key"), F.col("ts").alias("asked"), "value")
+    near = asof_nearest(asks, values, key="key", time="asked", value="value").where("scan_time IS NOT NULL")
+    return near.select("key.sid", "asked", "key.sensor", F.round("value", 4).alias("value"))

@@ -18,6 +18,7 @@ PEAK_ID = (
     "md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), "
     "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)))"
 )
+PARENT_MZ = "(1e2 + (l_orderkey % 40) * 11.25e0) * (1e0 + (l_orderkey % 5 - 2) * 1e-6)"
 FORMULA = "concat('C', CAST(1 + p_size % 20 AS STRING), 'H', CAST(2 + p_size % 30 AS STRING), 'O', CAST(1 + p_partkey % 6 AS STRING))"
 
 
@@ -67,6 +68,14 @@ class Tables:
     def files(self) -> DataFrame:
         return self.raw("orders").selectExpr("o_orderkey AS file_id", "o_custkey AS sid", "o_orderstatus AS status", "o_totalprice AS tic", "o_orderdate AS created", "o_orderpriority AS type")
 
+    @cached_property
+    def fragments(self) -> DataFrame:
+        """One row per fragment peak: each order is a scan of one isolated parent, whose m/z scatters by a few ppm."""
+        return self.raw("lineitem").selectExpr(
+            "l_suppkey % 10 AS sid", "l_orderkey AS scan", f"{PARENT_MZ} AS parent_mz", "10 + 10 * (l_orderkey % 3) AS energy", f"{PEAK_ID} AS peak_id", f"{PEAK_MZ} AS mz",
+            "l_extendedprice AS intensity", "l_quantity AS snr", "l_shipdate AS ts",
+        )
+
     @cached_property
     def nearest(self) -> DataFrame:
         from peakforge.operators.joins import nearest_peak
@@ -126,6 +135,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT l_suppkey AS sid, {PEAK_ID} AS peak_id, {PEAK_MZ} AS mz, l_extendedprice AS intensity, l_quantity AS snr,
         CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS polarity, l_shipdate AS ts, l_returnflag AS flag FROM lineitem""",
     ),
+    "fragments": (
+        (),
+        f"""SELECT l_suppkey % 10 AS sid, l_orderkey AS scan, {PARENT_MZ} AS parent_mz, 10 + 10 * (l_orderkey % 3) AS energy, {PEAK_ID} AS peak_id, {PEAK_MZ} AS mz,
+        l_extendedprice AS intensity, l_quantity AS snr, l_shipdate AS ts FROM lineitem""",
+    ),
     "samples": (
         (),
         """SELECT s_suppkey AS sid, s_name AS sample_name, n_name AS batch, r_name AS dataset, s_acctbal AS tic,

@@ -31,7 +31,24 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     """Records of molecule files as maps of their data fields; what follows the last separator is no record."""
     text = spark.read.option("lineSep", "$$$$\n").text(path)
     field, val = F.regexp_extract_all("value", F.lit(r"(?m)^> *<([^>]+)>.*\n(.*)$"), F.lit(1)), F.regexp_extract_all("value", F.lit(r"(?m)^> *<([^>]+)>.*\n(.*)$"), F.lit(2))
-    return text.where(F.trim(F.col("value")) != "").select(F.map_from_arrays(F.array_distinct(field), F.slice(val, 1, F.size(F.array_distinct(field)))).alias("fields"))
+    rows = text.where(F.trim(F.col("value")) != "").select(field.alias("f"), val.alias("v"))
+    # of a field that is repeated the first value counts
+    return rows.select(F.map_from_arrays(F.array_distinct("f"), F.transform(F.array_distinct("f"), lambda x: F.get("v", F.array_position("f", x).cast("int") - 1))).alias("fields"))
+
+
+def read_xml(spark: SparkSession, path: str, fields: tuple[str, ...] = ("accession", "name", "chemical_formula"), row: str = "metabolite") -> DataFrame:
+    """The named children of every ``row`` element; name-space prefixes count for nothing, blank and missing ones are nulls."""
+    schema = ", ".join(f"`{c}` string" for c in fields)
+    rows = spark.read.format("xml").option("rowTag", row).option("ignoreNamespace", "true").schema(schema).load(path)
+    return rows.select(*(F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in fields))
+
+
+def read_sidecar(spark: SparkSession, path: str, *, key: str = "sid", time: str = "ts") -> DataFrame:
+    """(key, time, sensor, value) of wide sensor files with a header: one row for each sensor that has a number."""
+    rows = spark.read.option("header", True).csv(path)
+    sensors = [c for c in rows.columns if c not in (key, time)]
+    long = rows.unpivot([key, time], sensors, "sensor", "value")
+    return long.select(F.col(key).cast("long").alias(key), F.to_timestamp(time).alias(time), F.trim("sensor").alias("sensor"), F.expr("try_cast(value AS DOUBLE)").alias("value")).where("value IS NOT NULL")
 
 
 def ingest_version(rows: DataFrame, base: str, source: str, version: str) -> DataFrame:
