@@ -44,7 +44,11 @@ class Tables:
     @cached_property
     def peaks(self) -> DataFrame:
         """One row per centroided peak of a sample."""
-        return self.raw("lineitem").selectExpr(
+        return self.peaks_of(self.raw("lineitem"))
+
+    @staticmethod
+    def peaks_of(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr(
             "l_suppkey AS sid", f"{PEAK_ID} AS peak_id", f"{PEAK_MZ} AS mz", "l_extendedprice AS intensity", "l_quantity AS snr",
             "CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS polarity", "l_shipdate AS ts", "l_returnflag AS flag",
         )

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """New files of a table in a folder as a stream, with the columns that the files there have."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("ignoreCorruptFiles", "false").option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """New files of events in a folder as a stream; a file that cannot be read is retried by its task, then fails the query, uncommitted."""
     rows = spark.readStream.schema(EVENTS).option("ignoreCorruptFiles", "false").option("pathGlobFilter", "events*.parquet").parquet(folder)
@@ -18,14 +27,26 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session or of its context.
+
+    A temporary one is made only where none is set and the master is local, as in tests; a cluster has to name its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there and its size is known."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what its sink holds. A finished append is exactly-once Parquet."""
     spark = stream.sparkSession
@@ -34,23 +55,42 @@ def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, schema: str, merge) -> DataFrame:
-    """Run a stream through ``foreachBatch``: ``merge(old, batch)`` gives the new table, written as a new version.
+def run_appends(stream: DataFrame, schema: str, make: Callable[[DataFrame, DataFrame], DataFrame], base: str | None = None) -> DataFrame:
+    """Run a stream through ``foreachBatch``: ``make(earlier, batch)`` gives the rows that a batch adds to a table of deltas.
 
-    Versions are numbered by batch, so a batch that is run again overwrites its own result.
+    Each batch has a folder of its own under the table, named by its number: nothing that is there is rewritten, a batch that is run again
+    replaces its own rows only, and a restart finds all it needs in the folder.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/table-{uuid.uuid4().hex[:12]}"
-    last = {"v": -1}
+    base = base or f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex[:12]}"
+    table = lambda s: s.read.schema(f"{schema}, batch bigint").option("basePath", f"{base}/table").parquet(f"{base}/table")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{base}/table/batch=-1")
 
     def step(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        old = s.read.schema(schema).parquet(f"{base}/v{number - 1}") if number else s.createDataFrame([], schema)
-        merge(old, batch).write.mode("overwrite").parquet(f"{base}/v{number}")
-        last["v"] = number
+        earlier = table(batch.sparkSession).where(F.col("batch") < number).drop("batch")
+        make(earlier, batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/v{last['v']}") if last["v"] >= 0 else spark.createDataFrame([], schema)
+    return table(spark).drop("batch")
+
+
+def retries(rows: DataFrame, *, limit: float = 20.0, most: int = 3) -> DataFrame:
+    """(user_id, failures, status, last_at) of each user whose attempts a batch adds to: ``failed`` for good after ``most`` failures in a row.
+
+    An attempt fails if its value is above ``limit``; a success starts the count anew. The count is the state of a user.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, done = state.get if state.exists else (0, False)
+        seen = pd.concat(batches).sort_values(["ts", "event_id"])
+        for value in seen["value"]:
+            failures = failures if done else (failures + 1 if value > limit else 0)
+            done = done or failures >= most
+        state.update((failures, done))
+        yield pd.DataFrame({"user_id": [key[0]], "failures": [failures], "status": ["failed" if done else "open"], "last_at": [seen["ts"].max()]})
+
+    out = "user_id bigint, failures bigint, status string, last_at timestamp"
+    return rows.groupBy("user_id").applyInPandasWithState(step, out, "failures bigint, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling(rows: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
