@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shuffled() -> Column:
     """A document's place in shuffled order: the md5 of its id and of the md5 of its text, so repeated ids are spread too."""
-    text = F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text).cast("binary"))
 
 
