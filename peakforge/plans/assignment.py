@@ -125,46 +125,6 @@ def _(t: Tables):
     return best
 
 
-@query(
-    "select_retained_many",
-    """WITH c AS (SELECT sid, isotope_id, mz_error, target_mz FROM matches WHERE found AND collection_type = 'CALIBRANTS' AND abs(mz_error) <= 30), f AS (SELECT sid, median(mz_error) AS mu FROM c GROUP BY sid HAVING count(*) > 5),
-    k AS (SELECT c.* FROM c JOIN f USING (sid) WHERE abs(c.mz_error - f.mu) <= 5) SELECT sid, count(*) AS n, round(median(mz_error), 6) AS mu FROM k GROUP BY sid""",
-    "matches",
-)
-def _(t: Tables):
-    c = t.matches.where("found AND collection_type = 'CALIBRANTS' AND abs(mz_error) <= 30").select("sid", "mz_error")
-    f = c.groupBy("sid").agg(F.median("mz_error").alias("mu"), F.count("*").alias("n")).where("n > 5").drop("n")
-    k = c.join(f, "sid").where(F.abs(F.col("mz_error") - F.col("mu")) <= 5)
-    return k.groupBy("sid").agg(F.count("*").alias("n"), F.round(F.median("mz_error"), 6).alias("mu"))
-
-
-@query(
-    "fit_quality",
-    "SELECT sid, count(*) AS n, round(avg(abs(mz_error)), 6) AS before, round(sum(intensity), 2) AS calibrant FROM matches WHERE found AND collection_type = 'CALIBRANTS' GROUP BY sid",
-    "matches",
-)
-def _(t: Tables):
-    g = t.matches.where("found AND collection_type = 'CALIBRANTS'").groupBy("sid")
-    return g.agg(F.count("*").alias("n"), F.round(F.avg(F.abs("mz_error")), 6).alias("before"), F.round(F.sum("intensity"), 2).alias("calibrant"))
-
-
-@query("reset_mz_factor", "SELECT peak_id, round(mz / (1e0 + sid * 1e-7), 6) AS mz FROM peaks", "peaks")
-def _(t: Tables):
-    return t.peaks.select("peak_id", F.round(F.col("mz") / (1 + F.col("sid") * 1e-7), 6).alias("mz"))
-
-
-@query(
-    "score_eval_metrics",
-    """WITH c AS (SELECT sid, peak_id, ion_id, score, row_number() OVER w AS rn, count(*) OVER (PARTITION BY sid, peak_id) AS n FROM matches WHERE found WINDOW w AS (PARTITION BY sid, peak_id ORDER BY round(score, 9) DESC, ion_id))
-    SELECT count(*) AS n, count(*) FILTER (WHERE score >= 0.8e0) AS good, count(*) FILTER (WHERE n > 1) AS contested FROM c WHERE rn = 1""",
-    "matches",
-)
-def _(t: Tables):
-    peak = W.partitionBy("sid", "peak_id")
-    c = t.matches.where("found").withColumns({"rn": F.row_number().over(peak.orderBy(F.desc(F.round("score", 9)), "ion_id")), "k": F.count("*").over(peak)}).where("rn = 1")
-    return c.agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.8).alias("good"), F.count_if(F.col("k") > 1).alias("contested"))
-
-
 @query("tof_to_mass", "SELECT peak_id, round(CASE mode WHEN 0 THEN pow((tof - 3e0) / 2e0, 2) WHEN 1 THEN pow(2e0 / (tof - 3e0), 2) WHEN 2 THEN pow((tof - 3e0) / 2e0, 2e0) ELSE 2e0 * tof * tof + 3e0 * tof + 0.5e0 END, 4) AS mz FROM (SELECT peak_id, snr + 5e0 AS tof, CASE sid % 4 WHEN 3 THEN 5 ELSE sid % 4 END AS mode FROM peaks)", "peaks")
 def _(t: Tables):
     mode = F.when(F.col("sid") % 4 == 3, 5).otherwise(F.col("sid") % 4)
