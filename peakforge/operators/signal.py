@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,19 +38,44 @@ def bin_centroids(binned: DataFrame, *, keys: tuple[str, ...] = ("sid",)) -> Dat
 def window_cluster(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """Start-anchored clusters: a peak opens one if it lies more than ``ppm`` above the first member of the last.
 
-    Gaps wider than the window always part clusters, so the fold runs over each run between such gaps alone.
+    Gaps wider than the window always part clusters, so the runs between such gaps are dealt out by themselves; a task passes once over
+    its sorted runs and holds the start of the cluster that is open, nothing else.
     """
-    runs = gap_bin(peaks, ppm=ppm, keys=keys)
-    grouped = runs.groupBy(*keys, "bin").agg(F.array_sort(F.collect_list(F.struct("mz", "peak_id", "intensity"))).alias("members"))
-    kind = "array<struct<start:double,mz:double,peak_id:string,intensity:double>>"
+    runs = gap_bin(peaks, ppm=ppm, keys=keys).select(*keys, "bin", "mz", "peak_id", "intensity")
+    place = [*keys, "bin"]
+    schema = runs.select(*keys, F.lit(0.0).alias("cluster"), "mz", "peak_id", "intensity").schema
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, start = None, 0.0
+        for x in batches:
+            starts = []
+            for key, mz in zip(zip(*(x[c].tolist() for c in place), strict=True), x["mz"].tolist(), strict=True):
+                if key != run or (mz - start) / start * 1e6 > ppm:
+                    run, start = key, mz
+                starts.append(start)
+            yield x.assign(cluster=starts)[[f.name for f in schema]]
+
+    return runs.repartition(*place).sortWithinPartitions(*place, "mz", "peak_id").mapInPandas(fold, schema)
 
-    def step(done: Column, p: Column) -> Column:
-        start = F.element_at(done, -1)["start"]
-        fresh = F.when((F.size(done) == 0) | ((p["mz"] - start) / start * 1e6 > ppm), p["mz"]).otherwise(start)
-        return F.concat(done, F.array(F.struct(fresh.alias("start"), p["mz"].alias("mz"), p["peak_id"].alias("peak_id"), p["intensity"].alias("intensity"))))
 
-    out = grouped.select(*keys, F.explode(F.aggregate("members", F.array().cast(kind), step)).alias("m"))
-    return out.select(*keys, F.col("m.start").alias("cluster"), "m.mz", "m.peak_id", "m.intensity")
+def spaced(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """The strongest peaks that keep a distance of ``ppm``: by falling intensity, each that no kept one is nearer to.
+
+    Peaks of different runs between wider gaps can't meet, so each run is settled alone; kept places are held in order.
+    """
+    runs = gap_bin(peaks, ppm=ppm, keys=keys).select(*keys, "bin", "mz", "peak_id", "intensity")
+    schema = runs.drop("bin").schema
+
+    def keep(x: pd.DataFrame) -> pd.DataFrame:
+        x, at, rows = x.sort_values(["intensity", "mz", "peak_id"], ascending=[False, True, True]), [], []
+        for n, mz in enumerate(x["mz"].tolist()):
+            k = bisect.bisect(at, mz)
+            if all(abs(q - mz) / mz * 1e6 >= ppm for q in at[max(0, k - 1) : k + 1]):
+                at.insert(k, mz)
+                rows.append(n)
+        return x.iloc[rows][[f.name for f in schema]]
+
+    return runs.groupBy(*keys, "bin").applyInPandas(keep, schema)
 
 
 def dominated(peaks: DataFrame, *, ppm: float = 100.0, ratio: float = 10.0) -> DataFrame:
