@@ -47,3 +47,15 @@ def dedup_by_collection_priority(compounds: DataFrame) -> DataFrame:
     order = F.element_at(F.create_map(*(x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v)))), F.col("collection_type"))
     rank = F.row_number().over(W.partitionBy("sid", "compound_id").orderBy(order, "collection_id"))
     return compounds.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def match_tree(gated: DataFrame) -> DataFrame:
+    """(sid, collections): what a sample holds in four nested levels, each in order of its ids.
+
+    Levels are grouped from the leaves up, so a row of any level holds no more than the children of one parent.
+    """
+    level = lambda df, keys, name, *fields: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    ions = gated.groupBy("sid", "collection_id", "compound_id", "ion_id").agg(F.array_sort(F.collect_list(F.struct("isotope_id", "category"))).alias("isotopes"), F.max("category").alias("best")).where("best > 0")
+    compounds = level(ions, ["sid", "collection_id", "compound_id"], "ions", "ion_id", "isotopes")
+    collections = level(compounds, ["sid", "collection_id"], "compounds", "compound_id", "ions")
+    return level(collections, ["sid"], "collections", "collection_id", "compounds")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakforge.functions import chem
-from peakforge.operators import graph, matching, signal
+from peakforge.operators import graph, joins, matching, rollup, signal
 from peakforge.plans.matching import FIT
 from peakforge.plans.registry import query
 from peakforge.sources.fixtures import Tables
@@ -29,20 +29,35 @@ def _(t: Tables):
 
 @query(
     "sample_match_tree",
-    """SELECT sid, string_agg(c || ':' || n || ':' || s, '|' ORDER BY c || ':' || n || ':' || s) AS tree FROM (SELECT sid, collection_id AS c, CAST(count(DISTINCT compound_id) AS VARCHAR) AS n, CAST(count(*) AS VARCHAR) AS s
-    FROM ions GROUP BY sid, collection_id) GROUP BY sid""",
-    "ions",
+    """WITH i AS (SELECT sid, collection_id, compound_id, ion_id, string_agg(isotope_id || '=' || category, ' ' ORDER BY isotope_id) AS t FROM gated GROUP BY ALL HAVING max(category) > 0),
+    c AS (SELECT sid, collection_id, compound_id, string_agg(ion_id || '(' || t || ')', ' ' ORDER BY ion_id) AS t FROM i GROUP BY ALL),
+    k AS (SELECT sid, collection_id, string_agg(compound_id || '[' || t || ']', ' ' ORDER BY compound_id) AS t FROM c GROUP BY ALL)
+    SELECT sid, string_agg(collection_id || '{' || t || '}', ' ' ORDER BY collection_id) AS tree FROM k GROUP BY sid""",
+    "gated",
 )
 def _(t: Tables):
-    per = t.ions.groupBy("sid", "collection_id").agg(F.countDistinct("compound_id").alias("n"), F.count("*").alias("s"))
-    leaf = F.concat_ws(":", "collection_id", F.col("n").cast("string"), F.col("s").cast("string"))
-    return per.groupBy("sid").agg(F.array_join(F.array_sort(F.collect_list(leaf)), "|").alias("tree"))
+    """Collections, compounds, ions and isotopes of what a sample holds, nested; as text here, as structs in ``match_tree``."""
+    tree = rollup.match_tree(t.gated)
+    kids = lambda x, f: F.array_join(F.transform(x, f), " ")
+    text = lambda c: c.cast("string")
+    isotope = lambda x: F.concat(text(x["isotope_id"]), F.lit("="), text(x["category"]))
+    ion = lambda x: F.concat(text(x["ion_id"]), F.lit("("), kids(x["isotopes"], isotope), F.lit(")"))
+    compound = lambda x: F.concat(text(x["compound_id"]), F.lit("["), kids(x["ions"], ion), F.lit("]"))
+    collection = lambda x: F.concat(text(x["collection_id"]), F.lit("{"), kids(x["compounds"], compound), F.lit("}"))
+    return tree.select("sid", kids(F.col("collections"), collection).alias("tree"))
 
 
-@query("batch_match_data", "SELECT s.batch, count(DISTINCT i.sid) AS n_samples, count(DISTINCT i.compound_id) AS n_compounds, count(*) AS n_ions FROM ions i JOIN samples s USING (sid) GROUP BY s.batch", "ions samples")
+@query(
+    "batch_match_data",
+    """SELECT s.batch, i.sid, s.sample_name, i.ion_id, i.compound_id, i.collection_id, round(i.score, 6) AS score, round(i.intensity, 4) AS intensity, i.category,
+    row_number() OVER (PARTITION BY s.batch, i.ion_id ORDER BY i.category DESC, round(i.score, 9) DESC, i.sid) AS place FROM ions i JOIN samples s USING (sid) WHERE i.category > 0""",
+    "ions samples",
+)
 def _(t: Tables):
-    g = t.ions.join(t.samples.select("sid", "batch"), "sid").groupBy("batch")
-    return g.agg(F.countDistinct("sid").alias("n_samples"), F.countDistinct("compound_id").alias("n_compounds"), F.count("*").alias("n_ions"))
+    """What a batch's samples hold, row by row, with each ion's place among the samples of the batch."""
+    rows = t.ions.where("category > 0").join(t.samples.select("sid", "batch", "sample_name"), "sid")
+    place = F.row_number().over(W.partitionBy("batch", "ion_id").orderBy(F.desc("category"), F.desc(F.round("score", 9)), "sid"))
+    return rows.select("batch", "sid", "sample_name", "ion_id", "compound_id", "collection_id", r("score"), r("intensity", 4), "category", place.alias("place"))
 
 
 @query(
@@ -150,15 +165,21 @@ def _(t: Tables):
 
 @query(
     "covariation_groups",
-    """WITH RECURSIVE e AS (SELECT DISTINCT x.ion_id AS a, y.ion_id AS b FROM ions x JOIN ions y ON x.sid = y.sid AND x.compound_id = y.compound_id AND x.ion_id <> y.ion_id WHERE x.category = 2 AND y.category = 2),
-    reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node""",
-    "ions",
+    """WITH RECURSIVE x AS (SELECT batch_no, ion_id AS ion, i.sid, intensity AS v FROM ions i JOIN samples s USING (sid) WHERE category = 2),
+    e AS (SELECT a.ion AS a, b.ion AS b FROM x a JOIN x b ON a.sid = b.sid AND a.ion < b.ion AND b.ion <= a.ion + 40 GROUP BY a.ion, b.ion HAVING count(*) >= 4 AND round(corr(a.v, b.v), 9) >= 0.8e0),
+    d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM d UNION SELECT r.node, d.b FROM reach r JOIN d ON d.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node""",
+    "ions samples",
 )
 def _(t: Tables):
-    good = t.ions.where("category = 2").select("sid", "compound_id", "ion_id")
-    other = good.withColumnRenamed("ion_id", "b")
-    edges = good.withColumnRenamed("ion_id", "a").join(other, ["sid", "compound_id"]).where("a < b").select("a", "b").distinct()  # a compound has three ions
-    return graph.components(edges)
+    """Ions whose heights rise and fall together over the samples, at a correlation of 0.8 over four samples or more, joined to groups.
+
+    Only ions of neighbouring mass (40 steps of the library) are compared, a band that a range join finds.
+    """
+    good = t.ions.where("category = 2").select("sid", F.col("ion_id").alias("a"), F.col("intensity").alias("x"))
+    other = good.select("sid", F.col("a").alias("b"), F.col("x").alias("y"), F.col("a").cast("double").alias("mz"))
+    near = joins.range_join(other, good, low=F.col("a") + 1.0, high=F.col("a") + 40.0, width=40.0, on=("sid",))
+    pairs = near.groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).where((F.col("n") >= 4) & (F.round("r", 9) >= 0.8))
+    return graph.components(pairs.select("a", "b"))
 
 
 @query(
