@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,11 +29,11 @@ def gap_bin(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -
     return rows.withColumn("bin", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def bin_centroids(binned: DataFrame, *, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
-    """Per bin: intensity-weighted m/z (plain mean without intensity), total intensity, weighted S/N, peaks."""
+def bin_centroids(binned: DataFrame, *, keys: tuple[str, ...] = ("sid",), also: tuple[str, ...] = ()) -> DataFrame:
+    """Per bin: intensity-weighted m/z (plain mean without intensity), total intensity, weighted S/N and further columns, peaks."""
     total = F.sum("intensity")
     weighted = lambda c: F.when(total > 0, F.sum(F.col(c) * F.col("intensity")) / total).otherwise(F.avg(c))
-    return binned.groupBy(*keys, "bin").agg(weighted("mz").alias("mz"), total.alias("intensity"), weighted("snr").alias("snr"), F.count("*").alias("n_peaks"))
+    return binned.groupBy(*keys, "bin").agg(weighted("mz").alias("mz"), total.alias("intensity"), weighted("snr").alias("snr"), *(weighted(c).alias(c) for c in also), F.count("*").alias("n_peaks"))
 
 
 def window_cluster(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
@@ -97,6 +98,22 @@ def dominated(peaks: DataFrame, *, ppm: float = 100.0, ratio: float = 10.0) -> D
     return hit.drop("bucket")
 
 
+def kernel(kind: str, width: int) -> list[float]:
+    """Weights of an odd number of points around the middle one: flat, triangle, or the cosine window."""
+    half = width // 2
+    shape = {"flat": lambda k: 1.0, "triangle": lambda k: float(half + 1 - abs(k)), "cosine": lambda k: 0.5 + 0.5 * math.cos(math.pi * k / (half + 1))}
+    return [shape[kind](k) for k in range(-half, half + 1)]
+
+
+def smooth(rows: DataFrame, value: str, weights: list[float], *, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the weighted mean of a value and its neighbours; weights of neighbours that aren't there don't count."""
+    w, half = W.partitionBy(*keys).orderBy(*order), len(weights) // 2
+    near = [(F.col(value) if k == 0 else F.lag(value, -k).over(w), x) for k, x in zip(range(-half, half + 1), weights, strict=True)]
+    total = sum((F.coalesce(c * x, F.lit(0.0)) for c, x in near), F.lit(0.0))
+    weight = sum((F.when(c.isNotNull(), x).otherwise(0.0) for c, x in near), F.lit(0.0))
+    return rows.withColumn("smooth", total / weight)
+
+
 def rolling_mean(rows: DataFrame, value: str, *, keys: tuple[str, ...], order: tuple[str, ...], width: int = 11) -> DataFrame:
     """Centred mean over an odd number of rows, of what there is at the ends."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(width // 2), width // 2)

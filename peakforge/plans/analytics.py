@@ -68,14 +68,14 @@ def _(t: Tables):
 @query(
     "background_subtract_ions",
     """WITH i AS (SELECT s.batch, m.sid, m.ion_id, m.intensity FROM ions m JOIN samples s USING (sid)), b AS (SELECT batch, min(sid) AS sid FROM i GROUP BY batch)
-    SELECT i.sid, i.ion_id, round(i.intensity - coalesce(g.intensity, 0e0), 4) AS net FROM i LEFT JOIN (SELECT i.* FROM i JOIN b USING (batch, sid)) g ON g.batch = i.batch AND g.ion_id = i.ion_id""",
+    SELECT i.sid, i.ion_id, round(i.intensity - coalesce(g.intensity, 0e0), 4) AS net, CASE WHEN i.intensity > 0 THEN round(coalesce(g.intensity, 0e0) / i.intensity, 6) END AS fraction FROM i LEFT JOIN (SELECT i.* FROM i JOIN b USING (batch, sid)) g ON g.batch = i.batch AND g.ion_id = i.ion_id""",
     "ions samples",
 )
 def _(t: Tables):
     i = t.ions.join(t.samples.select("sid", "batch"), "sid").select("batch", "sid", "ion_id", "intensity")
     blank = i.groupBy("batch").agg(F.min("sid").alias("sid"))
     g = i.join(blank, ["batch", "sid"]).select("batch", "ion_id", F.col("intensity").alias("background"))
-    return i.join(g, ["batch", "ion_id"], "left").select("sid", "ion_id", F.round(F.col("intensity") - F.coalesce("background", F.lit(0.0)), 4).alias("net"))
+    return i.join(g, ["batch", "ion_id"], "left").select("sid", "ion_id", F.round(F.col("intensity") - F.coalesce("background", F.lit(0.0)), 4).alias("net"), F.when(F.col("intensity") > 0, F.round(F.coalesce("background", F.lit(0.0)) / F.col("intensity"), 6)).alias("fraction"))
 
 
 @query(
@@ -169,10 +169,12 @@ def _(t: Tables):
     return t.peaks.select("peak_id", F.round(F.col("mz") - F.bround("mz", 0), 6).alias("defect"), F.round(F.log10(F.greatest("intensity", F.lit(1.0))), 6).alias("size"))
 
 
-@query("acquisition_inventory", "SELECT type AS instrument, year(created) AS year, count(*) AS n, count(DISTINCT sid) AS samples FROM files GROUP BY ALL", "files")
+@query("acquisition_inventory", "SELECT type AS instrument, year(created) AS year, count(*) AS n, count(DISTINCT sid) AS samples, count(*) - count(DISTINCT {'s': sid, 'c': created}) AS duplicated, (SELECT count(*) FROM customer) - count(DISTINCT sid) AS missing FROM files GROUP BY ALL", "files")
 def _(t: Tables):
     g = t.files.groupBy(F.col("type").alias("instrument"), F.year("created").alias("year"))
-    return g.agg(F.count("*").alias("n"), F.countDistinct("sid").alias("samples")).select("instrument", F.col("year").cast("long").alias("year"), "n", "samples")
+    rows = g.agg(F.count("*").alias("n"), F.countDistinct("sid").alias("samples"), F.countDistinct("sid", "created").alias("sets"))
+    total = t.raw("customer").agg(F.count("*").alias("total"))  # one row
+    return rows.crossJoin(total).select("instrument", F.col("year").cast("long").alias("year"), "n", "samples", (F.col("n") - F.col("sets")).alias("duplicated"), (F.col("total") - F.col("samples")).alias("missing"))
 
 
 @query(

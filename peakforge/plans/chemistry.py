@@ -118,10 +118,12 @@ def _(t: Tables):
 
 @query(
     "mz_calibrate_tof",
-    "SELECT sid, round(regr_slope(snr, sqrt(mz)), 6) AS p0, round(regr_intercept(snr, sqrt(mz)), 6) AS p1, count(*) AS n FROM peaks WHERE sid % 2 = 1 GROUP BY sid",
-    "peaks",
+    """SELECT sid, round(regr_slope(2e0 * sqrt(peak_mz) + 3e0, sqrt(target_mz)), 6) AS p0, round(regr_intercept(2e0 * sqrt(peak_mz) + 3e0, sqrt(target_mz)), 5) AS p1, count(*) AS n
+    FROM matches WHERE sid % 2 = 1 AND found AND collection_type = 'CALIBRANTS' AND abs(mz_error) <= 15 GROUP BY sid""",
+    "matches",
 )
 def _(t: Tables):
-    x = F.sqrt("mz")
-    g = t.peaks.where("sid % 2 = 1").groupBy("sid")
-    return g.agg(F.round(F.regr_slope("snr", x), 6).alias("p0"), F.round(F.regr_intercept("snr", x), 6).alias("p1"), F.count("*").alias("n"))
+    """Flight times of the calibrants of time-of-flight samples (2 * sqrt(m/z) + 3 here) on the root of their true masses."""
+    good = t.matches_of("collection_type = 'CALIBRANTS'").where("sid % 2 = 1 AND found AND abs(mz_error) <= 15")
+    y, x = 2 * F.sqrt("peak_mz") + 3, F.sqrt("target_mz")
+    return good.groupBy("sid").agg(F.round(F.regr_slope(y, x), 6).alias("p0"), F.round(F.regr_intercept(y, x), 5).alias("p1"), F.count("*").alias("n"))

@@ -104,11 +104,12 @@ def _(t: Tables):
 
 @query(
     "verified_calibration_gate",
-    "SELECT s.sid FROM samples s WHERE s.tic > 0 AND EXISTS (SELECT 1 FROM peaks p WHERE p.sid = s.sid)",
-    "samples peaks",
+    """SELECT s.sid FROM samples s JOIN (SELECT sid FROM matches WHERE found AND collection_type = 'CALIBRANTS' AND abs(mz_error) <= 5 GROUP BY sid HAVING count(*) >= 5) c USING (sid) WHERE s.tic > 0""",
+    "samples matches",
 )
 def _(t: Tables):
-    return t.samples.where("tic > 0").select("sid").join(t.peaks.select("sid"), "sid", "left_semi")
+    enough = t.matches_of("collection_type = 'CALIBRANTS'").where("found AND abs(mz_error) <= 5").groupBy("sid").count().where("count >= 5")
+    return t.samples.where("tic > 0").select("sid").join(enough.select("sid"), "sid", "left_semi")
 
 
 @query("unevaluated_isotopes", "SELECT isotope_id FROM isotopes WHERE ion_id NOT IN (SELECT ion_id FROM gated WHERE score > 0)", "isotopes gated")

@@ -87,13 +87,16 @@ def _(t: Tables):
 
 @query(
     "average_centroids",
-    f"""WITH {BINS} SELECT sid, CAST(bin AS BIGINT) AS bin, round(sum(mz * intensity) / sum(intensity), 6) AS mz, round(sum(intensity), 4) AS intensity,
-    round(sum(snr * intensity) / sum(intensity), 6) AS snr, count(*) AS n_peaks FROM b GROUP BY sid, bin""",
+    f"""WITH {BINS}, n AS (SELECT sid, count(DISTINCT ts) AS scans FROM peaks GROUP BY sid) SELECT b.sid, CAST(bin AS BIGINT) AS bin, round(sum(mz * intensity) / sum(intensity), 8) AS mz, round(sum(intensity), 4) AS intensity,
+    round(sum(intensity) / any_value(scans), 8) AS per_scan, round(sum(snr * intensity) / sum(intensity), 6) AS snr, round(sum(1e3 * snr * intensity) / sum(intensity), 3) AS resolution, count(*) AS n_peaks
+    FROM b JOIN n USING (sid) GROUP BY b.sid, bin""",
     "peaks",
 )
 def _(t: Tables):
-    c = signal.bin_centroids(signal.gap_bin(t.peaks, ppm=20.0))
-    return c.select("sid", "bin", F.round("mz", 6).alias("mz"), F.round("intensity", 4).alias("intensity"), F.round("snr", 6).alias("snr"), "n_peaks")
+    c = signal.bin_centroids(signal.gap_bin(t.peaks.withColumn("resolution", 1000.0 * F.col("snr")), ppm=20.0), also=("resolution",))
+    n = t.peaks.groupBy("sid").agg(F.countDistinct("ts").alias("scans"))
+    per = F.round(F.col("intensity") / F.col("scans"), 8).alias("per_scan")
+    return c.join(n, "sid").select("sid", "bin", F.round("mz", 8).alias("mz"), F.round("intensity", 4).alias("intensity"), per, F.round("snr", 6).alias("snr"), F.round("resolution", 3).alias("resolution"), "n_peaks")
 
 
 @query("window_cluster")
@@ -148,12 +151,13 @@ def _(t: Tables):
 @query(
     "lock_mass_calibrate",
     """WITH f AS (SELECT sid, 2.3e2 / arg_max(mz, {'i': intensity, 'p': peak_id}) AS factor FROM peaks WHERE abs(mz - 2.3e2) <= 5 GROUP BY sid)
-    SELECT peak_id, round(mz * factor, 6) AS mz FROM peaks JOIN f USING (sid)""",
+    SELECT peak_id, round(mz * coalesce(factor, 1e0), 8) AS mz, factor IS NOT NULL AS locked FROM peaks LEFT JOIN f USING (sid)""",
     "peaks",
 )
 def _(t: Tables):
     f = t.peaks.where("abs(mz - 2.3e2) <= 5").groupBy("sid").agg((230.0 / F.max_by("mz", F.struct("intensity", "peak_id"))).alias("factor"))
-    return t.peaks.join(f, "sid").select("peak_id", F.round(F.col("mz") * F.col("factor"), 6).alias("mz"))
+    # peaks of a sample without a lock peak stay as they are and say so
+    return t.peaks.join(f, "sid", "left").select("peak_id", F.round(F.col("mz") * F.coalesce("factor", F.lit(1.0)), 8).alias("mz"), F.col("factor").isNotNull().alias("locked"))
 
 
 @query(
@@ -224,14 +228,14 @@ def _(t: Tables):
 
 @query(
     "smooth_signal",
-    """SELECT event_id, round((coalesce(lag(height) OVER w, height) + 2 * height + coalesce(lead(height) OVER w, height)) / 4, 6) AS smooth
-    FROM scans WINDOW w AS (PARTITION BY sid, ion ORDER BY ts, event_id)""",
+    """SELECT event_id, round((3 * height + coalesce(2 * lag(height) OVER w, 0) + coalesce(2 * lead(height) OVER w, 0) + coalesce(lag(height, 2) OVER w, 0) + coalesce(lead(height, 2) OVER w, 0))
+    / (3 + CASE WHEN lag(height) OVER w IS NULL THEN 0 ELSE 2 END + CASE WHEN lead(height) OVER w IS NULL THEN 0 ELSE 2 END + CASE WHEN lag(height, 2) OVER w IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(height, 2) OVER w IS NULL THEN 0 ELSE 1 END), 6) AS smooth
+    FROM scans WHERE height IS NOT NULL WINDOW w AS (PARTITION BY sid, ion ORDER BY ts, event_id)""",
     "scans",
 )
 def _(t: Tables):
-    w = W.partitionBy("sid", "ion").orderBy("ts", "event_id")
-    h = F.col("height")
-    return t.scans.select("event_id", F.round((F.coalesce(F.lag(h).over(w), h) + 2 * h + F.coalesce(F.lead(h).over(w), h)) / 4, 6).alias("smooth"))
+    rows = signal.smooth(t.scans.where("height IS NOT NULL"), "height", signal.kernel("triangle", 5), keys=("sid", "ion"), order=("ts", "event_id"))
+    return rows.select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query(
