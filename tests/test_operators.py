@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from peakforge.operators.matching import match_assign
@@ -128,3 +129,20 @@ def test_step_scores(spark, sf_dir):
             ends = sorted({0, cut, n} | ({-other[1]} if other else set()))
             want = 1 - sum(cost(v[a:b]) for a, b in zip(ends, ends[1:], strict=False)) / cost(v)
         assert got[key][0] == n and math.isclose(got[key][1], want, abs_tol=2e-6), key
+
+
+def test_robust_line(spark, sf_dir, small):
+    peaks, _ = small
+    got = {r["sid"]: (r["slope"], r["intercept"]) for r in QUERIES["resolution_fit_tof"](spark, sf_dir).collect()}
+    for sid in {p[0] for p in peaks if p[0] % 2}:
+        x = np.array([p[2] for p in peaks if p[0] == sid])
+        y = x / (1000.0 * np.array([float(p[4]) for p in peaks if p[0] == sid]))
+        a, b = np.polyfit(x, y, 1)
+        for _ in range(10):
+            r = y - (a * x + b)
+            s = 1.4826 * np.median(np.abs(r - np.median(r)))
+            w = np.where(np.abs(r) > 1.345 * s, 1.345 * s / np.maximum(np.abs(r), 1e-300), 1.0)
+            old, (a, b) = (a, b), np.polyfit(x, y, 1, w=np.sqrt(w))
+            if np.allclose(old, (a, b), rtol=1e-4, atol=1e-6):
+                break
+        assert got[sid] == pytest.approx((a, b), rel=1e-5, abs=2e-7)
