@@ -70,3 +70,38 @@ def test_predictions(spark):
     assert langid.identify(docs.limit(0)).count() == 0
     none = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    one = [(34, f"lorem ipsum {k}", "aa") for k in range(500)] + [(34, "dolor " * 400, "bb")] * 300
+    docs = spark.createDataFrame(one, "doc_id long, text string, lang string")
+    got = langid.sample(docs, 10, 50).collect()
+    assert sum(r["lang"] == "aa" for r in got) == 10 and sum(r["lang"] == "bb" for r in got) <= 10
+    assert max(len(r["text"]) for r in got) <= 50
+
+
+def test_names_that_the_model_uses(spark):
+    data = rows(60)
+    model = langid.train([t for _, t, _ in data], [x for *_, x in data], [i % 5 == 1 for i, *_ in data], buckets=4096)
+    docs = spark.createDataFrame([(1, "lorem ipsum", 5, 6), (2, "12", 5, 6)], "doc_id long, text string, rejected int, score int")
+    assert langid.predict(docs, model).columns == [*docs.columns, "lang_pred", "score_", "rejected_"]
+    kept = langid.confident(docs, model).collect()
+    assert [tuple(r) for r in kept] == [(1, "lorem ipsum", 5, 6)]
+
+
+def test_query_equals_word_by_word_sums(spark):
+    """The prediction of a whole text is that of the sums over its words, each scored alone."""
+    data = rows(200)
+    model = langid.train([t for _, t, _ in data], [x for *_, x in data], [i % 5 == 1 for i, *_ in data], buckets=4096)
+    texts = [t for _, t, _ in rows(30, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for k, text in enumerate(texts):
+        sums, n = np.zeros(len(model.langs)), 0
+        for word in langid.LETTERS.findall(text.lower()):
+            grams, whole = brute_rows(word, 4096, 4)
+            sums += sum(model.table[g] for g in grams) + model.table[whole]
+            n += len(grams) + 1
+        z = (sums / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k]["lang_pred"] == model.langs[int(p.argmax())] and abs(got[k]["score"] - p.max()) < 1e-6

@@ -75,3 +75,19 @@ def test_empty(spark):
     assert mixing.mix_plan(docs).count() == 0 == mixing.mix(docs).count()
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], docs.schema)
     assert sorted(r["taken"] for r in mixing.mix_plan(blank).collect()) == [0, 0] and mixing.mix(blank).count() == 0
+
+
+def test_names_that_the_plan_uses(spark):
+    rows = [(k, "w " * (k % 7 + 1), "ab"[k % 2], 1, 2, 3, "s") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, plan_place int, plan_copies int, plan_source int, shuffle string")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    taken = sum(r["taken"] for r in mixing.mix_plan(docs).collect())
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == taken and {r["plan_copies"] for r in mixed.collect()} == {2}
+
+
+def test_repeated_ids_are_no_peers(spark):
+    """Null and repeated ids with texts of their own are placed by the text, and taken one by one."""
+    docs = spark.createDataFrame([(None, f"t{k} w w", "a") for k in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix_plan(docs, share=0.5).collect()
+    assert len({r["shuffle"] for r in got}) == 300 and abs(sum(r["taken"] for r in got) - 450) <= 3

@@ -65,3 +65,50 @@ def test_filter_cases(spark):
     assert all(kept[i] for i in range(900))
     assert {i: kept[i] for i in range(1000, 1007)} == {1000: False, 1001: False, 1002: False, 1003: False, 1004: False, 1005: False, 1006: True}
     assert kept[None] and quality.adaptive_filter(docs.limit(0)).count() == 0
+
+
+def test_kept_equals_brute_force(spark):
+    """Blended sketches, fences and verdicts of the query in plain loops."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = [rng.choice(["alpha", "beta", "gamma", "x#", "yy|", "longerword"]) + str(rng.randrange(60)) for _ in range(rng.randint(5, 80))]
+        if rng.random() < 0.1:
+            words += ["###"] * rng.randint(1, 60)
+        text = " ".join(words) + ("\nsame line\nsame line" * rng.randint(0, 3))
+        rows.append((i, text, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "c", "c"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.adaptive_filter(docs).collect()}
+    seen = {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, rep = brute(text)
+        seen[i] = (n < 10 or 100 * rep > 20 * n, {"symbol_rate": symbols / max(n, 1), "dup_line_rate": dup / max(n, 1), "repeat_rate": rep / max(n, 1), "word_length": chars / max(n, 1)}, lang, source)
+    cell = lambda v: math.ceil(math.log(max(v, 1e-6)) / math.log(quality.GAMMA))
+    sketch = lambda keep, m: Counter(cell(v[m]) for bad, v, lang, source in seen.values() if not bad and keep(lang, source))
+
+    def blend(own, wide):
+        total, out = sum(wide.values()), Counter({b: n * 1000 for b, n in own.items()})
+        for b, n in wide.items():
+            out[b] += math.floor(n * 200 * 1000 / total + 0.5)
+        return out
+
+    def quantile(c, q):
+        total, run = sum(c.values()), 0
+        for b in sorted(c):
+            run += c[b]
+            if run > q * (total - 1):
+                return quality.GAMMA**b * (2 / (1 + quality.GAMMA))
+
+    for i, (bad, values, lang, source) in seen.items():
+        ok = not bad
+        for m, v in values.items():
+            by_lang = blend(sketch(lambda x, _: x == lang, m), sketch(lambda *_: True, m))
+            c = blend(sketch(lambda x, y: (x, y) == (lang, source), m), by_lang)
+            q1, q3 = quantile(c, 0.25), quantile(c, 0.75)
+            reach = 4.0 * (q3 - q1) + (1.0 if m == "word_length" else 0.02)
+            ok &= v <= q3 + reach and (m != "word_length" or v >= q1 - reach)
+        assert got[i] == (bad, ok), i
+    assert 0 < sum(k for _, k in got.values()) < sum(not b for b, _ in got.values())

@@ -79,3 +79,33 @@ def test_learns_a_marked_word(spark):
     assert by[1000]["score"] == by[1001]["score"] < 0.3 and by[1002]["predicted"] == 1
     assert tox.rate(docs.limit(0), lab).count() == 0
     assert {r["predicted"] for r in tox.rate(docs, lab.limit(0)).collect()} == {0}
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(400)] + [(k, "x" * (k * 10)) for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), *((k, k % 2) for k in range(2, 60))], "doc_id long, toxic int")
+    got, total = tox.sample(docs, labels, 7, 12, 300)
+    found = got.collect()
+    assert sum(r["toxic"] for r in found) <= 7 and sum(1 - r["toxic"] for r in found) <= 12 and max(len(r["text"]) for r in found) <= 300
+    assert total[1] > 7 and total[0] > 12
+
+
+def test_query_equals_window_by_window_scores(spark):
+    """The score of a whole text is the logistic function of its best window, each run through the network alone, in plain loops."""
+    net = tox.Net(buckets=256, seed=3).start()
+    net.scale = (-1.0, 0.7, 0.2)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "cde", "fg,", "Hi", "zz9"]) for _ in range(n)) for n in (1, 5, 16, 17, 40, 90)]
+    got = {r["doc_id"]: r["score"] for r in tox.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for k, text in enumerate(texts):
+        chunks, best, n = text.split(), -1e9, 0
+        starts = [0, *range(tox.STEP, max(1, len(chunks) - tox.SPAN + tox.STEP), tox.STEP)]
+        for s in starts:
+            part = chunks[s : s + tox.SPAN]
+            words = [tox.NOT_LETTERS.sub("", c.lower()) for c in part]
+            at = np.array([[*range(len(words)), *[-1] * (tox.SPAN - len(words))]])
+            proj = np.concatenate([net.project(net.inputs(*subwords(words, net.buckets, tox.GRAMS))), net.pad_row()[None]])
+            x, h = proj[at.T], 3 * net.hidden
+            best, n = max(best, float(net.logits(x[:, :, :h], x[:, :, h:], at.T < 0)[0])), n + 1
+        want = tox.sigmoid(net.scale[0] + net.scale[1] * best + net.scale[2] * np.log(n))
+        assert abs(got[k] - want) < 1e-4, (k, got[k], want)
