@@ -8,7 +8,7 @@ from ``MISS``, the share of pairs at the wanted similarity that no choice may fi
 a subtrie links is only a candidate: it is compared on the whole sets of shingles, and only pairs that reach the similarity
 are linked.
 
-A bucket, the nodes that one subtrie links, is settled in two rounds. First all its nodes are compared with its smallest one. Where
+A bucket, the nodes that one subtrie links, is settled in two rounds. First all its nodes are compared with its most central one. Where
 that leaves more than one component, the nodes outside the bucket's largest component are compared with all nodes of other
 components; so every pair of a bucket is compared or already linked, and a group of near copies costs its size, not its
 square. Buckets of the same nodes, from several choices, are settled once.
@@ -89,7 +89,11 @@ def sketched(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, similarity: float, max_subtrie: int = 200_000) -> DataFrame:
-    """(key, node, lead): the nodes that a subtrie links, each set of them once; lead is the smallest of them."""
+    """(key, node, lead): the nodes that a subtrie links, each set of them once.
+
+    The lead is the node nearest to the majority of all bits: of copies with edits of their own, the least edited one, to which most of the
+    others are similar enough.
+    """
     above, budget, most, choices = tables_for(nodes.count(), similarity)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +113,21 @@ def buckets(nodes: DataFrame, similarity: float, max_subtrie: int = 200_000) ->
         node = x["node"].to_numpy()
         at = np.concatenate([np.unique(a), b])
         of = np.concatenate([np.unique(a), a])  # every member with its component
-        lead, key_ = np.full(len(node), np.iinfo(np.int64).max), np.zeros(len(node), np.uint64)
-        np.minimum.at(lead, of, node[at])
-        np.add.at(key_, of, mixed(node[at].view(np.uint64)))
-        yield pd.DataFrame({"key": key_[of].view(np.int64), "node": node[at], "lead": lead[of]})
+        order = np.argsort(of, kind="stable")
+        at, of = at[order], of[order]
+        if not len(at):
+            return
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        size = np.diff(np.append(first, len(at)))
+        comp = np.repeat(np.arange(len(first)), size)
+        prints = np.column_stack([p[at], rest[at]])
+        bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8).reshape(len(at), -1), axis=1)
+        middle = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > size[:, None], axis=1).view(">u8").astype(np.uint64)
+        far = np.bitwise_count(prints ^ middle[comp]).sum(1)
+        best = np.lexsort((node[at], far, comp))[first]
+        with np.errstate(over="ignore"):
+            key_ = np.add.reduceat(mixed(node[at].view(np.uint64)), first)
+        yield pd.DataFrame({"key": key_[comp].view(np.int64), "node": node[at], "lead": node[at][best][comp]})
 
     keyed = nodes.mapInArrow(key, "t int, root long, p long, rest long, node long")
     return in_subtries(keyed, solve, "key long, node long, lead long", max_subtrie).distinct()
