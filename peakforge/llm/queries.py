@@ -164,6 +164,83 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: The 256 entries of the crc32 table, each from eight halvings with the polynomial.
+CRC_SQL = """crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes; needs the table of CRC_SQL."""
+    raw = f"hex(encode({text}))"
+    seen = f"list_transform(range(1, len({raw}), 2), lambda i: CAST('0x' || {raw}[i : i + 1] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {seen}), lambda c, y: xor(c // 256, crc[CAST(xor(c % 256, y) + 1 AS INT)])), 4294967295)"
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def _op13_sql() -> str:
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def then(state: str, cost: object, edit: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda q: q IS NOT NULL))"
+
+    def row(initial: str, name: str, *states: str) -> list[str]:
+        kept = [f"CASE WHEN stays AND initial = '{initial}' THEN {then(s, 'extra', 'K', 'chr(10) || role || chr(58) || text')} END" for s in states]
+        given = [f"CASE WHEN stays THEN {then(s, '2 + extra', 'R', f"chr(10) || '{name}:' || text")} END" for s in states if name]
+        return kept + given
+
+    def insert(name: str, *states: str) -> list[str]:
+        return [then(s, 2, "I", f"chr(10) || '{name}:'") for s in states]
+
+    return f"""
+WITH RECURSIVE {CRC_SQL},
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o),
+r AS (
+  SELECT conv_id, turn, role, text, role[1] AS initial, rtrim(text, {space}) AS said, row_number() OVER c AS i, lag(role[1]) OVER c AS before
+  FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM r),
+g AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN said[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra
+  FROM h),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id),
+p(conv_id, i, q0, q1, q2, q3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': ''}}, CAST(NULL AS STRUCT(c INT, a VARCHAR, t VARCHAR)), {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}},
+    {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}
+  FROM n
+  UNION ALL
+  SELECT conv_id, i, m0, m1, k2, {least("m3", *insert("assistant", "k2"))} FROM (
+    SELECT conv_id, i, m0, m1, m3, {least("m2", *insert("user", "m0", "m1", "m3"))} AS k2 FROM (
+      SELECT p.conv_id, g.i, {then("q0", 3, "D")} AS m0, {least(then("q1", 3, "D"), *row("s", "", "q0"))} AS m1,
+        {least(then("q2", 3, "D"), *row("u", "user", "q0", "q1", "q3"))} AS m2, {least(then("q3", 3, "D"), *row("a", "assistant", "q2"))} AS m3
+      FROM p JOIN g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = p.i + 1))),
+e AS (SELECT n.*, {least("q0", "q3")} AS q FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.i = n.n)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(q.c, 0)::BIGINT AS cost, coalesce(q.a, '') AS audit,
+  sha256(substr(coalesce(q.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -175,5 +252,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_ids": op10_token_ids,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql()}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql(), "op13_conversation_repair": _op13_sql()}
