@@ -177,6 +177,37 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {seen}), lambda c, y: xor(c // 256, crc[CAST(xor(c % 256, y) + 1 AS INT)])), 4294967295)"
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    return f"""
+WITH RECURSIVE {CRC_SQL},
+o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k FROM o GROUP BY ALL),
+h AS (SELECT run, k, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM c, crc),
+d AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+g AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM g),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word
+  UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word),
+f AS (SELECT word, count(*) AS n_near, min({{'minus': -m, 'near': near}}) AS best FROM p GROUP BY word),
+t AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus >= 5 * w.n THEN best.near END AS form, CASE WHEN -best.minus >= 5 * w.n THEN -best.minus END AS form_n
+  FROM w LEFT JOIN f USING (word)),
+r(word, here, form) AS (
+  SELECT word, word, form FROM t UNION ALL SELECT r.word, t.word, t.form FROM r JOIN t ON r.form = t.word)
+SELECT t.word, t.form, r.here AS root, t.n, t.n_near, t.form_n FROM t JOIN r ON t.word = r.word AND r.form IS NULL
+"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.repair import repair
 
@@ -252,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_ids": op10_token_ids,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql(), "op13_conversation_repair": _op13_sql()}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op7_licenses": _op7_sql(), "op12_spelling_variants": _op12_sql(), "op13_conversation_repair": _op13_sql()}
