@@ -177,6 +177,12 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {seen}), lambda c, y: xor(c // 256, crc[CAST(xor(c % 256, y) + 1 AS INT)])), 4294967295)"
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from peakforge.llm.contextmix import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from peakforge.llm.spelling import group_variants
 
@@ -283,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_ids": op10_token_ids,
+    "op11_lm_score": op11_lm_score,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
