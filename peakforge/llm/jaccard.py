@@ -9,9 +9,11 @@ a subtrie links is only a candidate: it is compared on the whole sets of shingle
 are linked.
 
 A bucket, the nodes that one subtrie links, is settled in two rounds. First all its nodes are compared with its most central one. Where
-that leaves more than one component, the nodes outside the bucket's largest component are compared with all nodes of other
-components; so every pair of a bucket is compared or already linked, and a group of near copies costs its size, not its
-square. Buckets of the same nodes, from several choices, are settled once.
+that leaves more than one component, the nodes outside the bucket's largest component go through an exact set-similarity join with all nodes of such
+buckets: shingles stand from the rarest to the most frequent, and two sets that reach the similarity share one of their first
+n - ceil(similarity * n) + 1, within bounds of length and position. A copy too far from the most central one has that many
+shingles of its own, which no other copy shares, so a group of near copies costs its size and not its square; what two such copies share by an edit in
+common is found. Buckets of the same nodes, from several choices, are settled once.
 
 Defined cases: null texts and texts without words are one group; shorter texts are one shingle; null ids come last; repeated
 ids and rows count as documents; an empty table gives no rows; other columns are kept, whatever their names.
@@ -172,14 +174,34 @@ def links(tagged: DataFrame, *, width: int, similarity: float) -> DataFrame:
     member = components(edges)
     rooted = bucket.join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n")).where("n > 1")
-    open_ = written(rooted.join(sizes.select("key", "main"), "key"), "near-open")
-    stray = open_.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    second = stray.join(open_.select("key", "node", "root"), "key").where("rx <> root")
-    second = second.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(verified(second, sets, similarity), "near-links-2")
+    open_ = rooted.join(sizes.select("key", "main"), "key").groupBy("node", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("stray"))
+    more = written(verified(prefix_pairs(written(open_, "near-open"), sets, similarity), sets, similarity), "near-links-2")
     return member if more.isEmpty() else components(edges.union(more))
 
 
+def prefix_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a stray and a node of another root, of ``open_`` (node, root, stray), whose sets may reach the similarity.
+
+    Rare shingles first; the first shingle that two sets share stands at places after which both have room for the rest of what they have to share.
+    That bounds the size of the partner from above for each place, so shingles are joined together with a class of sizes.
+    """
+    share = similarity / (1 + similarity)  # of both sizes together
+    size_class = lambda n: F.floor(F.ln(n) / math.log(1.02)).cast("int")
+    words = open_.join(sets, "node").select("node", "root", "stray", F.size("words").alias("n"), F.explode("words").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("often")).where("often > 1")
+    line = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "word")))  # the shingles of one text
+    ordered = words.join(often, "word", "left").groupBy("node", "root", "stray", "n").agg(line.alias("line"))
+    long_ = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    prefix = ordered.select("node", "root", "stray", "n", F.posexplode(F.slice("line", 1, long_)).alias("at", "w")).where("w.often > 1").select("node", "root", "stray", "n", "at", "w.word")
+    prefix = written(prefix.withColumn("most", (F.col("n") - F.col("at")) / share - F.col("n") + 1e-6), "near-prefixes")  # the largest partner whose first shared shingle this can be
+    least = F.col("n") * similarity - 1e-6
+    a = prefix.where(F.col("stray") & (F.col("most") >= least)).withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.least(F.col("most"), F.col("n") / similarity + 1e-6)))))
+    a = a.select("word", "class", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "most")))
+    b = prefix.select("word", size_class(F.col("n")).alias("class"), *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "most")))
+    may = (F.col("root_a") != F.col("root_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    return a.join(b, ["word", "class"]).where(may).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but one document of each group that links of at least ``similarity`` connect.
 

@@ -94,3 +94,34 @@ def test_hot_subtries_are_dealt_in_parts(spark):
     parts = jaccard.buckets(nodes, 0.8, max_subtrie=40)
     member = jaccard.components(parts.select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b"))
     assert max(r["count"] for r in member.groupBy("root").count().collect()) >= 290
+
+
+def edited_copies(n, seed):
+    """One text in n copies with edits of their own, up to and beyond the similarity to the least edited one."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(n):
+        own = words[:]
+        for _ in range(rng.randrange(0, 11)):
+            own[rng.randrange(200)] = f"x{rng.randrange(40)}" if rng.random() < 0.2 else f"y{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_one_large_group_of_edited_copies(spark, monkeypatch):
+    """Pairs that are compared grow with the group, not with its square, and what is kept is what brute force keeps."""
+    made = []
+    whole = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets, similarity: made.append(pairs.count()) or whole(pairs, sets, similarity))
+    counts = {}
+    for n in (300, 600, 1200):
+        made.clear()
+        rows = edited_copies(n, 7)
+        kept = sorted(r["doc_id"] for r in jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        counts[n] = list(made)
+        if n == 300:
+            want = brute(rows)
+            assert set(want) <= set(kept) and len(kept) - len(want) <= 0.02 * (n - len(want))
+    assert sum(counts[600]) < 0.1 * 600 * 599 / 2 and sum(counts[1200]) <= 3 * sum(counts[600]), counts
+    print("pairs compared by size of the group", counts)
