@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from peakforge.llm.common import crc_mod, free_name, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that \w holds beside decimal digits (superscripts, fractions, Roman and other letter-like numbers): they are no letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UND = "und"
 
 

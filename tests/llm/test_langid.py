@@ -105,3 +105,12 @@ def test_query_equals_word_by_word_sums(spark):
         z = (sums / n + model.bias) / model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert got[k]["lang_pred"] == model.langs[int(p.argmax())] and abs(got[k]["score"] - p.max()) < 1e-6
+
+
+def test_numerals_are_no_letters(spark):
+    assert all(bool(langid.LETTERS.fullmatch(c)) == c.isalpha() for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000)
+    data = rows(60)
+    model = langid.train([t for _, t, _ in data], [x for *_, x in data], [i % 5 == 1 for i, *_ in data], buckets=4096)
+    docs = spark.createDataFrame([(1, "² ½"), (2, "Ⅷ ① 12"), (3, "½ lorem ipsum")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"] == "und", r["score"]) for r in langid.predict(docs, model).collect()}
+    assert got[1] == got[2] == (True, 0.0) and not got[3][0]

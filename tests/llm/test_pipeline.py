@@ -32,7 +32,7 @@ def test_all_but_the_last_keep_the_columns(stages, spark, sf_dir):
 def test_language_keeps_clean_documents(stages):
     before, after = stages[0]
     assert set(after["doc_id"]) <= set(before["doc_id"]) and len(after) >= 0.97 * len(before)
-    assert all(re.search(r"[^\W\d_]", t or "") for t in after["text"])
+    assert all(any(c.isalpha() for c in t or "") for t in after["text"])
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
