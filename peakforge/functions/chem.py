@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 MASSES = {"C": 12.0, "H": 1.00782503223, "N": 14.00307400443, "O": 15.99491461957, "S": 31.9720711744, "P": 30.97376199842, "Cl": 34.968852682, "Br": 78.9183376, "F": 18.99840316273, "Si": 27.97692653465, "I": 126.9044719, "Na": 22.989769282}
 #: fixed electron mass in the same units
 ELECTRON = 0.000548579909065
-#: fixed natural shares of heavy isotopes and their mass steps
-HEAVY = {"C": (0.0107, 1.0033548378), "O": (0.00205, 2.0042450)}
 ELEMENT = r"([A-Z][a-z]?)([0-9]*)"
 
 
@@ -60,10 +58,3 @@ def tof_to_mass(mode: Column, tof: Column, p: list[Column]) -> Column:
         .when(mode == 5, p[0] * tof * tof + p[1] * tof + p[2])
     )
 
-
-def isotopologue_share(n: Column, k: int, share: float) -> Column:
-    """Probability that ``k`` of ``n`` atoms are the heavy isotope of natural ``share``."""
-    ways = F.lit(1.0)
-    for i in range(k):
-        ways = ways * (n - i) / (i + 1)
-    return F.when(n >= k, ways * F.pow(F.lit(share), k) * F.pow(F.lit(1 - share), n - k)).otherwise(0.0)

@@ -182,24 +182,6 @@ def _(t: Tables):
     return graph.components(pairs.select("a", "b"))
 
 
-@query(
-    "expand_isotopologues",
-    """WITH f AS (SELECT formula, CAST(regexp_extract(formula, 'C([0-9]+)', 1) AS INT) AS c, CAST(regexp_extract(formula, 'O([0-9]+)', 1) AS INT) AS o FROM (SELECT DISTINCT formula FROM isotopes)),
-    x AS (SELECT formula, k, j, CASE WHEN c >= k THEN (CASE k WHEN 0 THEN 1e0 WHEN 1 THEN c ELSE c * (c - 1) / 2e0 END) * pow(0.0107e0, k) * pow(1e0 - 0.0107e0, c - k) ELSE 0e0 END
-    * CASE WHEN o >= j THEN (CASE j WHEN 0 THEN 1e0 ELSE o END) * pow(0.00205e0, j) * pow(1e0 - 0.00205e0, o - j) ELSE 0e0 END AS p FROM f, (VALUES (0), (1), (2)) kk(k), (VALUES (0), (1)) jj(j))
-    SELECT formula, k, j, round(k * 1.0033548378e0 + j * 2.0042450e0, 6) AS shift, round(p, 9) AS abundance FROM x WHERE p >= 1e-5""",
-    "isotopes",
-)
-def _(t: Tables):
-    f = t.isotopes.select("formula").distinct().withColumn("n", chem.element_counts(F.col("formula")))
-    f = f.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
-    (pc, dc), (po, do) = chem.HEAVY["C"], chem.HEAVY["O"]
-    c = F.when(F.col("k") == 0, chem.isotopologue_share(F.col("n")["C"], 0, pc)).when(F.col("k") == 1, chem.isotopologue_share(F.col("n")["C"], 1, pc)).otherwise(chem.isotopologue_share(F.col("n")["C"], 2, pc))
-    o = F.when(F.col("j") == 0, chem.isotopologue_share(F.col("n")["O"], 0, po)).otherwise(chem.isotopologue_share(F.col("n")["O"], 1, po))
-    rows = f.withColumn("p", c * o).where("p >= 1e-5")
-    return rows.select("formula", "k", "j", F.round(F.col("k") * dc + F.col("j") * do, 6).alias("shift"), F.round("p", 9).alias("abundance"))
-
-
 @query("match_score_term", "SELECT sid, isotope_id, round((1e0 - least(1e0, abs(abundance_error))) * greatest(0e0, 1e0 - abs(mz_error) / 1e2), 6) AS term FROM matches", "matches")
 def _(t: Tables):
     return t.matches.select("sid", "isotope_id", F.round(matching.score_term(F.col("abundance_error"), F.col("mz_error")), 6).alias("term"))
