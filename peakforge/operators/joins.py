@@ -28,7 +28,7 @@ def range_join(
     p = points.withColumn("_bucket", bucket(F.col(point))).withColumnRenamed(point, "_point")
     if salts > 1:
         keys.append("_salt")
-        p = p.withColumn("_salt", F.pmod(F.xxhash64(*p.columns), F.lit(salts)))
+        p = p.withColumn("_salt", F.pmod(F.xxhash64(*(f.name for f in p.schema if "map<" not in f.dataType.simpleString())), F.lit(salts)))
         t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     exact = F.col("_point").between(F.col("_low"), F.col("_high"))
     if how == "left_semi":

@@ -177,38 +177,3 @@ def _(t: Tables):
     )
     key = F.trim(F.regexp_replace(F.trim(raw), "(?i)^inchikey=", ""))
     return t.raw("part").select(F.col("p_partkey").alias("id"), F.when((F.length(key) > 0) & (F.length(key) <= 27), key).alias("inchikey"))
-
-
-@query(
-    "enumerate_compositions",
-    """WITH t AS (SELECT DISTINCT ion_id, mz, mechanism, mz + CASE WHEN mechanism % 2 = 0 THEN -1 ELSE 1 END * 1.00782503223e0 + CASE WHEN mechanism % 2 = 0 THEN 1 ELSE -1 END * 0.000548579909065e0 AS m FROM isotopes WHERE k = 0),
-    x AS (SELECT ion_id, mz, m, n, o, m - 14.00307400443e0 * n - 15.99491461957e0 * o AS rest FROM t, range(0, 5) nn(n), range(0, 31) oo(o)),
-    y AS (SELECT ion_id, mz, m, n, o, c, CAST(round((rest - 12e0 * c) / 1.00782503223e0) AS BIGINT) AS h FROM x, range(0, 101) cc(c) WHERE rest >= 12e0 * c AND rest - 12e0 * c <= 1.00782503223e0 * (2 * c + n + 2.5e0))
-    SELECT ion_id, c, h, n, o FROM y WHERE h BETWEEN 0 AND 2 * c + n + 2 AND abs(14.00307400443e0 * n + 15.99491461957e0 * o + 12e0 * c + 1.00782503223e0 * h - m) <= mz * 5e0 * 1e-6""",
-    "isotopes",
-)
-def _(t: Tables):
-    return compositions(t).select("ion_id", "c", "h", "n", "o")
-
-
-def compositions(t: Tables, *, ppm: float = 5.0, most: dict[str, int] | None = None):
-    """Every C, H, N, O composition within ``ppm`` of the neutral mass of each target ion; ``most`` bounds the counts.
-
-    Nested ranges follow from the mass: what N and O leave bounds C from above, and from below as no more than
-    2C + N + 2 hydrogens can make up the rest; the rest is hydrogen. So the rows made grow with what fits, not with the box.
-    """
-    most = most or {"C": 100, "N": 4, "O": 30}
-    m = chem.MASSES
-    up = F.col("mechanism") % 2 == 0  # a proton added, else one taken
-    mass = F.col("mz") + F.when(up, -1).otherwise(1) * m["H"] + F.when(up, 1).otherwise(-1) * chem.ELECTRON
-    span = lambda low, high: F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
-    rows = t.isotopes.where("k = 0").select("ion_id", "mz", "mechanism").distinct().withColumn("mass", mass)
-    rows = rows.withColumn("n", F.explode(span(F.lit(0), F.least(F.lit(most["N"]), F.floor(F.col("mass") / m["N"])))))
-    rows = rows.withColumn("o", F.explode(span(F.lit(0), F.least(F.lit(most["O"]), F.floor((F.col("mass") - m["N"] * F.col("n")) / m["O"])))))
-    rest = F.col("mass") - m["N"] * F.col("n") - m["O"] * F.col("o")
-    low = F.greatest(F.lit(0), F.ceil((rest - m["H"] * (F.col("n") + 2.5)) / (12 + 2 * m["H"])))
-    rows = rows.withColumn("c", F.explode(span(low, F.least(F.lit(most["C"]), F.floor(rest / 12)))))
-    rows = rows.withColumn("h", F.round((F.col("mass") - m["N"] * F.col("n") - m["O"] * F.col("o") - 12.0 * F.col("c")) / m["H"]).cast("long"))
-    off = m["N"] * F.col("n") + m["O"] * F.col("o") + 12.0 * F.col("c") + m["H"] * F.col("h") - F.col("mass")
-    fits = rows.where((F.col("h") >= 0) & (F.col("h") <= 2 * F.col("c") + F.col("n") + 2) & (F.abs(off) <= F.col("mz") * ppm * 1e-6))
-    return fits.select("ion_id", *(F.col(x).cast("long").alias(x) for x in "chno"), (off / F.col("mz") * 1e6).alias("ppm"))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peakforge.functions import chem, formula
+from peakforge.functions import chem
 from peakforge.operators import signal
 from peakforge.operators.isotopes import HEAVY_SLOTS, ISOTOPES, ionized, isotopologues
 from peakforge.plans.registry import query
-from peakforge.sources.fixtures import Tables
+from peakforge.sources.fixtures import MECHANISMS, Tables
 
 #: formulas with every element of several isotopes, derived from parts; one definition for both engines
 MIXED = {"C": "1 + p_partkey % 37", "H": "2 + p_partkey % 61", "N": "p_size % 4", "O": "1 + p_size % 6", "S": "p_partkey % 3", "Cl": "p_size % 3", "Br": "p_partkey % 2", "Si": "p_size % 2"}
-#: fixed mechanisms of ionization whose ions the references are compared with: notation, what is added or taken, charge
-MECHANISMS = [("+H+", "H", 1), ("-H+", "H", -1), ("+Na+", "Na", 1), ("+NH4+", "NH4", 1), ("+Cl-", "Cl", -1), ("+Br-", "Br", -1)]
 HIGH, SEARCH = 1e-5, 1e-2
 
 
@@ -57,18 +54,10 @@ def _(t: Tables):
     return rows.select("id", "label", F.round("shift", 6).alias("shift"), F.round("abundance", 9).alias("abundance"))
 
 
-def mechanisms(t: Tables):
-    """(mechanism, addition, added, charge) of the listed notations, read by the parser of notations."""
-    rows = t.spark.createDataFrame([(m,) for m, _, _ in MECHANISMS], "mechanism string")
-    parts = formula.ionization(F.col("mechanism"))
-    charge = F.when(parts["addition"], parts["charge"]).otherwise(-parts["charge"])
-    return rows.select("mechanism", parts["addition"].alias("addition"), chem.element_counts(parts["body"]).alias("added"), charge.alias("charge"))
-
-
 def known_isotopes(t: Tables):
     """(formula, mechanism, label, mz, share) of the library's formulas as ions of each mechanism, isotopes above 1 % of the strongest."""
     f = t.isotopes.select("formula").distinct().withColumn("counts", chem.element_counts(F.col("formula")))
-    ions = ionized(f, mechanisms(t)).withColumn("mass", (chem.monoisotopic_mass(F.col("counts")) - F.col("charge") * chem.ELECTRON) / F.abs("charge"))
+    ions = ionized(f, t.mechanisms).withColumn("mass", (chem.monoisotopic_mass(F.col("counts")) - F.col("charge") * chem.ELECTRON) / F.abs("charge"))
     rows = isotopologues(ions, floor=SEARCH)
     return rows.select("formula", "mechanism", "label", (F.col("mass") + F.col("shift") / F.abs("charge")).alias("mz"), F.col("relative").alias("share"))
 

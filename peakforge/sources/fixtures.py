@@ -21,6 +21,9 @@ PEAK_ID = (
 PARENT_MZ = "(1e2 + (l_orderkey % 40) * 11.25e0) * (1e0 + (l_orderkey % 5 - 2) * 1e-6)"
 FORMULA = "concat('C', CAST(1 + p_size % 20 AS STRING), 'H', CAST(2 + p_size % 30 AS STRING), 'O', CAST(1 + p_partkey % 6 AS STRING))"
 
+#: fixed mechanisms of ionization whose ions the references are compared with: notation, what is added or taken, charge
+MECHANISMS = [("+H+", "H", 1), ("-H+", "H", -1), ("+Na+", "Na", 1), ("+NH4+", "NH4", 1), ("+Cl-", "Cl", -1), ("+Br-", "Br", -1)]
+
 
 class Tables:
     """The driver's tables and the spectra tables on them, each made when first asked for."""
@@ -80,6 +83,16 @@ class Tables:
             "l_extendedprice AS intensity", "l_quantity AS snr", "l_shipdate AS ts",
         )
 
+    @cached_property
+    def mechanisms(self) -> DataFrame:
+        """(mechanism, addition, added, charge) of the listed notations, read by the parser of notations."""
+        from peakforge.functions import chem, formula
+
+        rows = self.spark.createDataFrame([(m,) for m, _, _ in MECHANISMS], "mechanism string")
+        parts = formula.ionization(F.col("mechanism"))
+        charge = F.when(parts["addition"], parts["charge"]).otherwise(-parts["charge"])
+        return rows.select("mechanism", parts["addition"].alias("addition"), chem.element_counts(parts["body"]).alias("added"), charge.alias("charge"))
+
     @cached_property
     def nearest(self) -> DataFrame:
         from peakforge.operators.joins import nearest_peak
