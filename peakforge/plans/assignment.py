@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakforge.functions import chem
-from peakforge.operators import graph, joins, matching, rollup, signal
+from peakforge.operators import graph, greedy, joins, matching, rollup, signal
 from peakforge.plans.matching import FIT
 from peakforge.plans.registry import query
 from peakforge.sources.fixtures import Tables
@@ -182,6 +182,14 @@ def _(t: Tables):
     return graph.components(pairs.select("a", "b"))
 
 
+@query("composition_assign_greedy")
+def _(t: Tables):
+    """Peaks of a sample assigned in the order of a scan, isotopes claimed on the way; a loop checks it on a small fixture."""
+    bases = t.isotopes.where("k = 0").select("ion_id", F.col("mz").alias("target_mz"))
+    candidates = greedy.candidate_ions(t.peaks, bases, t.ions, ppm=10.0)
+    return greedy.composition_assign_greedy(t.peaks, candidates, t.gated.where("found")).select("sid", "peak_id", "ion_id", "isotope_id", r("score"), "n_candidates")
+
+
 @query("match_score_term", "SELECT sid, isotope_id, round((1e0 - least(1e0, abs(abundance_error))) * greatest(0e0, 1e0 - abs(mz_error) / 1e2), 6) AS term FROM matches", "matches")
 def _(t: Tables):
     return t.matches.select("sid", "isotope_id", F.round(matching.score_term(F.col("abundance_error"), F.col("mz_error")), 6).alias("term"))

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -74,6 +76,68 @@ def run_appends(stream: DataFrame, schema: str, make: Callable[[DataFrame, DataF
     return table(spark).drop("batch")
 
 
+class Ingest:
+    """Files of a folder taken into a table, each by itself: one that cannot be read is put aside with its error and tried again by a later run.
+
+    The stream is one of file names, at most ``per_batch`` in a batch; rows are read by Spark. A batch's files are read together; if that fails they are
+    halved until the bad ones stand alone, so the others of the batch are not lost and a clean batch is one job. What is read goes to a new folder, and
+    the log of the batch, written last, names it: rows count only once the log says so, and a batch that is run again is logged again as a whole.
+    ``run`` first tries the files put aside, up to ``most`` times each.
+    """
+
+    LOG = "path string, status string, error string, piece string, attempt int, run string"
+
+    def __init__(self, spark: SparkSession, folder: str, pattern: str, schema: str, base: str | None = None, *, per_batch: int = 200, most: int = 3) -> None:
+        self.spark, self.folder, self.pattern, self.schema, self.per_batch, self.most = spark, folder, pattern, schema, per_batch, most
+        self.base = base or f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex[:12]}"
+        spark.createDataFrame([], self.LOG).write.mode("ignore").parquet(f"{self.base}/log/batch=none")
+
+    def log(self) -> DataFrame:
+        """(path, status, error, piece, attempt, run) of every file and attempt."""
+        return self.spark.read.schema(f"{self.LOG}, batch string").option("basePath", f"{self.base}/log").parquet(f"{self.base}/log")
+
+    def quarantine(self) -> DataFrame:
+        """(path, error, attempt) of the files whose last attempt failed."""
+        last = self.log().groupBy("path").agg(F.max_by(F.struct("status", "error", "attempt"), "attempt").alias("l")).select("path", "l.*")
+        return last.where("status = 'failed'").select("path", "error", "attempt")
+
+    def rows(self) -> DataFrame:
+        """What has been taken in."""
+        pieces = [r["piece"] for r in self.log().where("status = 'read'").select("piece").distinct().collect()]  # a name for each batch, or each part of one with bad files
+        return self.spark.read.schema(self.schema).parquet(*pieces) if pieces else self.spark.createDataFrame([], self.schema)
+
+    def take(self, paths: list[str]) -> list[tuple[str, str, str | None, str | None]]:
+        """(path, status, error, piece) for each of ``paths``."""
+        if not paths:
+            return []
+        piece = f"{self.base}/rows/{uuid.uuid4().hex}"
+        try:
+            self.spark.read.schema(self.schema).option("ignoreCorruptFiles", "false").parquet(*paths).write.parquet(piece)
+        except (PySparkException, Py4JJavaError) as error:  # a task found a file that cannot be read, or it is gone
+            if len(paths) == 1:
+                return [(paths[0], "failed", str(error)[:2000], None)]
+            half = len(paths) // 2
+            return self.take(paths[:half]) + self.take(paths[half:])
+        return [(p, "read", None, piece) for p in paths]
+
+    def logged(self, taken: list[tuple], attempts: dict[str, int], batch: str) -> None:
+        rows = [(*t, attempts.get(t[0], 0) + 1, batch) for t in taken]
+        self.spark.createDataFrame(rows, self.LOG).write.mode("overwrite").parquet(f"{self.base}/log/batch={batch}")
+
+    def run(self) -> None:
+        """Try what was put aside, then take in the files that are new."""
+        again = {r["path"]: r["attempt"] for r in self.quarantine().where(F.col("attempt") < self.most).collect()}
+        if again:
+            self.logged(self.take(sorted(again)), again, f"again-{uuid.uuid4().hex}")
+        names = "path string, modificationTime timestamp, length bigint, content binary"
+        files = self.spark.readStream.format("binaryFile").schema(names).option("pathGlobFilter", self.pattern).option("maxFilesPerTrigger", self.per_batch).load(self.folder).select("path")
+
+        def step(batch: DataFrame, number: int) -> None:
+            self.logged(self.take(sorted(r["path"] for r in batch.collect())), {}, f"new-{number}")  # at most per_batch names
+
+        files.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def retries(rows: DataFrame, *, limit: float = 20.0, most: int = 3) -> DataFrame:
     """(user_id, failures, status, last_at) of each user whose attempts a batch adds to: ``failed`` for good after ``most`` failures in a row.
 
