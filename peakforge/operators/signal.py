@@ -7,10 +7,12 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from peakforge.operators import scan
+
 
 def sum_spectrum(signal: DataFrame, *, scans: bool = False) -> DataFrame:
     """Total intensity per (sid, mz), or its mean over the sample's ``n`` scans beside the total."""
@@ -29,6 +31,14 @@ def gap_bin(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) -
     return rows.withColumn("bin", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
+def gap_bin_ranged(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...], parts: int | None = None) -> DataFrame:
+    """``gap_bin`` for keys of more rows than a task should hold: the same bins, from parts of the order that hand on their last m/z and their number of bins."""
+    place = {"keys": keys, "order": ("mz", "peak_id")}
+    rows = scan.previous(scan.ranged(peaks, **place, parts=parts), "mz", "_last", **place)
+    fresh = F.when((F.col("mz") - F.col("_last")) / F.col("_last") * 1e6 > ppm, 1).otherwise(0)
+    return scan.running(rows, {"bin": fresh}, **place).drop("_last", scan.PART)
+
+
 def bin_centroids(binned: DataFrame, *, keys: tuple[str, ...] = ("sid",), also: tuple[str, ...] = ()) -> DataFrame:
     """Per bin: intensity-weighted m/z (plain mean without intensity), total intensity, weighted S/N and further columns, peaks."""
     total = F.sum("intensity")
@@ -82,20 +92,33 @@ def spaced(peaks: DataFrame, *, ppm: float, keys: tuple[str, ...] = ("sid",)) ->
 def dominated(peaks: DataFrame, *, ppm: float = 100.0, ratio: float = 10.0) -> DataFrame:
     """Peaks with another at least ``ratio`` times as strong within ``ppm`` in the same sample and polarity.
 
-    An equi join on (sid, polarity, half-unit m/z bucket), each peak also standing in the bucket next to it where its window
-    reaches over.
+    On a logarithmic scale the window of a peak has the same bounds everywhere, so it is a moving maximum along the sorted peaks, without a join.
+    """
+    near = f"PARTITION BY sid, polarity ORDER BY _log RANGE BETWEEN {-math.log1p(-ppm * 1e-6)!r}D PRECEDING AND {math.log1p(ppm * 1e-6)!r}D FOLLOWING"
+    rows = peaks.withColumn("_log", F.ln("mz")).withColumn("_top", F.expr(f"max(intensity) OVER ({near})"))
+    return rows.where(F.col("_top") >= ratio * F.col("intensity")).drop("_log", "_top")
+
+
+def ring_noise(peaks: DataFrame, width: Column, *, inner: float = 2.0, outer: float = 20.0, parts: int | None = None) -> DataFrame:
+    """(sid, peak_id, n, noise) for (sid, peak_id, mz, intensity): the spread of the intensities that lie between ``inner`` and ``outer`` widths beside a peak.
+
+    Each peak asks at four places of its sample's mass axis for the number, sum and sum of squares up to there; places and peaks are sorted together, so
+    sums run once along the axis, in parts of it, and a ring is a difference of sums. Nothing is paired. Sums are decimals, intensities in millionths, so
+    differences are exact however long the axis is. ``noise`` is null without peaks in the ring.
     """
-    half = F.col("mz") * (ppm * 1e-6)
-    strong = peaks.select("sid", "polarity", F.col("mz").alias("other_mz"), F.col("intensity").alias("other"))
-    strong = strong.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("other_mz") * (1 - 2 * ppm * 1e-6)) * 2), F.floor((F.col("other_mz") * (1 + 2 * ppm * 1e-6)) * 2))))
-    mine = peaks.withColumn("bucket", F.floor(F.col("mz") * 2))
-    on = ["sid", "polarity", "bucket"]
-    hit = mine.alias("p").join(
-        strong.alias("s"),
-        [F.col(f"p.{c}") == F.col(f"s.{c}") for c in on] + [F.abs(F.col("s.other_mz") - F.col("p.mz")) <= half, F.col("s.other") >= ratio * F.col("p.intensity")],
-        "left_semi",
-    )
-    return hit.drop("bucket")
+    rows = peaks.select("sid", "peak_id", "mz", F.col("intensity").cast("decimal(18,6)").alias("i"), width.alias("width"))
+    # at one place: asked for what lies below it, the peaks there, asked for what lies up to it
+    near, far = F.lit(inner) * F.col("width"), F.lit(outer) * F.col("width")
+    asks = [(F.col("mz") - far, 0, -1), (F.col("mz") - near, 0, 1), (F.col("mz") + near, 2, -1), (F.col("mz") + far, 2, 1)]
+    ask = F.array(*(F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"), F.lit(k).alias("k")) for k, (at, turn, sign) in enumerate(asks)))
+    asked = rows.select("sid", "peak_id", F.lit(None).cast("decimal(18,6)").alias("i"), F.explode(ask).alias("a")).select("sid", "peak_id", "i", "a.*")
+    own = rows.select("sid", "peak_id", "i", F.col("mz").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(4).alias("k"))
+    place = {"keys": ("sid",), "order": ("at", "turn", "peak_id", "k")}
+    here = F.coalesce("i", F.lit(0).cast("decimal(18,6)"))
+    line = scan.running(scan.ranged(own.unionByName(asked), **place, parts=parts), {"n": F.col("i").isNotNull().cast("long"), "t": here, "q": here * here}, **place)
+    ring = line.where("sign <> 0").groupBy("sid", "peak_id").agg(*(F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("n", "t", "q")))
+    spread = (F.col("n").cast("decimal(10,0)") * F.col("q") - F.col("t") * F.col("t")).cast("double")
+    return ring.select("sid", "peak_id", "n", F.when(F.col("n") > 0, F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n")).alias("noise"))
 
 
 def kernel(kind: str, width: int) -> list[float]:

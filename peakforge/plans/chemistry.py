@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakforge.functions import chem
+from peakforge.operators import scan
 from peakforge.plans.registry import query
 from peakforge.sources.fixtures import Tables
 
@@ -54,8 +55,9 @@ def _(t: Tables):
 @query("sort_by_formula", f"WITH {COMPOUNDS} SELECT formula, row_number() OVER (ORDER BY {C}, {H}, {O}) AS position FROM f", "isotopes")
 def _(t: Tables):
     n = F.col("counts")
-    place = F.row_number().over(W.orderBy(n["C"], n["H"], n["O"]))  # distinct formulas of the library, few beside the peaks
-    return formulas(t).select("formula", place.alias("position"))
+    place = {"keys": (), "order": ("c", "h", "o", "formula")}
+    rows = scan.ranged(formulas(t).select("formula", *(n[e].alias(e.lower()) for e in "CHO")), **place)
+    return scan.running(rows, {"position": F.lit(1)}, **place).select("formula", "position")
 
 
 @query("fit_native_id", "SELECT p_partkey AS id, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 4) || substr(sha1(p_name), 1, 4) ELSE p_name END AS native_id FROM part")

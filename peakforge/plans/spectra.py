@@ -172,20 +172,17 @@ def _(t: Tables):
 
 @query(
     "tof_snr",
-    """WITH a AS (SELECT p.peak_id, any_value(p.intensity) AS h, stddev_pop(b.intensity) AS s FROM peaks p LEFT JOIN peaks b ON b.sid = p.sid
-    AND abs(b.mz - p.mz) > 2 * p.mz * 1e-4 AND abs(b.mz - p.mz) <= 2e1 * p.mz * 1e-4 GROUP BY p.peak_id) SELECT peak_id, CASE WHEN s > 1e-9 THEN round(h / s, 6) END AS snr FROM a""",
-    "peaks",
+    """WITH w AS (SELECT p.*, mz / CASE WHEN s.instrument = 'orbi' THEN 1e5 / sqrt(mz) ELSE mz / (1e-4 * mz + 1e-3) END AS width FROM peaks p JOIN samples s USING (sid)),
+    a AS (SELECT p.sid, p.peak_id, any_value(p.intensity) AS h, stddev_pop(b.intensity) AS s FROM w p LEFT JOIN peaks b ON b.sid = p.sid AND ((b.mz > p.mz + 2 * p.width AND b.mz <= p.mz + 2e1 * p.width)
+    OR (b.mz < p.mz - 2 * p.width AND b.mz >= p.mz - 2e1 * p.width)) GROUP BY p.sid, p.peak_id) SELECT peak_id, CASE WHEN s > 1e-3 THEN round(h / s, 4) END AS snr FROM a""",
+    "peaks samples",
 )
 def _(t: Tables):
-    # the noise of a peak is the spread of what lies between 2 and 20 of its widths beside it in its own sample
-    width = F.col("target_mz") * 1e-4
-    top = t.peaks.select("sid", "peak_id", F.col("mz").alias("target_mz"))
-    base = t.peaks.select("sid", "mz", "intensity")
-    near = joins.range_join(base, top, low=F.col("target_mz") - 20 * width, high=F.col("target_mz") + 20 * width, ppm=2000.0, on=("sid",))
-    off = F.abs(F.col("mz") - F.col("target_mz"))
-    noise = near.where((off > 2 * width) & (off <= 20 * width)).groupBy("peak_id").agg(F.stddev_pop("intensity").alias("s"))
-    rows = t.peaks.groupBy("peak_id").agg(F.first("intensity").alias("h")).join(noise, "peak_id", "left")
-    return rows.select("peak_id", F.when(F.col("s") > 1e-9, F.round(F.col("h") / F.col("s"), 6)).alias("snr"))
+    """Signal over the spread of what lies between 2 and 20 widths beside a peak in its own sample, widths by the resolution of its instrument there."""
+    rows = t.peaks.join(t.samples.select("sid", "instrument"), "sid").select("sid", "peak_id", "mz", "intensity", "instrument")
+    m = F.col("mz")
+    noise = signal.ring_noise(rows, m / F.when(F.col("instrument") == "orbi", 1e5 / F.sqrt(m)).otherwise(m / (1e-4 * m + 1e-3)))
+    return rows.join(noise, ["sid", "peak_id"]).select("peak_id", F.when(F.col("noise") > 1e-3, F.round(F.col("intensity") / F.col("noise"), 4)).alias("snr"))
 
 
 @query(
@@ -279,8 +276,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.scans.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).groupBy("sid", "ion", "day").agg(F.sum("height").alias("h"))
-    days = t.scans.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).select(F.explode(F.sequence("low", "high")).alias("d"))
-    # every (sample, ion) with every day of the recording: the days are dealt to keys of their own, so the grid is an equi join
-    keys = t.scans.select("sid", "ion").distinct().withColumn("all", F.lit(1))
-    grid = keys.join(days.select(F.lit(1).alias("all"), F.date_format("d", "yyyy-MM-dd").alias("day")), "all").drop("all")
+    bounds = t.scans.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high"))  # one row
+    # every (sample, ion) with every day of the recording: each key makes its own days
+    grid = t.scans.select("sid", "ion").distinct().crossJoin(F.broadcast(bounds))
+    grid = grid.select("sid", "ion", F.explode(F.sequence("low", "high")).alias("day")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return grid.join(rows, ["sid", "ion", "day"], "left").select("sid", "ion", "day", F.round(F.coalesce("h", F.lit(0.0)), 4).alias("height"))
