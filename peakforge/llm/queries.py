@@ -83,17 +83,17 @@ f AS (
     (min(CASE WHEN NOT cap / weight <= reach THEN {'before': before, 'reach': reach} END) OVER ()).reach AS level
   FROM l),
 t AS (SELECT *, CASE WHEN full_up OR level IS NULL THEN cap ELSE weight * level END AS target FROM f),
+g AS (SELECT *, row_number() OVER (PARTITION BY source, shuffle) AS k FROM r),
 q AS (
-  SELECT r.*, t.source_size, t.target, t.place, t.weight, t.budget,
-    sum(r.size) OVER (PARTITION BY t.place ORDER BY shuffle, doc_id NULLS FIRST, size) AS given
-  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+  SELECT g.*, t.source_size, t.target, t.place, t.weight, t.budget,
+    sum(g.size) OVER (PARTITION BY t.place ORDER BY shuffle, k ROWS UNBOUNDED PRECEDING) AS given
+  FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, (given + pass * source_size) / weight AS finish FROM q, (VALUES (0), (1)) AS x(pass) WHERE size > 0),
 c AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, place, pass, shuffle, doc_id NULLS FIRST, size) AS used FROM e),
-k AS (SELECT source, shuffle, pass FROM c WHERE used <= budget GROUP BY ALL),
-n AS (SELECT source, shuffle, count(*) AS copies FROM k GROUP BY ALL)
+  SELECT *, sum(size) OVER (ORDER BY finish, place, pass, shuffle, k ROWS UNBOUNDED PRECEDING) AS used FROM e),
+n AS (SELECT source, shuffle, k, count(*) AS copies FROM c WHERE used <= budget GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.copies, 0) AS BIGINT) AS taken
-FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.shuffle = n.shuffle
+FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.shuffle = n.shuffle AND q.k = n.k
 """
 
 

@@ -32,23 +32,25 @@ def brute(rows, weights=(3, 1, 2), share=1.5, passes=2):
     budget = min(share, passes) * sum(totals.values())
     line = []
     for k, n in enumerate(names):
-        own = sorted((place(d, t), d is not None, d or 0, size(t)) for d, t, s in rows if s == n)
-        for x in set(own):
-            given = sum(y[3] for y in own if y <= x)
+        given = 0
+        own = sorted((place(d, t), size(t)) for d, t, s in rows if s == n)
+        for i, x in enumerate(own):
+            given += x[1]
             for e in range(passes):
-                if x[3]:
-                    line.append(((given + e * totals[n]) / w[n], k, e, x, own.count(x) * x[3], n))
+                if x[1]:
+                    line.append(((given + e * totals[n]) / w[n], k, e, x[0], i, x[1], n))
     used, copies = 0, {}
-    for finish, k, e, x, weight, n in sorted(line):
+    for *_, x, i, weight, n in sorted(line):
         used += weight
         if used > budget:
             break
-        copies[n, x] = copies.get((n, x), 0) + 1
+        copies.setdefault((n, x), {}).setdefault(i, 0)
+        copies[n, x][i] += 1
     targets = dict(zip(names, fill([totals[n] for n in names], [w[n] for n in names], budget, passes), strict=True))
-    out = []
+    out, left = [], {key: sorted(c.values(), reverse=True) for key, c in copies.items()}
     for d, t, s in rows:
-        x = (place(d, t), d is not None, d or 0, size(t))
-        out.append((d, size(t), totals[s], round(targets[s], 3), copies.get((s, x), 0) * size(t)))
+        own = left.get((s, place(d, t)), [])
+        out.append((d, size(t), totals[s], round(targets[s], 3), (own.pop(0) if own else 0) * size(t)))
     return sorted(out, key=repr)
 
 
@@ -70,6 +72,26 @@ def test_plan_equals_brute_force(spark, share):
     assert words == sum(r["taken"] for r in got)
 
 
+@pytest.mark.parametrize("share", [0.3, 1.5])
+def test_repeated_rows_meet_the_targets(spark, share, monkeypatch):
+    """Of 100 texts of a source 60 are one row that repeats; they are taken one by one, over many slots and stretches of the plan."""
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    rows = [(k, "w " * 300, "a") for k in range(100)] + [(1000 + k, f"v{k} " * 100, "b") for k in range(40)] + [(2000, "x " * 100, "b")] * 60 + [(3000, "s", "b")] * 500
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, row int").repartition(6)
+    got = mixing.mix_plan(docs, share=share).collect()
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], round(r["target"], 3), r["taken"]) for r in got), key=repr) == brute(rows, share=share)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.01 * own[0]["target"] + 300
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    mixed = mixing.mix(docs, share=share).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in got)
+    per_row = {}
+    for r in mixed:
+        per_row[r["row"]] = per_row.get(r["row"], 0) + 1
+    assert max(per_row.values()) <= 2
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_plan(docs).count() == 0 == mixing.mix(docs).count()
