@@ -3,7 +3,8 @@
 A page is cut into text blocks, each with the path of block elements from the root to it. Per path, the length and
 the punctuation of its blocks are summed and divided by the number of nodes that have the path; link text counts
 against it, and so does all text of parts that elements, roles or class names mark as menus, headers, footers, sidebars,
-notices, adverts, forms or comments: their paths are kept apart (``!``) and have the ratio 0. The ratios are smoothed
+notices, adverts, forms or comments: their paths are kept apart (``!``) and have the ratio 0. Parts whose names have to do with such parts, but say more, are kept
+apart as well (``?``) and have to reach the threshold by their own ratios. The ratios are smoothed
 over paths in page order and fused by their product, and paths that reach a threshold taken from the spread of the
 scores are content.
 
@@ -51,6 +52,11 @@ MARKS = frozenset(
     "newsletter subscribe signup login share sharing social related recommended comment comments commentlist reply replies respond "
     "disqus toolbar pagination pager widget skip".split()
 )
+#: words that say where or how large a part is, or of what it is a part, not what it holds: beside them a word of MARKS names the whole part
+SHAPES = frozenset(
+    "article blog body entry global page post reader readers story text title top user users view web area bar block box btn button buttons col column container content grid group inner item items left link links list main outer panel primary right row secondary section site slot "
+    "small tertiary top bottom unit widgets wide wrap wrapper x m s l xl".split()
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: what an opening tag closes when it is still open in the same container
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -66,23 +72,26 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
 
 def marked(tag: str, attributes: str, inside: bool) -> int:
-    """2 for an element that is one of the parts that never are content, 1 for a header, which may hold a heading.
+    """3 for an element that is one of the parts that never are content, 2 for one whose name only has to do with such parts, 1 for a header, which may hold a heading.
 
+    A class name or id marks a part if all its words do (``comment-list``); one that says more (``social-history``, ``notice-board``) leaves the decision to the ratios.
     ``inside`` says whether an article or main element is open; class names of the outermost one don't mark it.
     """
     found = 0
     if tag in LEFT_OUT:
-        found = 1 if tag == "header" else 2
+        found = 1 if tag == "header" else 3
     for name, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
         if name.lower() == "hidden" and not value:
-            return 2
+            return 3
         if name.lower() == "role" and value in ROLES:
-            return 2
+            return 3
         if name.lower() in ("class", "id") and tag not in ("html", "body") and (inside or tag not in ("article", "main")):
-            words = MARKS.intersection(re.split(r"[^a-z]+", value))
-            if words:
-                found = max(found, 1 if words == {"header"} else 2)
+            for one in value.split():
+                words = {w for w in re.split(r"[^a-z]+", one) if w}
+                marks = words & MARKS
+                if marks:
+                    found = max(found, 2 if words - MARKS - SHAPES else 1 if marks == {"header"} else 3)
     return found
 
 
@@ -94,13 +103,14 @@ def plain(pieces: list[str]) -> str:
 class Block:
     """A run of text inside one block element: its tags and node numbers from the root, text and link text."""
 
-    __slots__ = ("tags", "path", "nodes", "text", "links", "out")
+    __slots__ = ("tags", "path", "nodes", "text", "links", "out", "doubtful")
 
     def __init__(self, stack: list[tuple[str, int, int]]):
         self.tags, self.nodes, marks = tuple(zip(*stack, strict=True)) if stack else ((), (), ())
         heading = any(t in HEADINGS for t in self.tags) and not MAIN.isdisjoint(self.tags)
-        self.out = max(marks, default=0) > (1 if heading else 0)
-        self.path = ("!" if self.out else "") + "/".join(self.tags)
+        self.out = 3 in marks or (1 in marks and not heading)
+        self.doubtful = 2 in marks and not self.out
+        self.path = ("!" if self.out else "?" if self.doubtful else "") + "/".join(self.tags)
         self.text, self.links = [], []
 
     @property
@@ -240,7 +250,8 @@ def main_text(html: str | None) -> str:
     holders = content_elements(strong, blocks, scores)
     inside = [(b, s) for b, s in blocks if holders == {0} or not holders.isdisjoint(b.nodes)]
     best = max(scores[b.path] for b, _ in inside)
-    return " ".join(s for b, s in inside if max(scores[b.path], best * ratios[b.path][2]) >= limit)
+    shared = lambda b: 0.0 if b.doubtful else best * ratios[b.path][2]
+    return " ".join(s for b, s in inside if max(scores[b.path], shared(b)) >= limit)
 
 
 def extract(pages: DataFrame) -> DataFrame:

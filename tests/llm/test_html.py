@@ -63,6 +63,16 @@ def test_what_belongs_to_the_content(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["social-history", "notice-board", "side-effects", "skip-lists explained", "related-work", "red-alert-story", "header-files", "promotion-of-health"])
+def test_content_under_names_that_sound_marked(name):
+    """Full sentences stay, short lines and links under the same name go, and the plain names of parts go whatever they hold."""
+    page = "<body><article><h1>T</h1><p>{0}</p><div class='{1}'>{2}</div><p>{0}</p></article></body>".format
+    assert html.main_text(page(LONG, name, f"<p>{LONG}</p>")) == f"T {LONG} {LONG} {LONG}"
+    assert html.main_text(page(LONG, name, "<p><a href=x>Share on this</a></p><p>Click</p>")) == f"T {LONG} {LONG}"
+    for part in ("comments", "comment-list", "cookie-notice", "ad", "sidebar right"):
+        assert html.main_text(page(LONG, part, f"<p>{LONG}</p>")) == f"T {LONG} {LONG}"
+
+
 def test_scores_decide(monkeypatch):
     """On a page without article or main, and without any mark, other scores give another text."""
     page = f"<body><div><span>Home, sweet home.</span></div><section><h2>T</h2><p>{LONG}</p><p>{LONG}</p></section><div><table><tr><td>a<td>b</table></div>"
