@@ -46,7 +46,7 @@ TEMPLATES = {
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
 }
 MAX_WORDS = 10_000
-LINES = 3
+LINES, MAX_PREFIXES = 6, 100_000
 GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"  # between words of a line
 
 
@@ -84,9 +84,10 @@ def base_scan(norm: Column) -> dict[str, Column]:
 
 
 def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base array, found array, score) for every row.
+    """(doc_id, n_words, n_base, first_word, last_word, base array, found array, score, matched array) for every row.
 
-    ``found`` has the labels of the templates that a block matches; ``score`` is 1 where a base phrase stands, else
+    ``matched`` has the labels of all templates of which some block holds ``threshold``: the result of the join; ``found`` those of them that
+    the block tells from its neighbours by their own words and that no other match of the block takes in. ``score`` is 1 where a base phrase stands, else
     the largest share of a matching template that a block holds, else 0.
     """
     wanted = [(label, sorted(set(words_of(t)))) for label, texts in (templates or TEMPLATES).items() for t in texts]
@@ -115,6 +116,8 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
         ranks = sorted(order[w] for w in ws)
         need = math.ceil(threshold * len(ranks))
         prefixes += [(r, tid, label, i, ranks, [order[w] for w in must], need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+    if len(prefixes) > MAX_PREFIXES:
+        raise ValueError(f"templates have more than {MAX_PREFIXES} prefix words")
     index = docs.sparkSession.createDataFrame(prefixes, "rank int, tid int, label string, i int, ranks array<int>, must array<int>, need int")
 
     least = min(p[6] for p in prefixes)
@@ -132,14 +135,16 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
     some = rows.where(F.size(F.flatten("blocks")) >= least).select("row", lines.alias("b"))
     each = some.select("row", F.posexplode(F.filter(runs, lambda x: x.isNotNull() & (F.size(x) >= least))).alias("nr", "block"))
     places = F.filter(F.transform("block", lambda r, j: F.struct(j.alias("j"), r.alias("rank"))), lambda x: F.array_contains(opening, x["rank"]))
-    hits = each.select("row", "nr", "block", F.explode(places).alias("p")).select("row", "nr", "block", "p.j", "p.rank").join(index, "rank")
+    hits = each.select("row", "nr", "block", F.explode(places).alias("p")).select("row", "nr", "block", "p.j", "p.rank").join(F.broadcast(index), "rank")
     n, size = F.size("block"), F.size("ranks")
     hits = hits.where((n >= F.col("need")) & (1 + F.least(size - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need")))
     hits = hits.withColumn("shared", F.array_intersect("block", "ranks"))
-    hits = hits.where((F.size("shared") >= F.col("need")) & (F.size(F.array_intersect("shared", "must")) == F.size("must")))
+    hits = hits.where(F.size("shared") >= F.col("need"))
     share = (F.size("shared") / size).alias("share")
+    told = (F.size(F.array_intersect("shared", "must")) == F.size("must")).alias("told")
     # as many structs a block as there are templates at most; a template's prefix words may each have found it
-    matched = hits.groupBy("row", "nr").agg(F.collect_set(F.struct("label", "shared", share)).alias("m"))
+    every = hits.groupBy("row", "nr").agg(F.collect_set(F.struct("label", "shared", share, told)).alias("all"))
+    matched = every.withColumn("m", F.filter("all", lambda x: x["told"]))
 
     def beaten(x: Column) -> Column:
         """Whether another match of the block takes the words of match ``x``."""
@@ -150,10 +155,14 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, thre
             & ((F.size(y["shared"]) > sx) | ((F.size(y["shared"]) == sx) & (y["share"] > x["share"]))),
         )
 
-    best = matched.select("row", F.explode(F.filter("m", lambda x: ~beaten(x))).alias("x")).select("row", "x.label", "x.share")
-    per_row = best.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max("share").alias("share"))
+    best = F.transform(F.filter("m", lambda x: ~beaten(x)), lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share")))
+    all_ = F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share")))
+    kept = matched.select("row", F.explode(F.concat(F.transform(best, lambda x: F.struct(F.lit(True).alias("best"), x.alias("x"))), F.transform(all_, lambda x: F.struct(F.lit(False).alias("best"), x.alias("x"))))).alias("y"))
+    kept = kept.select("row", "y.best", "y.x.label", "y.x.share")
+    own = lambda c: F.when(F.col("best"), F.col(c))
+    per_row = kept.groupBy("row").agg(F.array_sort(F.collect_set(own("label"))).alias("found"), F.max(own("share")).alias("share"), F.array_sort(F.collect_set("label")).alias("matched"))
     none = F.array().cast("array<string>")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return rows.drop("blocks").join(per_row, "row", "left").select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.coalesce("found", none).alias("found"), score.alias("score")
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.coalesce("found", none).alias("found"), score.alias("score"), F.coalesce("matched", none).alias("matched")
     )
