@@ -440,10 +440,12 @@ def in_turn(indexes: Iterator[Index], one: Callable[[Index], tuple[DataFrame, Br
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, q: int = 9, rate: float = 0.09, min_chars: int = 30, block_chars: int = 2_000_000
 ) -> DataFrame:
-    """``docs`` without the rows in which an item occurs; rows pass through the search, so nothing is shuffled."""
+    """``docs`` without the rows in which an item occurs; rows pass through the search, so nothing is shuffled.
+
+    Of several blocks of the benchmark each is searched by itself: what it leaves is written, and its broadcast dropped, before the next one is made.
+    """
 
     def one(index: Index) -> tuple[DataFrame, Broadcast]:
-        nonlocal docs
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,6 +457,13 @@ def drop_contaminated(
 
         return docs.mapInArrow(run, docs.schema), shared
 
-    for index in blocks(benchmark, q=q, rate=rate, min_chars=min_chars, block_chars=block_chars):
-        docs, _ = one(index)
+    indexes = blocks(benchmark, q=q, rate=rate, min_chars=min_chars, block_chars=block_chars)
+    index, before = next(indexes, None), 0
+    while index is not None:
+        left, shared = one(index)
+        index, before = next(indexes, None), before + 1
+        if before > 1 or index is not None:
+            left = written(left, "decontaminated")
+            shared.destroy()
+        docs = left
     return docs

@@ -85,6 +85,7 @@ def test_spans_and_rows(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 6]
     assert dec.contaminated(docs.limit(0), b).count() == 0 == dec.contaminated(docs, b.limit(0)).count()
     assert dec.contaminated(docs, b, block_chars=1).count() == len(got)
+    assert sorted(map(repr, dec.drop_contaminated(docs, b, block_chars=1).collect())) == sorted(map(repr, kept.collect()))
 
 
 def test_shared_preamble():
