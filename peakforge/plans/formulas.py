@@ -20,18 +20,17 @@ def rich(t: Tables):
     return t.raw("part").selectExpr("p_partkey AS id", f"{TEXT} AS formula").withColumn("counts", chem.element_counts(F.col("formula")))
 
 
-def _taper(v: str, near: float, far: float) -> str:
-    span = abs(far - near)
-    inside = f"{v} <= {near}e0" if far >= near else f"{v} >= {near}e0"
-    return f"""CASE WHEN {inside} THEN 1e0 WHEN abs({v} - {near}e0) <= {span}e0 THEN 1e0 - 0.5e0 * abs({v} - {near}e0) / {span}e0
-    ELSE greatest(0.1e0, 0.5e0 - 0.4e0 * least(1e0, (abs({v} - {near}e0) - {span}e0) / {span}e0)) END"""
+def _falloff(v: str, edge: float, outer: float) -> str:
+    """SQL of ``formula.falloff``."""
+    steps = f"(({v} - {edge}e0) / ({outer}e0 - {edge}e0))"
+    return f"greatest(0.1e0, least(1e0, greatest(1e0 - {steps} / 2e0, 0.5e0 - 0.4e0 * ({steps} - 1e0))))"
 
 
 SENIOR = """(4 * c + h + 3 * n + 2 * o + CASE WHEN p > 0 THEN p * (3 + 2 * least((o + n) // (2 * p), 1)) ELSE 0 END
     + CASE WHEN s > 0 THEN s * (2 + 2 * least((o + n) // (2 * s), 2)) ELSE 0 END >= 2 * (c + h + n + o + p + s - 1))"""
 _R = {e: formula.RATIOS[e] for e in ("H", "N", "O", "P", "S")}
 RATIO = "CASE WHEN c = 0 THEN 1e0 ELSE greatest(0.1e0, " + " * ".join(
-    f"CASE WHEN {e.lower()} = 0 THEN 1e0 ELSE least({_taper(f'({e.lower()} / c)', b, d)}, {_taper(f'({e.lower()} / c)', a, x) if a else '1e0'}) END" for e, (a, b, x, d) in _R.items()
+    f"CASE WHEN {e.lower()} = 0 THEN 1e0 ELSE least({_falloff(f'({e.lower()} / c)', b, d)}, {_falloff(f'({e.lower()} / c)', a, x) if a else '1e0'}) END" for e, (a, b, x, d) in _R.items()
 ) + ") END"
 
 
