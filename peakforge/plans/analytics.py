@@ -169,14 +169,6 @@ def _(t: Tables):
     return t.peaks.select("peak_id", F.round(F.col("mz") - F.bround("mz", 0), 6).alias("defect"), F.round(F.log10(F.greatest("intensity", F.lit(1.0))), 6).alias("size"))
 
 
-@query("acquisition_inventory", "SELECT type AS instrument, year(created) AS year, count(*) AS n, count(DISTINCT sid) AS samples, count(*) - count(DISTINCT {'s': sid, 'c': created}) AS duplicated, (SELECT count(*) FROM customer) - count(DISTINCT sid) AS missing FROM files GROUP BY ALL", "files")
-def _(t: Tables):
-    g = t.files.groupBy(F.col("type").alias("instrument"), F.year("created").alias("year"))
-    rows = g.agg(F.count("*").alias("n"), F.countDistinct("sid").alias("samples"), F.countDistinct("sid", "created").alias("sets"))
-    total = t.raw("customer").agg(F.count("*").alias("total"), F.lit(1).alias("one"))  # one row
-    return rows.withColumn("one", F.lit(1)).join(total, "one").select("instrument", F.col("year").cast("long").alias("year"), "n", "samples", (F.col("n") - F.col("sets")).alias("duplicated"), (F.col("total") - F.col("samples")).alias("missing"))
-
-
 @query(
     "isolation_window_tic",
     "SELECT i.isotope_id, count(*) AS n, round(sum(p.intensity), 2) AS tic FROM peaks p JOIN isotopes i ON p.mz BETWEEN i.mz - 0.25e0 AND i.mz + 0.25e0 WHERE i.k = 0 GROUP BY i.isotope_id",

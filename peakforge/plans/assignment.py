@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import chem
 from peakforge.operators import graph, greedy, joins, matching, rollup, signal
-from peakforge.plans.matching import FIT
 from peakforge.plans.registry import query
 from peakforge.sources.fixtures import Tables
 
@@ -96,38 +95,6 @@ def _(t: Tables):
     return t.matches.withColumn("owner", owner).where("found").select("sid", "isotope_id", "owner")
 
 
-@query(
-    "search_candidate_scores",
-    "WITH "
-    + FIT.replace("FROM matches WINDOW", "FROM (SELECT m.*, s.instrument FROM matches m JOIN samples s USING (sid)) mm WINDOW").replace(
-        "sqrt(4e0 + pow(", "sqrt(pow(CASE WHEN instrument = 'orbi' THEN 5e0 / 3e0 ELSE 5e0 END, 2) + pow("
-    )
-    + " SELECT sid, ion_id, round(fit_score, 6) AS fit_score FROM fit",
-    "matches samples",
-)
-def _(t: Tables):
-    rows = t.matches.join(t.samples.select("sid", "instrument"), "sid")
-    sigma = F.when(F.col("instrument") == "orbi", 5.0 / 3.0).otherwise(5.0)
-    return matching.fit_score_v2(rows, sigma).select("sid", "ion_id", r("fit_score"))
-
-
-@query(
-    "apply_corroboration",
-    """WITH a AS (SELECT sid, compound_id, ion_id, mechanism, max(score) AS p FROM gated WHERE score > 0 GROUP BY ALL),
-    d AS (SELECT a.sid, a.compound_id, a.ion_id, any_value(a.p) AS p, sum(CASE WHEN b.mechanism <> a.mechanism THEN 0.5e0 * b.mechanism ELSE 0e0 END) AS w FROM a
-    JOIN (SELECT DISTINCT sid, compound_id, mechanism FROM a) b USING (sid, compound_id) GROUP BY a.sid, a.compound_id, a.ion_id)
-    SELECT sid, ion_id, round(1e0 / (1e0 + exp(-(ln(q / (1e0 - q)) + greatest(-3e0, least(3e0, w))))), 6) AS p FROM (SELECT *, least(greatest(p, 1e-9), 1e0 - 1e-9) AS q FROM d)""",
-    "gated",
-)
-def _(t: Tables):
-    a = t.gated.where("score > 0").groupBy("sid", "compound_id", "ion_id", "mechanism").agg(F.max("score").alias("p"))
-    seen = a.groupBy("sid", "compound_id").agg(F.collect_set("mechanism").alias("all"))  # as many entries as mechanisms
-    other = F.aggregate(F.filter("all", lambda m: m != F.col("mechanism")), F.lit(0.0), lambda s, m: s + 0.5 * m)
-    q = F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9))
-    z = F.ln(q / (1 - q)) + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), other))
-    return a.join(seen, ["sid", "compound_id"]).select("sid", "ion_id", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
-
-
 @query(
     "mz_calibration_match",
     """SELECT sid, peak_id, isotope_id FROM (SELECT *, row_number() OVER (PARTITION BY sid, peak_id ORDER BY round(score, 9) DESC, isotope_id) AS rn FROM gated

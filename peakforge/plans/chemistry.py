@@ -112,12 +112,6 @@ def _(t: Tables):
     return t.isotopes.select(F.concat("formula", F.lit("/"), F.col("mechanism").cast("string")).alias("path")).distinct()
 
 
-@query("scan_filename_meta", "SELECT c_custkey AS id, regexp_extract(c_name, '^([A-Za-z]+)#', 1) AS instrument, CAST(regexp_extract(c_name, '#0*([0-9]+)$', 1) AS BIGINT) AS number FROM customer")
-def _(t: Tables):
-    n = F.col("c_name")
-    return t.raw("customer").select(F.col("c_custkey").alias("id"), F.regexp_extract(n, "^([A-Za-z]+)#", 1).alias("instrument"), F.regexp_extract(n, "#0*([0-9]+)$", 1).cast("long").alias("number"))
-
-
 @query(
     "mz_calibrate_tof",
     """SELECT sid, round(regr_slope(2e0 * sqrt(peak_mz) + 3e0, sqrt(target_mz)), 6) AS p0, round(regr_intercept(2e0 * sqrt(peak_mz) + 3e0, sqrt(target_mz)), 5) AS p1, count(*) AS n

@@ -281,11 +281,6 @@ def _(t: Tables):
     return t.ions.join(t.samples.select("sid", "batch", "sample_name"), "sid").select("batch", "sample_name", "compound_id", "ion_id", "category")
 
 
-@query("list_match_samples", "SELECT sid, max(category) AS category FROM ions GROUP BY sid HAVING max(category) >= 1", "ions")
-def _(t: Tables):
-    return t.ions.groupBy("sid").agg(F.max("category").alias("category")).where("category >= 1")
-
-
 @query("list_match_ions", "SELECT i.sid, i.ion_id, round(i.score, 6) AS score FROM ions i WHERE i.category >= 1 AND i.ion_id IN (SELECT ion_id FROM isotopes WHERE mechanism = 1)", "ions isotopes")
 def _(t: Tables):
     m = t.isotopes.where("mechanism = 1").select("ion_id")

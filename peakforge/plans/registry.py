@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
     return add
 
 
-for _module in ("matching", "listings", "spectra", "analytics", "chemistry", "formulas", "patterns", "records", "fragments", "alignment", "calibration", "assignment", "isotopes", "compositions", "reference", "streams"):
+for _module in ("matching", "listings", "spectra", "analytics", "chemistry", "formulas", "patterns", "records", "fragments", "alignment", "calibration", "assignment", "isotopes", "compositions", "details", "reference", "streams"):
     importlib.import_module(f"peakforge.plans.{_module}")
