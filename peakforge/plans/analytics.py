@@ -238,19 +238,6 @@ def _(t: Tables):
     return t.labelled.select("doc_id", F.round(confidence.sigmoid(F.col("confidence"), SLOPE, OFFSET), 6).alias("probability"))
 
 
-@query(
-    "arbitrate",
-    """WITH c AS (SELECT peak_id, ion_id, max(fit) AS fit, max(pl) AS pl FROM (SELECT n.peak_id, i.formula AS ion_id, 1e0 - abs(n.mz - n.target_mz) AS fit, 0.5e0 + 0.1e0 * i.mechanism AS pl FROM nearest n JOIN isotopes i USING (isotope_id)) GROUP BY ALL),
-    e AS (SELECT *, fit * pl AS ev FROM c), t AS (SELECT *, sum(ev) OVER w AS total, max(ev) OVER w AS top FROM e WINDOW w AS (PARTITION BY peak_id))
-    SELECT peak_id, ion_id AS formula, round(ev / total, 6) AS confidence, top - ev <= greatest(0.1e0 * top, 0.005e0) AND sum(CASE WHEN top - ev <= greatest(0.1e0 * top, 0.005e0) THEN 1 ELSE 0 END) OVER (PARTITION BY peak_id) > 1 AS is_tie FROM t""",
-    "nearest isotopes",
-)
-def _(t: Tables):
-    c = t.nearest.join(t.isotopes.select("isotope_id", "formula", "mechanism"), "isotope_id")
-    c = c.select("peak_id", "formula", (1 - F.abs(F.col("mz") - F.col("target_mz"))).alias("fit_score"), (0.5 + 0.1 * F.col("mechanism")).alias("plausibility"))
-    return confidence.arbitrate(c).select("peak_id", "formula", F.round("confidence", 6).alias("confidence"), "is_tie")
-
-
 @query(
     "candidate_rank",
     "SELECT peak_id, isotope_id, r FROM (SELECT peak_id, isotope_id, rank() OVER (PARTITION BY peak_id ORDER BY round(score, 9) DESC) AS r, count(*) OVER (PARTITION BY peak_id) AS n FROM matches WHERE found) WHERE n > 1",

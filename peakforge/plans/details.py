@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakforge.functions import chem, formula
-from peakforge.operators import joins, matching
+from peakforge.operators import confidence, joins, matching
 from peakforge.operators.confidence import sigmoid
 from peakforge.plans.analytics import OFFSET, SLOPE
 from peakforge.plans.matching import FIT
-from peakforge.plans.patterns import PLAUSIBLE
+from peakforge.plans.patterns import PLAUSIBLE, plausible
 from peakforge.plans.registry import query
 from peakforge.sources import filenames
 from peakforge.sources.fixtures import Tables
@@ -234,3 +234,17 @@ def match_samples_listed(ions, samples, *, batches: list[str] | None = None, sid
         s = s.where(F.col("sid").isin(sids))
     g = ions.join(s, "sid").groupBy("batch", "sample_name", "sid").agg(F.max("category").alias("category"), F.count_if(F.col("category") == 2).alias("probable"))
     return g.where(F.col("category") >= least)
+
+
+@query(
+    "arbitrate",
+    f"""WITH {PLAUSIBLE}, c AS (SELECT peak_id, formula, max(fit) AS fit, max(plausibility) AS pl FROM (SELECT n.peak_id, i.formula, 1e0 - abs(n.mz - n.target_mz) AS fit FROM nearest n JOIN isotopes i USING (isotope_id)) JOIN pl USING (formula) GROUP BY ALL),
+    e AS (SELECT *, fit * pl AS ev FROM c), t AS (SELECT *, sum(ev) OVER w AS total, max(ev) OVER w AS top FROM e WINDOW w AS (PARTITION BY peak_id)), n AS (SELECT *, top - ev <= greatest(0.1e0 * top, 0.005e0) AS near FROM t)
+    SELECT peak_id, formula, CASE WHEN total > 0 THEN round(ev / total, 6) ELSE 0e0 END AS confidence, near AND (total <= 0 OR sum(CASE WHEN near THEN 1 ELSE 0 END) OVER (PARTITION BY peak_id) > 1) AS is_tie FROM n""",
+    "nearest isotopes",
+)
+def _(t: Tables):
+    """Formulas that compete for a peak, by how near their mass is and how plausible they are."""
+    c = t.nearest.join(t.isotopes.select("isotope_id", "formula"), "isotope_id").join(plausible(t), "formula")
+    c = c.select("peak_id", "formula", (1 - F.abs(F.col("mz") - F.col("target_mz"))).alias("fit_score"), "plausibility")
+    return confidence.arbitrate(c).select("peak_id", "formula", F.round("confidence", 6).alias("confidence"), "is_tie")
