@@ -79,11 +79,6 @@ def _(t: Tables):
     return top.groupBy("formula").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
 
 
-@query("known_fingerprint", "SELECT collection_id, count(*) AS n, max(isotope_id) AS latest FROM isotopes GROUP BY collection_id", "isotopes")
-def _(t: Tables):
-    return t.isotopes.groupBy("collection_id").agg(F.count("*").alias("n"), F.max("isotope_id").alias("latest"))
-
-
 @query(
     "build_ions",
     f"WITH {COMPOUNDS} SELECT formula, m AS mechanism, {H} + d AS h, round(12e0 * {C} + 1.00782503223e0 * ({H} + d) + 15.99491461957e0 * {O} - z * 0.000548579909065e0, 6) AS mz FROM f, (VALUES ('+H+', 1, 1), ('-H+', -1, -1)) v(m, d, z) WHERE {H} + d >= 0",

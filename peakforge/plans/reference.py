@@ -41,6 +41,20 @@ def _(t: Tables):
     return reference.ingest_version(t.isotopes.select("formula").distinct(), base, "library", "v2")
 
 
+@query(
+    "known_fingerprint",
+    """SELECT collection_type AS source, CASE collection_type WHEN 'TARGETS' THEN 'v2' ELSE 'v1' END AS version, count(*) FILTER (collection_type <> 'TARGETS' OR k = 0) AS n, true AS dated FROM isotopes GROUP BY collection_type""",
+    "isotopes",
+)
+def _(t: Tables):
+    """The active version of each source of known compounds, of which one was loaded a second time."""
+    base = folder(t)
+    for source in ("TARGETS", "DIAGNOSTICS", "CALIBRANTS"):
+        reference.ingest_version(t.isotopes.where(F.col("collection_type") == source).select("isotope_id", "formula"), base, source, "v1")
+    reference.ingest_version(t.isotopes.where("collection_type = 'TARGETS' AND k = 0").select("isotope_id", "formula"), base, "TARGETS", "v2")
+    return reference.active(t.spark, base).select("source", "version", "n", F.col("ingested").isNotNull().alias("dated"))
+
+
 @query("read_reference_xml", "SELECT CAST(p_partkey AS VARCHAR) AS accession, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'C' || p_size || 'H4' END AS chemical_formula FROM part")
 def _(t: Tables):
     path = folder(t)

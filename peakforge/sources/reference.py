@@ -51,16 +51,38 @@ def read_sidecar(spark: SparkSession, path: str, *, key: str = "sid", time: str
     return long.select(F.col(key).cast("long").alias(key), F.to_timestamp(time).alias(time), F.trim("sensor").alias("sensor"), F.expr("try_cast(value AS DOUBLE)").alias("value")).where("value IS NOT NULL")
 
 
+MANIFEST = "source string, version string, n bigint, number bigint, ingested timestamp"
+
+
+def manifest(spark: SparkSession, base: str) -> DataFrame:
+    """Every version that was made active, the one of the highest number of a source last."""
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{base}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
+
+
+def active(spark: SparkSession, base: str) -> DataFrame:
+    """(source, version, n, ingested) of the version of each source that counts now: with its time, what known lists are told apart by."""
+    last = manifest(spark, base).groupBy("source").agg(F.max_by(F.struct("version", "n", "ingested"), "number").alias("l"))
+    return last.select("source", "l.*")
+
+
 def ingest_version(rows: DataFrame, base: str, source: str, version: str) -> DataFrame:
     """Write a version of a source and make it the active one; a load without rows is refused before that.
 
-    The manifest is replaced after the rows are in place, so a reader sees the old version or the new.
+    The manifest is only added to, one line after the rows are in place, and the highest line of a source counts: a reader sees the old version or the new.
     """
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{base}/source={source}/version={version}")
-    n = spark.read.schema(rows.schema).parquet(f"{base}/source={source}/version={version}").count()
+    spark, path = rows.sparkSession, f"{base}/source={source}/version={version}"
+    rows.write.mode("overwrite").parquet(path)
+    n = spark.read.schema(rows.schema).parquet(path).count()
     if not n:
         raise ValueError(f"{source} {version} has no usable rows")
-    manifest = spark.createDataFrame([(source, version, n)], "source string, version string, n bigint")
-    manifest.write.mode("overwrite").parquet(f"{base}/manifest/{source}")
-    return spark.read.parquet(f"{base}/manifest/{source}")
+    number = (manifest(spark, base).where(F.col("source") == source).agg(F.max("number")).first()[0] or 0) + 1
+    line = spark.createDataFrame([(source, version, n, number)], "source string, version string, n bigint, number bigint").withColumn("ingested", F.current_timestamp())
+    line.write.mode("append").parquet(f"{base}/manifest")
+    return active(spark, base).where(F.col("source") == source).select("source", "version", "n")
+
+
+def read_active(spark: SparkSession, base: str, source: str, schema: str) -> DataFrame:
+    """The rows of the active version of a source."""
+    version = active(spark, base).where(F.col("source") == source).first()["version"]
+    return spark.read.schema(schema).parquet(f"{base}/source={source}/version={version}")

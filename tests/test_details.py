@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakforge.plans import registry
 from peakforge.plans.details import annotated, match_samples_listed
-from peakforge.sources import filenames
+from peakforge.sources import filenames, reference
 from peakforge.sources.verdicts import Verdicts
 
 assert registry.QUERIES
@@ -58,3 +58,19 @@ def test_known_only_and_listing_filters(spark):
     s = spark.createDataFrame([(1, "b1", "one"), (2, "b1", "two"), (3, "b2", "three")], "sid long, batch string, sample_name string")
     sids = lambda **o: sorted(r["sid"] for r in match_samples_listed(ions, s, **o).collect())
     assert sids() == [1, 2, 3] and sids(least=1) == [1, 2] and sids(batches=["b2"]) == [3] and sids(sids=[2, 3], least=1) == [2]
+
+
+def test_versions_of_a_source(spark, tmp_path):
+    base = f"file://{tmp_path}/ref"
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "formula string")
+    reference.ingest_version(rows("CH4"), base, "a", "2024")
+    reference.ingest_version(rows("CH4", "H2O"), base, "b", "1")
+    old = reference.read_active(spark, base, "a", "formula string")
+    reference.ingest_version(rows("C2H6", "C3H8"), base, "a", "2025")
+    assert [r["formula"] for r in old.collect()] == ["CH4"]  # a reader keeps the version that it began with
+    assert sorted(r["formula"] for r in reference.read_active(spark, base, "a", "formula string").collect()) == ["C2H6", "C3H8"]
+    with pytest.raises(ValueError):
+        reference.ingest_version(rows("x").limit(0), base, "a", "2026")
+    assert sorted((r["source"], r["version"], r["n"]) for r in reference.active(spark, base).collect()) == [("a", "2025", 2), ("b", "1", 2)]
+    reference.ingest_version(rows("CH4"), base, "a", "2024")  # back to an earlier one
+    assert reference.active(spark, base).where("source = 'a'").first()["version"] == "2024"
