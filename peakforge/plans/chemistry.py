@@ -45,13 +45,6 @@ def _(t: Tables):
     return formulas(t).select("formula", chem.unsaturation(F.col("counts")).cast("double").alias("dbe"))
 
 
-@query("within_composition_bound", f"WITH {COMPOUNDS} SELECT formula FROM f WHERE {C} <= 12 AND 12e0 * {C} + 1.00782503223e0 * {H} + 15.99491461957e0 * {O} <= 2e2", "isotopes")
-def _(t: Tables):
-    n = F.col("counts")
-    allowed = F.size(F.array_except(F.map_keys(n), F.array(*(F.lit(e) for e in "CHNO")))) == 0
-    return formulas(t).where(allowed & (n["C"] <= 12) & (chem.monoisotopic_mass(n) <= 200)).select("formula")
-
-
 @query("sort_by_formula", f"WITH {COMPOUNDS} SELECT formula, row_number() OVER (ORDER BY {C}, {H}, {O}) AS position FROM f", "isotopes")
 def _(t: Tables):
     n = F.col("counts")

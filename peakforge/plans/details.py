@@ -248,3 +248,61 @@ def _(t: Tables):
     c = t.nearest.join(t.isotopes.select("isotope_id", "formula"), "isotope_id").join(plausible(t), "formula")
     c = c.select("peak_id", "formula", (1 - F.abs(F.col("mz") - F.col("target_mz"))).alias("fit_score"), "plausibility")
     return confidence.arbitrate(c).select("peak_id", "formula", F.round("confidence", 6).alias("confidence"), "is_tie")
+
+
+@query(
+    "list_match_ratings",
+    """SELECT event_id AS rating_id, sid, ion, ts AS rated, CASE WHEN height > 20 THEN 1 ELSE 0 END AS rating FROM scans WHERE height > 20 AND ion IN ('click', 'view') AND sid < 100 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""",
+    "scans",
+)
+def _(t: Tables):
+    """Ratings of ions in samples: the good ones of two ions and some samples in a fortnight."""
+    ratings = t.scans.select(F.col("event_id").alias("rating_id"), "sid", "ion", F.col("ts").alias("rated"), (F.col("height") > 20).cast("int").alias("rating"))
+    return ratings_listed(ratings.where("sid < 100"), ions=["click", "view"], rating=1, since="2024-01-05", until="2024-01-20")
+
+
+def ratings_listed(ratings, *, sids: list[int] | None = None, ions: list[str] | None = None, rating: int | None = None, since: str | None = None, until: str | None = None):
+    """Ratings (rating_id, sid, ion, rated, rating) by sample, ion, value and time, the end of the range left out."""
+    for column, listed in (("sid", sids), ("ion", ions)):
+        if listed is not None:
+            ratings = ratings.where(F.col(column).isin(listed))
+    if rating is not None:
+        ratings = ratings.where(F.col("rating") == rating)
+    if since is not None:
+        ratings = ratings.where(F.col("rated") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        ratings = ratings.where(F.col("rated") < F.lit(until).cast("timestamp"))
+    return ratings
+
+
+_BOUND_C, _BOUND_MASS, _LICENSES = 12, 200.0, ("cc0", "cc-by")
+_LISTED = """listed AS (SELECT p_partkey AS id, concat('C', 1 + p_size % 20, 'H', 2 + p_partkey % 30, CASE p_partkey % 5 WHEN 0 THEN 'S2' WHEN 1 THEN 'N3' ELSE 'O2' END, CASE WHEN p_partkey % 7 = 0 THEN '+' ELSE '' END) AS formula,
+    CASE p_size % 3 WHEN 0 THEN 'cc0' WHEN 1 THEN 'cc-by' ELSE 'proprietary' END AS license, 1 + p_size % 20 AS c, 2 + p_partkey % 30 AS h, p_partkey % 5 AS x, p_partkey % 7 = 0 AS ion FROM part)"""
+
+
+@query(
+    "within_composition_bound",
+    f"WITH {_LISTED} SELECT id, formula FROM listed WHERE NOT ion AND x <> 0 AND license IN {_LICENSES} AND c <= {_BOUND_C} AND 12e0 * c + 1.00782503223e0 * h + CASE x WHEN 1 THEN 3 * 14.00307400443e0 ELSE 2 * 15.99491461957e0 END <= {_BOUND_MASS}e0",
+)
+def _(t: Tables):
+    """Reference compounds that a search may take: neutral ones of C, H, N and O, of few carbons and little mass, under the licenses that are allowed."""
+    third = F.when(F.col("p_partkey") % 5 == 0, "S2").when(F.col("p_partkey") % 5 == 1, "N3").otherwise("O2")
+    text = F.concat(F.lit("C"), (1 + F.col("p_size") % 20).cast("string"), F.lit("H"), (2 + F.col("p_partkey") % 30).cast("string"), third, F.when(F.col("p_partkey") % 7 == 0, "+").otherwise(""))
+    kind = F.when(F.col("p_size") % 3 == 0, "cc0").when(F.col("p_size") % 3 == 1, "cc-by").otherwise("proprietary")
+    rows = t.raw("part").select(F.col("p_partkey").alias("id"), text.alias("formula"), kind.alias("license"))
+    return within_bound(rows, elements=list("CHNO"), most_carbon=_BOUND_C, most_mass=_BOUND_MASS, licenses=list(_LICENSES)).select("id", "formula")
+
+
+def within_bound(rows, *, elements: list[str], most_carbon: int | None = None, most_mass: float | None = None, neutral: bool = True, licenses: list[str] | None = None):
+    """The rows of (formula, license) within a bound: no other elements, so many carbons and so much mass at most, no charge, an allowed license."""
+    counts = chem.element_counts(F.regexp_replace("formula", "[+-]+$", ""))
+    rows = rows.withColumn("_n", counts).where(F.size(F.array_except(F.map_keys("_n"), F.array(*map(F.lit, elements)))) == 0)
+    if most_carbon is not None:
+        rows = rows.where(formula.count(F.col("_n"), "C") <= most_carbon)
+    if most_mass is not None:
+        rows = rows.where(chem.monoisotopic_mass(F.col("_n")) <= most_mass)
+    if neutral:
+        rows = rows.where(~F.col("formula").rlike("[+-]$"))
+    if licenses is not None:
+        rows = rows.where(F.col("license").isin(licenses))
+    return rows.drop("_n")

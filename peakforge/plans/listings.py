@@ -302,11 +302,6 @@ def _(t: Tables):
     return t.ions.groupBy("sid", "compound_id").agg(F.max("category").alias("category")).where("category >= 1")
 
 
-@query("list_match_ratings", "SELECT doc_id, quality AS rating FROM labels WHERE quality = 1")
-def _(t: Tables):
-    return t.raw("labels").where("quality = 1").select("doc_id", F.col("quality").alias("rating"))
-
-
 @query("list_target_isotopes", "SELECT isotope_id, round(mz, 6) AS mz FROM isotopes WHERE mz BETWEEN 1e2 AND 3e2 AND relative_abundance >= 0.1e0", "isotopes")
 def _(t: Tables):
     return t.isotopes.where("mz BETWEEN 1e2 AND 3e2 AND relative_abundance >= 0.1e0").select("isotope_id", F.round("mz", 6).alias("mz"))
