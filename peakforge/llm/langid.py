@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +29,18 @@ from pyspark.sql import functions as F
 
 from peakforge.llm.common import crc_mod, free_name, written
 
-#: Numerals that \w holds beside decimal digits (superscripts, fractions, Roman and other letter-like numbers): they are no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters of a text in lower case. Beside them \\w holds numerals that are no decimal digits (superscripts, fractions, Roman ones): words with such are parted."""
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def subwords(words: list[str], buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed rows of lower-case words: those of all n-grams, the number of n-grams of each word, and those of the words.
 
@@ -96,7 +101,7 @@ class Scorer:
         self.known.update(zip(chunks, range(before, before + len(chunks)), strict=True))
         words, of = [], []
         for k, chunk in enumerate(chunks, before):
-            for w in LETTERS.findall(chunk.lower()):
+            for w in letter_runs(chunk):
                 words.append(w)
                 of.append(k)
         if words:
@@ -135,7 +140,7 @@ def train(
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     def pieces(text: str) -> Iterator[np.ndarray]:
-        words = LETTERS.findall(text.lower())
+        words = letter_runs(text)
         at = 0
         while at < len(words):
             n = (3, 8, 20, 60, 200)[int(rng.integers(5))]
