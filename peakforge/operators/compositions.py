@@ -61,7 +61,8 @@ def search(
     light, rare = halves(box)
     first = half_compositions(spark, rare, box, heaviest).toDF("mass_a", "bonds_a", "counts_a")
     second = half_compositions(spark, light, box, heaviest).toDF("mass_b", "bonds_b", "counts_b")
-    begun = range_join(first, asked, low=F.lit(0.0), high=F.col("neutral") + F.col("tolerance"), width=100.0, point="mass_a", salts=salts)
+    most_b = F.lit(sum(MASSES[e] * box[e][1] for e in light))  # what the other half can weigh at most
+    begun = range_join(first, asked, low=F.col("neutral") - F.col("tolerance") - most_b, high=F.col("neutral") + F.col("tolerance"), width=100.0, point="mass_a", salts=salts)
     rest = F.col("neutral") - F.col("mass_a")
     begun = begun.withColumn("rest", rest).where(F.col("rest") >= -F.col("tolerance"))
     found = range_join(second, begun, low=F.col("rest") - F.col("tolerance"), high=F.col("rest") + F.col("tolerance"), width=0.05, point="mass_b")
