@@ -44,3 +44,14 @@ def test_nearest_and_expected_equal_loops(spark, wide):
         assert {(r["sid"], r["isotope_id"]): r["peak_id"] for r in found.collect()} == want
         cells = lambda df: sorted(map(repr, df.select("sid", "ion_id", "isotope_id", "peak_id", "main_intensity", "main_abundance", "score", "found").collect()))
         assert cells(match_stats(with_expected(found, i, dealt))) == cells(match_stats(with_expected(found.drop("block"), i)))
+
+
+@pytest.mark.parametrize("name", ["orphan_matches_sample", "orphan_matches_batch", "assign_compositions", "match_isotopic_pattern"])
+def test_library_keys_are_merged(spark, sf_dir, name):
+    joins = [line for line in plan(QUERIES[name](spark, sf_dir)).splitlines() if "BroadcastHashJoin" in line]
+    assert not [j for j in joins if "ion_id" in j or "isotope_id" in j]
+
+
+@pytest.mark.parametrize("name", ["orphan_matches_sample", "samples_for_ion", "assemble_isotope_frame", "export_batch_sheets"])
+def test_pairs_of_sample_and_ion_stay_in_their_block(spark, sf_dir, name):
+    assert "hashpartitioning(sid" not in plan(QUERIES[name](spark, sf_dir))
