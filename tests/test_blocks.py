@@ -55,3 +55,7 @@ def test_library_keys_are_merged(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["orphan_matches_sample", "samples_for_ion", "assemble_isotope_frame", "export_batch_sheets"])
 def test_pairs_of_sample_and_ion_stay_in_their_block(spark, sf_dir, name):
     assert "hashpartitioning(sid" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_formulas_are_dealt_out(spark, sf_dir):
+    assert QUERIES["neutral_of"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
