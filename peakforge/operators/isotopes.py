@@ -52,15 +52,19 @@ def isotopologues(ions: DataFrame, *, floor: float, counts: str = "counts") -> D
     """The columns of ``ions`` with label, shift and abundance of each isotopologue of at least ``floor`` of the most abundant one.
 
     ``counts`` is a map of element to number. Elements are independent, so the share of an isotopologue over the largest is the product of its splits'; a partial
-    product below the floor is dropped at once, which loses nothing. Rows with an element of unknown mass are left out.
+    product below the floor is dropped at once, which loses nothing. Rows with an element of unknown mass are left out. Equal counts are expanded once, and of an
+    element only its number is exchanged, until the few numbers of atoms that occur have their splits.
     """
     keys = [c for c in ions.columns if c != counts]
     entries = F.filter(F.map_entries(counts), lambda e: e["value"] > 0)
-    known = ions.where(F.forall(entries, lambda e: e["key"].isin(*MASSES))).withColumn("row", F.monotonically_increasing_id())
-    parts = known.select("row", *keys, F.explode(entries).alias("e")).select("row", *keys, F.col("e.key").alias("element"), F.col("e.value").alias("n"))
+    told = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("element"), e["value"].cast("int").alias("n"))))
+    known = ions.where(F.forall(entries, lambda e: e["key"].isin(*MASSES))).select(*keys, told.alias("_formula"))
+    formulas = known.select("_formula").distinct()
+    parts = formulas.select("_formula", F.explode("_formula").alias("e")).select("_formula", "e.*")
     table = splits(parts.select("element", "n").distinct(), floor)
     options = table.groupBy("element", "n").agg(F.collect_list(F.struct("label", "shift", "share", "rel")).alias("options"))  # the splits of one element, above the floor
-    joined = parts.join(options, ["element", "n"]).groupBy("row", *keys).agg(F.array_sort(F.collect_list(F.struct("element", "options"))).alias("parts"))
+    n = int(ions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many rows: as many tasks as there may be, not as few as the bytes fill
+    joined = parts.join(options, ["element", "n"]).repartition(n, "_formula").groupBy("_formula").agg(F.array_sort(F.collect_list(F.struct("element", "options"))).alias("parts"))
     start = F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("shift"), F.lit(1.0).alias("share"), F.lit(1.0).alias("rel")))
 
     def both(a: Column, s: Column) -> Column:
@@ -69,7 +73,8 @@ def isotopologues(ions: DataFrame, *, floor: float, counts: str = "counts") -> D
     def grown(acc: Column, part: Column) -> Column:
         return F.flatten(F.transform(acc, lambda a: F.filter(F.transform(part["options"], lambda s: both(a, s)), lambda x: x["rel"] >= floor)))
 
-    found = joined.select(*keys, F.explode(F.aggregate("parts", start, grown)).alias("i"))
+    grown_up = joined.select("_formula", F.aggregate("parts", start, grown).alias("all"))
+    found = known.join(grown_up, "_formula").select(*keys, F.explode("all").alias("i"))
     return found.select(*keys, "i.label", "i.shift", F.col("i.share").alias("abundance"), F.col("i.rel").alias("relative"))
 
 

@@ -48,6 +48,12 @@ def test_a_line_through_one_point_is_null_whatever_the_others_do(spark):
     assert set(line) == {1, 2} and line[1]["slope"] is None and abs(line[2]["slope"] - 3) < 0.1
 
 
+def test_isotopologues_are_dealt_out_and_equal_counts_expanded_once(spark, sf_dir):
+    df = QUERIES["expand_isotopologues"](spark, sf_dir)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [e for e in exchanged(df) if "_formula" in e]
+
+
 def test_clusters_carry_their_columns(spark, sf_dir):
     assert not [line for line in plan(QUERIES["sum_spectrum_clusters"](spark, sf_dir)).splitlines() if "Join" in line and "peak_id" in line]
 
