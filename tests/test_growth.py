@@ -94,6 +94,10 @@ def test_bins_across_cells_equal_loops(spark):
     assert got == {n: (round(sum(x[2] * x[3] for x in b) / sum(x[3] for x in b), 6), sum(x[3] for x in b), len({x[0] for x in b})) for n, b in want.items()}
 
 
+def test_anchors_are_found_without_passing_over_the_rest_for_each_peak(spark, sf_dir):
+    assert "unboundedfollowing" not in plan(QUERIES["vlm_correct"](spark, sf_dir)).lower()
+
+
 def test_bins_in_cells_have_one_exchange(spark, sf_dir):
     df = spark.createDataFrame(border_peaks(), "batch string, sid long, peak_id string, mz double, intensity double")
     assert len(exchanged(signal.gap_bins_in_cells(df, ppm=20.0, keys=("batch",)))) == 1
