@@ -1,16 +1,16 @@
 """Scores of texts by online logistic mixing of hashed-context bit predictors.
 
-A text is its words in order, lower-cased in A-Z, and one end. Frequent words (a dictionary of at most ``most_symbols``, found in a bounded
-sample) are one symbol; others are their bytes and a space. Symbols are written in Huffman codes, one for symbols that start a word and one for the bytes inside;
+A text is its words in order, lower-cased in A-Z, and one end. Frequent words (a dictionary of the ``most_symbols`` most frequent of
+all training texts) are one symbol; others are their bytes and a space. Symbols are written in Huffman codes, one for symbols that start a word and one for the bytes inside;
 every bit is predicted under three contexts: inside a word its last two bytes, its last four and all of it, at a start nothing,
 the last two bytes of the word before, and the last one. A context and the place in the code tree are hashed to
 a slot of zeros and ones seen in training; the slot's log odds are that predictor's vote. A mixer adds votes by weights that a gate chooses (start or inside; each has a stream of its own), turns the sum into a
 probability, and after every ``GROUP`` bits moves the weights down the gradient of the code length. Last, a table that moves towards each bit seen corrects the probability.
 Minus the sum of the bits' code lengths is the text's log probability, as the bits name words and end without any doubt.
 
-What is learned grows with the corpus: words and pairs (end of a word, start of the next) are counted over all training texts by one grouping, and
-slots are filled from those counts by tasks, whose parts of the tables are summed. The tables have a bounded size (a byte for each slot of ``SLOTS``, 11 MB) and are broadcast.
-The starting weights come from ``tune_rows`` training texts (``most_bytes`` of each), which the slots leave out, so that the mixer learns what votes are worth on new text.
+What is learned comes from all training texts: words are counted first, by one grouping; they give the dictionary, then pairs (end of a word, start of the next) are counted, and
+slots are filled from both counts by tasks, whose parts of the tables are summed. The tables have a bounded size (a byte for each slot of ``SLOTS``, 11 MB) and are broadcast.
+Weights are not learned before: each stream starts from the constants ``START`` and moves its own.
 
 Mixing runs over lanes: a text's bits are cut into stretches of ``LANE``, each a stream of its own that begins with the starting weights; contexts run on over the cuts. So no text is
 too long, and a task holds one chunk of texts at a time.
@@ -44,9 +44,9 @@ END = b"\n"
 FIRST, WORDS = 256, 512  # symbols: bytes inside a word, first bytes of a word, words of the dictionary
 GROUP, LANE, CHUNK = 64, 4096, 300_000
 STEP, BINS, REFINE, SCALE = 0.01, 24, 0.02, 12.0
+START = ((0.4, 0.4, 0.4), (0.4, 0.4, 0.4))  # weights of the votes of starts and of insides
 FAR, LIMIT = 9.0, np.float32(8.99)  # log odds of the mixer go from -FAR to FAR
-WORD, PAIR = 0, 1
-MOST_HELD = 200_000
+MOST_HELD, MOST_PAIRS = 200_000, 2_000_000
 U = np.uint64
 R, R_INV, M1, M2 = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -101,74 +101,64 @@ def tail(word: bytes) -> int:
 # --- counts ---------------------------------------------------------------------------------------------------
 
 
-def id_hash(docs: DataFrame) -> Column:
-    """A hash of the id from 0 to 2 ** 31 - 1, by which samples are drawn."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 31))
-
-
-def sampled(train: DataFrame, n: int, rows: int, most_bytes: int) -> DataFrame:
-    """(text) of at most ``rows`` of ``n`` texts, those of the smallest hashes, each up to ``most_bytes`` characters."""
-    h = id_hash(train)
-    some = train.where(h <= (1 << 31) * min(1.0, 2.0 * rows / max(n, 1)))
-    return some.select(F.substring("text", 1, most_bytes).alias("text"), h.alias("h")).orderBy("h", F.xxhash64("text")).limit(rows).select("text")
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, n) of the words of a sample."""
+    """(key, n) of the words and ends of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+
         for b in batches:
             for t in b.column(0):
                 held.update(words_of(t.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+                if len(held) > MOST_HELD:
+                    yield told()
+                    held.clear()
+            if b.num_rows:
+                held[END] += b.num_rows
+        yield told()
 
     return texts.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def counted(texts: DataFrame, symbols: list[bytes]) -> DataFrame:
-    """(kind, key, n, tuned) of (text, tuning): words, and pairs (tail of a token, start symbol of the next); ``tuned`` is the part of texts for tuning."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(symbols)
+def byte_counts(words: DataFrame) -> DataFrame:
+    """(byte, n) of the bytes inside words, the space after each counted, from the counts (key, n) of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FIRST)
+        for b in batches:
+            n = b.column(1).to_numpy(zero_copy_only=False)
+            keys = b.column(0).to_pylist()
+            total += np.bincount(np.frombuffer(b" ".join((*(k[1:] for k in keys), b"")), np.uint8), np.repeat(n, [len(k) for k in keys]), FIRST)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FIRST)), pa.array(total.astype(np.int64))], ["byte", "n"])
+
+    return words.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(texts: DataFrame, symbols: list[bytes]) -> DataFrame:
+    """(key, n) of the pairs (tail of a token, start symbol of the next) of all texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pairs = (Counter(), Counter()), []
-        made = Symbols(sent.value)
-        known = np.zeros(len(made.counted), np.int64)
+        made, pairs = Symbols(sent.value), []
 
         def told() -> Iterator[pa.RecordBatch]:
-            for k in np.flatnonzero(known):
-                held[0][made.counted[k]] += int(known[k])
-            known[:] = 0
-            for tuning in (0, 1):
-                n = pa.array(list(held[tuning].values()), pa.int64())
-                zero = pa.array(np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), WORD, np.int32)), pa.array(list(held[tuning]), pa.binary()), n, n if tuning else zero], ["kind", "key", "n", "tuned"])
-                held[tuning].clear()
             if pairs:
                 key, n = np.unique(np.concatenate(pairs), return_counts=True)
                 pairs.clear()
-                keys = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, 8 * len(key) + 1, 8, dtype=np.int32)), pa.py_buffer(key)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), PAIR, np.int32)), keys, pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["kind", "key", "n", "tuned"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
         for b in batches:
-            own = [words_of(t.as_py()) for t in b.column(0)]
-            tuning = b.column(1).to_numpy(zero_copy_only=False)
-            for w, t in zip(own, tuning, strict=True):
-                if t:
-                    held[1].update((*w, END))
-            new = [w for w, t in zip(own, tuning, strict=True) if not t]
-            for at in range(0, len(new), 500):
-                flat, number = made.numbers(new[at : at + 500])
-                start, before, *_ = made.tokens(flat, number)
+            for some in chunks(words_of(t.as_py()) for t in b.column(0)):
+                start, before, *_ = made.tokens(*made.numbers(some))
                 pairs.append(before << 32 | start)
-                known += np.bincount(number[number >= 0], minlength=len(known))
-                held[0].update([flat[k] for k in np.flatnonzero(number < 0)])
-                if len(held[0]) + len(held[1]) > MOST_HELD or sum(map(len, pairs)) > 1_000_000:
+                if sum(map(len, pairs)) > MOST_PAIRS:
                     yield from told()
         yield from told()
 
-    return texts.mapInArrow(run, "kind int, key binary, n long, tuned long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("tuned").alias("tuned"))
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # --- bits -----------------------------------------------------------------------------------------------------
@@ -273,9 +263,8 @@ def add_words(zeros_ones: list[np.ndarray], code: Code, words: list[bytes], n: n
     add_bits(zeros_ones, code, data[inside].astype(np.int64), [h[inside] for h in hashes], np.repeat(n, size - 1))
 
 
-def add_pairs(zeros_ones: list[np.ndarray], code: Code, keys: list[bytes], n: np.ndarray) -> None:
+def add_pairs(zeros_ones: list[np.ndarray], code: Code, pair: np.ndarray, n: np.ndarray) -> None:
     """Add the bits of start symbols after tails."""
-    pair = np.frombuffer(b"".join(keys), np.int64)
     add_bits(zeros_ones, code, pair & 0xFFFFFFFF, start_hashes(pair >> 32), n)
 
 
@@ -284,25 +273,24 @@ def votes(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log((ones + 0.3) / (zeros + 0.3)) * SCALE), -127, 127).astype(np.int8)
 
 
-def tables(counts: DataFrame, code: Code, symbols: list[bytes], tasks: int, part: int = 1 << 15) -> list[np.ndarray]:
-    """Votes by slot, from (kind, key, n without tuning)."""
-    spelled = set(symbols) | {END}
-    sent = counts.sparkSession.sparkContext.broadcast((code, spelled))
+def tables(words: DataFrame, pairs: DataFrame, code: Code, symbols: list[bytes], tasks: int, part: int = 1 << 15) -> list[np.ndarray]:
+    """Votes by slot, from the counts (key, n) of words and pairs."""
+    sent = words.sparkSession.sparkContext.broadcast((code, set(symbols) | {END}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, spelled = sent.value
         made = [np.zeros((2, 1 << b), np.float32) for b in SLOTS]
         for b in batches:
-            kind, n = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            keys = b.column(1).to_pylist()
-            for at in range(0, len(keys), 20_000):
-                some = range(at, min(at + 20_000, len(keys)))
-                words = [k for k in some if kind[k] == WORD and keys[k] not in spelled]
-                if words:
-                    add_words(made, code, [keys[k] for k in words], n[words])
-                pairs = [k for k in some if kind[k] == PAIR]
-                if pairs:
-                    add_pairs(made, code, [keys[k] for k in pairs], n[pairs])
+            words, n = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
+            pair = b.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(words), 20_000):
+                some = range(at, min(at + 20_000, len(words)))
+                own = [k for k in some if words[k] is not None and words[k] not in spelled]
+                if own:
+                    add_words(made, code, [words[k] for k in own], n[own])
+                own = [k for k in some if words[k] is None]
+                if own:
+                    add_pairs(made, code, pair[own], n[own])
         pack = zstandard.ZstdCompressor(level=1)
         for c, whole in enumerate(made):
             for at in range(0, whole.shape[1], part):
@@ -318,6 +306,7 @@ def tables(counts: DataFrame, code: Code, symbols: list[bytes], tasks: int, part
                 total += np.frombuffer(unpack.decompress(p), np.float32).reshape(2, -1)
         yield pd.DataFrame({"vote": [keys[0]], "at": [keys[1]], "votes": [votes(*total).tobytes()]})
 
+    counts = words.select("key", F.lit(None).cast("long").alias("pair"), "n").unionByName(pairs.select(F.lit(None).cast("binary").alias("key"), F.col("key").alias("pair"), "n"))
     filled = counts.repartition(tasks).mapInArrow(run, "vote int, at int, packed binary")
     out = [np.zeros(1 << b, np.int8) for b in SLOTS]
     for row in filled.groupBy("vote", "at").applyInPandas(merge, "vote int, at int, votes binary").collect():  # a byte for each slot at most
@@ -333,7 +322,7 @@ class Mixer:
 
     def __init__(self, symbols: Symbols, code: Code, table: list[np.ndarray], weights: np.ndarray | None = None) -> None:
         self.symbols, self.code, self.table = symbols, code, table
-        self.weights = np.full((2, len(SLOTS)), 0.4, np.float32) if weights is None else weights
+        self.weights = np.array(START, np.float32) if weights is None else weights
 
     def stream(self, texts: list[list[bytes]], flat: list[bytes], number: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(symbol, hash of each context, symbols of each text)."""
@@ -428,63 +417,43 @@ def chunks(texts: Iterator[list[bytes]], most: int = CHUNK) -> Iterator[list[lis
 # --- the operator ---------------------------------------------------------------------------------------------
 
 
-def fitted(docs: DataFrame, *, most_symbols: int, most_frequent: int, sample_rows: int, tune_rows: int, most_bytes: int) -> tuple[DataFrame, int, int, tuple]:
+def fitted(docs: DataFrame, *, most_symbols: int, most_frequent: int) -> tuple[DataFrame, int, int, tuple]:
     """(counts of words, training tokens, different ones, what tasks need) of the training part of ``docs``."""
-    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(crc_mod(F.col("doc_id"), 5) != 1)
-    n_texts = train.count()
-    sample = word_counts(sampled(train, n_texts, sample_rows, most_bytes)).where("n > 1").orderBy(F.desc("n"), "key").limit(8 * most_symbols).collect()
-    symbols = [bytes(r["key"]) for r in sample[:most_symbols]]
+    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(crc_mod(F.col("doc_id"), 5) != 1).select("text")
+    words = written(word_counts(train), "mix-words")
+    ends = F.coalesce(F.sum(F.when(F.col("key") == F.lit(END), F.col("n"))), F.lit(0))
+    different, tokens, n_texts = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), ends).first()
+    frequent = {bytes(r["key"]): r["n"] for r in words.orderBy(F.desc("n"), "key").limit(max(most_frequent, most_symbols + 1)).collect()}
+    symbols = [w for w, n in frequent.items() if w != END and n > 1][:most_symbols]
     counts = np.zeros(WORDS + len(symbols), np.int64)
-    for r in sample[most_symbols:]:
-        counts[:FIRST] += np.bincount(np.frombuffer(bytes(r["key"])[1:] + b" ", np.uint8), minlength=FIRST) * r["n"]
-    tuning = id_hash(train) < (1 << 31) * min(0.25, tune_rows / max(n_texts, 1))
-    found = written(counted(train.select("text", tuning.alias("tuning")), symbols), "mix-counts")
-    words, pairs = found.where(F.col("kind") == WORD), found.where(F.col("kind") == PAIR)
-    total = {r["kind"]: (r["rows"], r["n"]) for r in found.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}  # two rows
-    for r in pairs.groupBy(F.substring("key", 1, 4).alias("symbol")).agg(F.sum("n").alias("n")).collect():  # a row for each symbol
-        counts[int.from_bytes(r["symbol"], "little")] = r["n"]
+    for r in byte_counts(words.where(F.col("key") != F.lit(END))).collect():  # a row for each byte
+        counts[r["byte"]] = r["n"]
+    for w in symbols:  # these are not spelled
+        counts[:FIRST] -= np.bincount(np.frombuffer(w[1:] + b" ", np.uint8), minlength=FIRST) * frequent[w]
+    pairs = written(pair_counts(train, symbols), "mix-pairs")
+    n_pairs = 0
+    symbol = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("symbol")
+    for r in pairs.groupBy(symbol).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():  # a row for each symbol
+        counts[r["symbol"]] = r["n"]
+        n_pairs += r["rows"]
     code = Code(counts)
-    n_of = {bytes(r["key"]): r["n"] for r in words.orderBy(F.desc("n"), "key").limit(most_frequent).select("key", "n").collect()}
+    table = tables(words, pairs, code, symbols, max(4, min(1024, (different + n_pairs) // 1_500_000)))
+    n_of = dict(list(frequent.items())[:most_frequent])
     n_of[END] = n_texts
-    rest = found.select("kind", "key", (F.col("n") - F.col("tuned")).alias("n")).where("n > 0")
-    table = tables(rest, code, symbols, max(4, min(1024, sum(r for r, _ in total.values()) // 1_500_000)))
     known = Symbols(symbols, list(n_of.keys() - set(symbols) - {END}))
     n = np.array([*(n_of.get(w, -1) for w in known.counted), -1])  # of -1 the count is not at hand
-    tuned = tune(sampled(train.where(tuning), tune_rows, tune_rows, most_bytes), (known, code, table))
-    different, tokens = total.get(WORD, (0, 0))
-    return words.select("key", "n"), tokens, different, (known, n, Mixer(known, code, table, tuned))
-
+    return words, tokens, different, (known, n, Mixer(known, code, table))
 
-def tune(texts: DataFrame, model: tuple) -> np.ndarray | None:
-    """The average weights that lanes of ``texts`` end with."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(*sent.value)
-        for some in chunks(words_of(t.as_py()) for b in batches for t in b.column(0)):
-            _, ends = mixer.run(some, *mixer.symbols.numbers(some))
-            yield pa.RecordBatch.from_arrays([pa.array([ends.reshape(-1)])], ["ends"])
-
-    rows = texts.repartition(4).mapInArrow(run, "ends array<double>").collect()  # a row for each chunk of a bounded sample
-    if not rows:
-        return None
-    ends = sum(np.array(r["ends"]) for r in rows).reshape(2, -1)
-    found = Mixer(*model).weights
-    return np.array([e[:-1] / e[-1] if e[-1] else w for e, w in zip(ends, found, strict=True)], np.float32)
-
-
-def score_texts(
-    docs: DataFrame, *, most_symbols: int = 1 << 15, most_frequent: int = 1 << 17, sample_rows: int = 3000, tune_rows: int = 400, most_bytes: int = 20_000
-) -> DataFrame:
+def score_texts(docs: DataFrame, *, most_symbols: int = 1 << 15, most_frequent: int = 1 << 17) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes, bits_per_byte) of every text of ``docs``.
 
-    ``most_symbols``, ``sample_rows`` (of ``most_bytes`` characters) bound the choice of symbols, ``tune_rows`` the fit of the starting weights; ``most_frequent`` bounds the counts that are
-    broadcast. All other counts are those of all training texts.
+    ``most_symbols`` bounds the dictionary, ``most_frequent`` the counts that are broadcast. All counts are those of all training texts.
     """
     from pyspark import TaskContext
 
     spark = docs.sparkSession
-    words, n_all, n_different, model = fitted(docs, most_symbols=most_symbols, most_frequent=most_frequent, sample_rows=sample_rows, tune_rows=tune_rows, most_bytes=most_bytes)
+    words, n_all, n_different, model = fitted(docs, most_symbols=most_symbols, most_frequent=most_frequent)
     sent = spark.sparkContext.broadcast(model)
     norm = math.log10(n_all + 0.5 * (n_different + 1))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "bits", "bytes", "rest"]

@@ -131,3 +131,25 @@ def test_empty_and_untrained(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
     r = M.score_texts(table(spark, [(held, "a b")])).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_dictionary_and_counts_come_from_all_training_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(rng.choices(words, k=6))) for k in range(5000)]
+    frame = table(spark, docs).select("doc_id", "text")
+    counts, tokens, different, (known, n, _) = M.fitted(frame, most_symbols=50, most_frequent=100)
+    train = [t.split() for d, t in docs if zlib.crc32(str(d).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    order = sorted(c, key=lambda w: (-c[w], w))
+    assert [w.decode() for w in known.words] == order[:50]
+    assert (tokens, different) == (sum(c.values()) + len(train), len(c) + 1)
+    assert {bytes(r["key"]).decode(): r["n"] for r in counts.collect()} == {**c, "\n": len(train)}
+    assert dict(zip(known.counted, n)) == {**{w.encode(): c[w] for w in order[:99]}, M.END: len(train)}
+    inside = Counter(b for t in train for w in t for b in w.encode()[1:] + b" ")
+    assert {r["byte"]: r["n"] for r in M.byte_counts(counts.where("key != X'0A'")).collect() if r["n"]} == inside
+    symbol = {w: M.WORDS + k for k, w in enumerate(order[:50])}
+    line = lambda t: zip([0, *(M.tail(w.encode()) for w in t)], [*(symbol.get(w, M.FIRST + ord("w")) for w in t), M.FIRST + 10])
+    pairs = Counter(before << 32 | s for t in train for before, s in line(t))
+    found = M.pair_counts(frame.where(M.crc_mod(M.F.col("doc_id"), 5) != 1).select("text"), [w.encode() for w in order[:50]])
+    assert {r["key"]: r["n"] for r in found.collect()} == pairs
