@@ -5,7 +5,7 @@ element, by one replaced letter in two. Elements are dealt to ``PARTS`` parts by
 agree on all elements of some ``PARTS - 2`` parts: these enumerated choices of parts are the signatures. Letters of a small
 alphabet give many words one multiset (its permutations), so a signature also names the half of the word that the edit leaves alone: of two near
 words whose shorter one has L letters, the first or the last floor(L / 2) letters are equal. Words are equi-joined on a hash of these signatures, and
-what meets is verified by its edit distance.
+what meets is verified by its edit distance. No join is left to a guess of sizes: all of them merge.
 
 Words are counted per task and merged by one grouping; signatures are made for the words kept, not for texts. A word's form is its most frequent near word if that
 is ``ratio`` times as frequent; forms are followed to their last by doubling the steps, so the rounds grow with the logarithm of the longest chain.
@@ -103,7 +103,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s for m in made for s in m], pa.int64()), part.column(0).take(own), part.column(1).take(own)], ["signature", "word", "n"])
 
     keyed = words.select("word", "n").mapInArrow(run, "signature long, word string, n long")
-    both = keyed.toDF("signature", "a", "na").join(keyed.toDF("signature", "b", "nb"), "signature").where("a < b")
+    # a word has a dozen signatures: Catalyst takes them for as small as the written words, and would send them through the driver
+    both = keyed.toDF("signature", "a", "na").join(keyed.toDF("signature", "b", "nb").hint("merge"), "signature").where("a < b")
     return both.where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
 
 
@@ -112,7 +113,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     now = forms.select("word", F.col("form").alias("root"))
     while True:
         after = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = written(now.join(after, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        stepped = written(now.join(after.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         now = stepped.select("word", "root")
         if stepped.where("moved").isEmpty():
             return now
@@ -124,9 +125,9 @@ def group_variants(docs: DataFrame, *, ratio: int = 5, **options: int) -> DataFr
     pairs = written(near_pairs(words), "spelling-pairs")
     ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("m")))).alias("w")).select("w.*")
     best = F.min(F.struct((-F.col("m")).alias("minus"), F.col("near")))
-    told = words.join(ways.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best")), "word", "left")
+    told = words.join(ways.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best")).hint("merge"), "word", "left")
     fits = -F.col("best.minus") >= ratio * F.col("n")
     told = told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n"))
     told = written(told, "spelling-forms")
     roots = last_forms(told.where("form IS NOT NULL"))
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

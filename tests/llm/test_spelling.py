@@ -85,3 +85,18 @@ def test_counts_handed_on_early(spark, monkeypatch):
 def test_empty_table(spark):
     assert S.group_variants(table(spark, [])).count() == 0
     assert S.group_variants(table(spark, [(1, None), (2, "a b c")])).count() == 0
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """The words of a small corpus fit Spark's threshold; their signatures, a dozen each, are not small for it."""
+    plans, keep = [], S.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(S, "written", written)
+    last = S.group_variants(table(spark, texts(3, 50, "abcde")))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 5 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
