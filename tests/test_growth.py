@@ -139,3 +139,14 @@ def test_drift_keeps_peaks_not_pairs(spark, tmp_path):
     errors = [1e6 * (m - c) / c for _, m in peaks for c in (500_000 + k * 0.45 for k in range(60)) if c - c * (15.0 * 1e-6) <= m <= c + c * (15.0 * 1e-6)]
     assert alert["n"] == len(errors) > 20 * len(peaks) and alert["drift"] == pytest.approx(statistics.median(errors))
     assert spark.read.parquet(str(tmp_path / "base/table")).count() == len(peaks)
+
+
+def test_batches_are_aligned_by_ionization_mode(spark, sf_dir):
+    """Peaks of different polarity never share a bin, as in the batch aggregation, which aligns and sums each mode by itself."""
+    from peakforge.sources.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    p = t.peaks.join(t.samples.select("sid", "batch"), "sid")
+    want = {(r["batch"], r["polarity"]): round(r["i"], 1) for r in p.groupBy("batch", "polarity").agg(F.sum("intensity").alias("i")).collect()}
+    got = QUERIES["align_batch"](spark, sf_dir).groupBy("batch", "polarity").agg(F.sum("intensity").alias("i")).collect()
+    assert {(r["batch"], r["polarity"]): round(r["i"], 1) for r in got} == want and {k[1] for k in want} == {"+", "-"}
