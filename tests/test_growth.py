@@ -150,3 +150,25 @@ def test_batches_are_aligned_by_ionization_mode(spark, sf_dir):
     want = {(r["batch"], r["polarity"]): round(r["i"], 1) for r in p.groupBy("batch", "polarity").agg(F.sum("intensity").alias("i")).collect()}
     got = QUERIES["align_batch"](spark, sf_dir).groupBy("batch", "polarity").agg(F.sum("intensity").alias("i")).collect()
     assert {(r["batch"], r["polarity"]): round(r["i"], 1) for r in got} == want and {k[1] for k in want} == {"+", "-"}
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_spaced_peaks_equal_loops_in_one_pass(spark, batch):
+    """Runs go over any number of batches; no group of peaks has a call of its own."""
+    rng = random.Random(8)
+    peaks = [(s, f"p{s}-{k:03}", 100 + rng.choice([rng.random() * 0.05, k * 0.01, 3.0]), float(rng.randrange(6))) for s in range(4) for k in range(90)] + [(9, "alone", 100.0, 1.0)]
+    want = []
+    for s in {p[0] for p in peaks}:
+        taken = []
+        for p in sorted((p for p in peaks if p[0] == s), key=lambda p: (-p[3], p[2], p[1])):
+            if all(abs(q - p[2]) / p[2] * 1e6 >= 50.0 for q in taken):
+                taken.append(p[2])
+                want.append(p[1])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = signal.spaced(spark.createDataFrame(peaks, "sid long, peak_id string, mz double, intensity double"), ppm=50.0)
+        assert sorted(r["peak_id"] for r in found.collect()) == sorted(want)
+        assert "FlatMapGroups" not in plan(found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
