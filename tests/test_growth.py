@@ -172,3 +172,27 @@ def test_spaced_peaks_equal_loops_in_one_pass(spark, batch):
         assert "FlatMapGroups" not in plan(found)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("how", ["mean", "median"])
+def test_averages_over_a_grid_equal_loops_without_a_row_for_each_value(spark, how, parts):
+    rng = random.Random(2)
+    rows = [(b, s, float(rng.randrange(60)), rng.choice([1.5, 2.0, 40.0, None])) for b in "ab" for s in range(5) for _ in range(rng.randrange(1, 25))] + [("c", 1, None, 5.0), ("c", 2, 7.0, None)]
+    df = spark.createDataFrame(rows, "batch string, sid long, mz double, intensity double")
+    want = {}
+    for b in "abc":
+        own = {}
+        for _, s, m, i in (r for r in rows if r[0] == b):
+            own.setdefault(s, {}).setdefault(m, []).append(i)
+        lines = [sorted((m, sum(x for x in i if x is not None)) for m, i in spec.items() if m is not None and any(x is not None for x in i)) for spec in own.values()]
+        for m in {r[2] for r in rows if r[0] == b}:
+            v = []
+            for line in lines:
+                low, high = [p for p in line if m is not None and p[0] <= m], [p for p in line if m is not None and p[0] >= m]
+                (x, y), (x2, y2) = (low[-1], high[0]) if low and high else ((0, 0), (0, 0))
+                v.append(y if x == x2 else y + (y2 - y) * (m - x) / (x2 - x))
+            want[b, m] = statistics.mean(v) if how == "mean" else statistics.median(v)
+    found = alignment.averaged(df, how, parts=parts, cells=20)
+    got = {(r["batch"], r["mz"]): r["intensity"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
