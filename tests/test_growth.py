@@ -196,3 +196,17 @@ def test_averages_over_a_grid_equal_loops_without_a_row_for_each_value(spark, ho
     found = alignment.averaged(df, how, parts=parts, cells=20)
     got = {(r["batch"], r["mz"]): r["intensity"] for r in found.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("name", ["composition_fit", "match_isotopes", "match_assign", "visual_isotope_context", "match_isotope_display", "match_ions"])
+def test_rows_of_the_match_chain_are_not_exchanged(spark, sf_dir, name):
+    """Peaks are dealt to blocks, ions to the same ones; what an ion shows in a sample is neither exchanged nor joined to itself."""
+    keyed = [e for e in exchanged(QUERIES[name](spark, sf_dir)) if "hashpartitioning(block" not in e and "hashpartitioning(ion_id" not in e]
+    assert not [e for e in keyed if "sid" in e or "isotope_id" in e]
+
+
+@pytest.mark.parametrize("name", ["match_ions", "match_isotope_display", "match_assign", "aggregate_matches"])
+def test_rows_of_the_match_chain_are_not_sorted(spark, sf_dir, name):
+    found = plan(QUERIES[name](spark, sf_dir))
+    assert "Sort [block" not in found and "Sort [sid" not in found
+    assert found.count("lineitem.parquet") == 1
