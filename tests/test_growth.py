@@ -210,3 +210,18 @@ def test_rows_of_the_match_chain_are_not_sorted(spark, sf_dir, name):
     found = plan(QUERIES[name](spark, sf_dir))
     assert "Sort [block" not in found and "Sort [sid" not in found
     assert found.count("lineitem.parquet") == 1
+
+
+def test_best_of_a_window_equals_loops_and_pairs_are_not_exchanged(spark, sf_dir):
+    rng = random.Random(4)
+    targets = [(k, 500_000 + k * 0.45) for k in range(80)] + [(1000 + k, 100 + k * 0.45) for k in range(20)]
+    peaks = [(k % 3, f"p{k}", m + rng.choice([0, 1, -1]) * m * 1e-5, rng.choice([1.0, 2.0, None])) for k, (_, m) in enumerate(targets * 3)]
+    low, high = F.col("mz") - F.col("mz") * 1e-5, F.col("mz") + F.col("mz") * 1e-5
+    t = spark.createDataFrame(targets, "target long, mz double").withColumns({"low": low, "high": high}).drop("mz")
+    want = {}
+    for (k, m), (s, p, q, i) in itertools.product(targets, peaks):
+        if m - m * 1e-5 <= q <= m + m * 1e-5:
+            want[k, s] = max(want.get((k, s), (-1.0, "")), (-0.5 if i is None else i, p))
+    rows = joins.window_best(spark.createDataFrame(peaks, "sid long, peak_id string, mz double, intensity double"), t, target="target", keys=("sid",), values=("intensity", "peak_id"), ppm=10.0).collect()
+    assert len(rows) == len(want) and {(r["target"], r["sid"]): (-0.5 if r["intensity"] is None else r["intensity"], r["peak_id"]) for r in rows} == want
+    assert not [e for e in exchanged(QUERIES["max_intensity_in_window"](spark, sf_dir)) if "isotope_id" in e]
